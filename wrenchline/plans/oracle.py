@@ -113,11 +113,11 @@ ORACLE: dict[str, str] = {
     "scan_table": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
         strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders""",
     "replace_table": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
-    "stage_temp": _with("lines decisions waiting pending", """
+    "stage_temp": _with("lines waiting shelf rush partly", """
         SELECT 'existing' AS kind, count(*) AS parts, CAST(coalesce(sum(q), 0) AS BIGINT) AS quantity FROM new_parts
-        WHERE part_code IN (SELECT part_code FROM pending)
+        WHERE part_code IN (SELECT part_code FROM partly WHERE quantity <> 0)
         UNION ALL SELECT 'new', count(*), CAST(coalesce(sum(q), 0) AS BIGINT) FROM new_parts
-        WHERE part_code NOT IN (SELECT part_code FROM pending)""",
+        WHERE part_code NOT IN (SELECT part_code FROM partly WHERE quantity <> 0)""",
         "new_parts AS (SELECT part_code, sum(needed) AS q FROM waiting GROUP BY part_code)"),
     "update_by_key": """SELECT o.o_orderkey AS order_id, coalesce(e.last_type, o.o_orderstatus) AS o_orderstatus
         FROM orders o LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS last_type FROM events

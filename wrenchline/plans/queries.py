@@ -78,7 +78,7 @@ def stage_temp(spark: SparkSession, sf: str) -> DataFrame:
     shop = Shop(spark, sf)
     wanted = shop.waiting.groupBy("part_code").agg(F.sum("needed").alias("quantity"))
     tables.stage(wanted, "new_parts")
-    shop.pending.createOrReplaceTempView("stock_on_order")
+    maintenance.purge(_partly_finished(shop), F.col("quantity") == 0).createOrReplaceTempView("stock_on_order")
     return spark.sql("""
         SELECT 'existing' AS kind, count(*) AS parts, sum(n.quantity) AS quantity
         FROM new_parts n WHERE n.part_code IN (SELECT part_code FROM stock_on_order)

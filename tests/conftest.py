@@ -14,3 +14,13 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture()
+def hot_spark(spark):
+    """The same session with hot-key detection on for any size and any key above 16 rows."""
+    spark.conf.set("wrenchline.skew.minBytes", "0")
+    spark.conf.set("wrenchline.skew.hotRows", "16")
+    yield spark
+    spark.conf.unset("wrenchline.skew.minBytes")
+    spark.conf.unset("wrenchline.skew.hotRows")

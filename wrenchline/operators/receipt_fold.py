@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -73,46 +74,44 @@ class PartFold:
         self.part = part
         self.at = start or 0
         self.quantity = quantity
+        self.total = total or 0
         self.has_lines = zero_lines is not None
-        self.none_waits = self.has_lines and (total is None or (zero_lines == 0 and self.at >= total))
-        self.total = total
         self.zero_lines = zero_lines
         self.bids: list[tuple] = []
         self.next = 0
         self.stops: set[int] = set()
 
-    def settle(self, seen: int | None) -> Iterator[tuple]:
+    def none_waits(self) -> bool:
+        return self.zero_lines == 0 and self.at >= self.total
+
+    def settle(self, seen: int | None, out: list[tuple]) -> None:
         """Decide receipts as far as totals up to ``seen`` allow; None means all totals are known."""
-        while self.next < len(self.bids):
-            seq, arrived = self.bids[self.next]
-            outcome, before = None, self.at
+        for seq, arrived in self.bids[self.next:]:
+            before = self.at
             if self.quantity is None:
                 outcome = NOT_ON_ORDER
             else:
                 rest = 0 if arrived is None else self.quantity - arrived
                 fallen = self.quantity - rest
+                goal = self.at + fallen
                 if rest < 0:
                     outcome = OVER_DELIVERY
                 elif fallen == 0:
                     outcome = NO_CHANGE
                 elif fallen < 0:
                     outcome, self.quantity = CORRECTED, rest
-                elif not self.has_lines:
-                    outcome = NO_EXACT_PREFIX
-                elif self.none_waits:
+                elif self.has_lines and self.none_waits():
                     outcome, self.quantity = APPLIED_NO_LINES, rest
+                elif goal in self.stops:
+                    outcome, self.quantity, self.at = APPLIED, rest, goal
+                elif seen is not None and seen < goal:
+                    break
                 else:
-                    goal = self.at + fallen
-                    if seen is not None and seen < goal:
-                        return
-                    if goal in self.stops:
-                        outcome, self.quantity, self.at = APPLIED, rest, goal
-                        self.stops = {s for s in self.stops if s > goal}
-                        self.none_waits = self.zero_lines == 0 and goal >= self.total
-                    else:
-                        outcome = NO_EXACT_PREFIX
+                    outcome = NO_EXACT_PREFIX
             self.next += 1
-            yield self.part, seq, arrived, outcome, before, self.at, self.quantity
+            out.append((self.part, seq, arrived, outcome, before, self.at, self.quantity))
+        if seen is not None:
+            self.stops = {s for s in self.stops if s > self.at}
 
 
 def folder(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -129,20 +128,26 @@ def folder(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             return made
 
         for batch in batches:
-            for part, kind, seq, a, b, c, d in zip(*[column.to_pylist() for column in batch.columns]):
-                if kind == 0:
-                    if fold is not None:
-                        out.extend(fold.settle(None))
-                    fold = PartFold(part, a, b, c, d)
-                elif kind == 1:
-                    fold.bids.append((seq, a))
+            part, kinds, seq, a, b, c, d = batch.columns
+            kinds = kinds.to_numpy()
+            seq, a = seq.to_pylist(), a.to_pylist()
+            edges = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)]
+            for first, end in zip(edges, edges[1:]):
+                if kinds[first] == 0:
+                    for i in range(first, end):
+                        if fold is not None:
+                            fold.settle(None, out)
+                        fold = PartFold(part[i].as_py(), a[i], b[i].as_py(), c[i].as_py(), d[i].as_py())
+                elif kinds[first] == 1:
+                    fold.bids.extend(zip(seq[first:end], a[first:end]))
                 elif fold.next < len(fold.bids):
-                    fold.stops.add(a)
-                    out.extend(fold.settle(a))
+                    fold.stops.update(a[first:end])
+                    if end == len(kinds):  # the part may go on in the next batch: let go of what is behind
+                        fold.settle(a[end - 1], out)
                 if len(out) >= FLUSH_ROWS:
                     yield packed()
         if fold is not None:
-            out.extend(fold.settle(None))
+            fold.settle(None, out)
         if out:
             yield packed()
 

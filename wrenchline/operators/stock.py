@@ -125,7 +125,7 @@ def receipt_decisions(lines: DataFrame, state: DataFrame, receipts: DataFrame, p
     needed = F.coalesce("needed", F.lit(0))
     facts = lines.groupBy("part_code").agg(
         F.sum(F.when(F.col("available") == 0, needed)).cast("bigint").alias("total"),
-        F.count_if((F.col("available") == 0) & (needed == 0)).alias("zero_lines"))
+        F.count_if((F.col("available") == 0) & (F.col("needed") == 0)).alias("zero_lines"))
 
     def totals(limits: DataFrame) -> DataFrame:
         return waiting_totals(lines, limits, hot)

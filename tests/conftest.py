@@ -9,8 +9,9 @@ RAW_TABLES = ("region nation customer supplier part orders lineitem events").spl
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("wrenchline-tests", "local[8]", spark__sql__shuffle__partitions="8",
-                            spark__ui__enabled="false", spark__driver__memory="8g")
+    session = build_session("wrenchline-tests", "local[8]", spark__sql__shuffle__partitions="4",
+                            spark__default__parallelism="2", spark__ui__enabled="false",
+                            spark__driver__memory="8g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

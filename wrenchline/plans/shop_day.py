@@ -1,4 +1,8 @@
-"""A whole batch of shop events as one job per step, in the order the events depend on each other."""
+"""A whole batch of shop events as one job per step, in the order the events depend on each other.
+
+Each step writes the rows it changed to the reliable checkpoint folder, so that the next step starts from
+stored rows instead of repeating all steps before it.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +12,14 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrenchline.operators.gates import MODEL, part_gate, vehicle_gate
+from wrenchline.operators.gates import MODEL, marked_lines, marked_vehicles
 from wrenchline.operators.maintenance import purge, update_by_key
 from wrenchline.operators.orders import (
     approvals_of, decide, default_decision, final_cost, next_ids, order_status, quote_delta,
 )
 from wrenchline.operators.staff import assign_mechanics
-from wrenchline.operators.stock import allocate_receipts, pending_stock
+from wrenchline.operators.stock import pending_stock, receipt_decisions, stock_after, supplied_lines
+from wrenchline.session import pinned
 from wrenchline.sources.tables import apply_defaults
 
 Tables = Mapping[str, DataFrame]
@@ -22,11 +27,15 @@ Tables = Mapping[str, DataFrame]
 
 def take_vehicles(tables: Tables, vehicles: DataFrame, model=MODEL) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables, rejected): known models are added; an arrival also clears finished pending rows."""
-    accepted, rejected = vehicle_gate(vehicles, tables["catalog"], model)
+    accepted, rejected = _split(pinned(marked_vehicles(vehicles, tables["catalog"], model)))
     pending = tables["pending"]
-    finished = (F.col("quantity") == 0) & accepted.exists()
-    return {**tables, "vehicles": tables["vehicles"].unionByName(accepted),
-            "pending": purge(pending, finished)}, rejected
+    if not accepted.isEmpty():
+        pending = purge(pending, F.col("quantity") == 0)
+    return {**tables, "vehicles": tables["vehicles"].unionByName(accepted), "pending": pending}, rejected
+
+
+def _split(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return marked.filter(F.col("reason").isNull()).drop("reason"), marked.filter(F.col("reason").isNotNull())
 
 
 def open_orders(tables: Tables, requests: DataFrame, order_by: list[str]) -> dict[str, DataFrame]:
@@ -37,14 +46,15 @@ def open_orders(tables: Tables, requests: DataFrame, order_by: list[str]) -> dic
     schema = tables["orders"].schema
     new = placed.withColumn("end_date", F.lit(None)).select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-    orders = tables["orders"].unionByName(new)
+    orders = tables["orders"].unionByName(pinned(new))
     return {**tables, "orders": orders, "decisions": default_decision(orders, tables["decisions"])}
 
 
 def add_lines(tables: Tables, lines: DataFrame, today: datetime.date | None = None,
               model=MODEL) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables, rejected): fitting lines are added and quotes and costs follow."""
-    accepted, rejected = part_gate(lines, tables["orders"], tables["vehicles"], tables["catalog"], model)
+    accepted, rejected = _split(pinned(
+        marked_lines(lines, tables["orders"], tables["vehicles"], tables["catalog"], model)))
     orders = _repriced(quote_delta(tables["orders"], accepted), accepted, today)
     return {**tables, "lines": tables["lines"].unionByName(accepted), "orders": orders}, rejected
 
@@ -53,14 +63,15 @@ def _repriced(orders: DataFrame, events: DataFrame, today: datetime.date | None)
     """Recompute cost and end date of the orders some event names."""
     touched = events.select("order_id").distinct().withColumn("_touched", F.lit(True))
     marked = orders.join(touched, "order_id", "left")
-    return final_cost(marked, today=today, changed=F.col("_touched").isNotNull()).select(*orders.columns)
+    priced = final_cost(marked, today=today, changed=F.col("_touched").isNotNull())
+    return pinned(priced.select(*orders.columns))
 
 
 def apply_decisions(tables: Tables, updates: DataFrame) -> dict[str, DataFrame]:
     """Customer decisions (order_id, outcome, seq); approvals order the parts needed."""
     known = updates.join(tables["decisions"].select("order_id"), "order_id", "left_semi")
     stock = pending_stock(tables["pending"], tables["lines"], approvals_of(known), tables["catalog"])
-    return {**tables, "decisions": decide(tables["decisions"], updates), "pending": stock}
+    return {**tables, "decisions": pinned(decide(tables["decisions"], updates)), "pending": pinned(stock)}
 
 
 def record_labor(tables: Tables, labor: DataFrame, today: datetime.date | None = None) -> dict[str, DataFrame]:
@@ -71,8 +82,9 @@ def record_labor(tables: Tables, labor: DataFrame, today: datetime.date | None =
 
 def receive_goods(tables: Tables, receipts: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables, decisions) after arrivals (part_code, seq, arrived)."""
-    lines, pending, decisions = allocate_receipts(tables["lines"], tables["pending"], receipts)
-    return {**tables, "lines": lines, "pending": pending}, decisions
+    decisions = pinned(receipt_decisions(tables["lines"], tables["pending"], receipts))
+    return {**tables, "lines": pinned(supplied_lines(tables["lines"], decisions)),
+            "pending": pinned(stock_after(tables["pending"], decisions))}, decisions
 
 
 def statuses(tables: Tables) -> DataFrame:

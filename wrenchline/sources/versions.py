@@ -36,16 +36,33 @@ def read_version(spark: SparkSession, path: str, at_most: int | None = None) ->
     return spark.read.parquet(version_path(path, done[-1])) if done else None
 
 
+def is_written(spark: SparkSession, path: str, version: int) -> bool:
+    """Whether ``version`` is the current one already, as after a repeated micro-batch.
+
+    A newer current version means that the writer does not know the table's history; it must not go on.
+    """
+    done = versions(spark, path)
+    if done and done[-1] > version:
+        raise ValueError(f"{path} is at version {done[-1]}, beyond {version}: it belongs to another checkpoint")
+    return bool(done) and done[-1] == version
+
+
 def write_version(df: DataFrame, path: str, version: int, keep: int = 3) -> None:
-    """Write one version; a repeated call for a completed version does nothing.
+    """Write one version; a repeated call for the current version does nothing.
 
     Older versions beyond the newest ``keep`` are removed once the new one is complete.
     """
     spark = df.sparkSession
-    if version in versions(spark, path):
+    if is_written(spark, path, version):
         return
     df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true") \
         .parquet(version_path(path, version))
     for old in versions(spark, path)[:-keep]:
         fs, folder = _filesystem(spark, version_path(path, old))
         fs.delete(folder, True)
+
+
+def start_versions(df: DataFrame, path: str) -> None:
+    """Write ``df`` as version 0 of a table that has no version yet."""
+    if not versions(df.sparkSession, path):
+        write_version(df, path, 0)

@@ -19,7 +19,7 @@ from wrenchline.operators.maintenance import latest_per_key, purge
 from wrenchline.operators.orders import approvals_of, cost_value, line_amount
 from wrenchline.operators.stock import pending_stock, receipt_decisions, starting_state, state_after
 from wrenchline.schemas import PART_UNSUITABLE, REFUSED, VEHICLE_UNKNOWN
-from wrenchline.sources.versions import read_version, versions, write_version
+from wrenchline.sources.versions import is_written, read_version, start_versions, write_version
 
 
 def event_source(spark: SparkSession, folder: str, schema: StructType, fmt: str = "parquet",
@@ -99,12 +99,14 @@ def stream_decisions(stream: DataFrame, lines: DataFrame, catalog: DataFrame, pe
                      path: str, checkpoint: str) -> StreamingQuery:
     """Approval events (order_id, outcome, seq) to pending stock, version n+1 after micro-batch n.
 
-    A repeated micro-batch finds its version complete and does nothing.
+    A repeated micro-batch finds its version complete and does nothing. A path belongs to one checkpoint.
     """
-    write_version(pending.select("part_code", "quantity", "supplier"), path, 0)
+    start_versions(pending.select("part_code", "quantity", "supplier"), path)
 
     def reorder(events: DataFrame, batch_id: int) -> None:
         spark = events.sparkSession
+        if is_written(spark, path, batch_id + 1):
+            return
         stock = read_version(spark, path, batch_id)
         write_version(pending_stock(stock, lines, approvals_of(events), catalog), path, batch_id + 1)
 
@@ -113,10 +115,12 @@ def stream_decisions(stream: DataFrame, lines: DataFrame, catalog: DataFrame, pe
 
 def stream_purge(stream: DataFrame, pending: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Arriving vehicles clear pending rows with nothing left on order."""
-    write_version(pending, path, 0)
+    start_versions(pending, path)
 
     def clear(vehicles: DataFrame, batch_id: int) -> None:
         spark = vehicles.sparkSession
+        if is_written(spark, path, batch_id + 1):
+            return
         stock = read_version(spark, path, batch_id)
         if not vehicles.isEmpty():
             stock = purge(stock, F.col("quantity") == 0)
@@ -134,11 +138,11 @@ def stream_receipts(stream: DataFrame, lines: DataFrame, pending: DataFrame, pat
     not state: it is read from the lines table, so a part with very many lines costs no more than in batch.
     """
     states = f"{path}/state"
-    write_version(starting_state(pending), states, 0)
+    start_versions(starting_state(pending), states)
 
     def receive(events: DataFrame, batch_id: int) -> None:
         spark = events.sparkSession
-        if batch_id + 1 in versions(spark, states):
+        if is_written(spark, states, batch_id + 1):
             return
         state = read_version(spark, states, batch_id)
         log = f"{path}/decisions/batch={batch_id}"

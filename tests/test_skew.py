@@ -63,9 +63,9 @@ def test_lookup_join_on_both_routes(hot_spark, rows, how):
 def test_key_maximum_on_both_routes(hot_spark, rows):
     hot_spark.conf.set("wrenchline.skew.hotRows", "500")
     keyed = rows.dropna()
-    hot = skew.hot_keys(keyed, ["key"])
     want = keyed.withColumn("top", F.max("pos").over(Window.partitionBy("key")))
-    assert hot and as_set(skew.key_maximum(keyed, ["key"], F.col("pos"), "top", hot)) == as_set(want)
+    got = skew.by_route(keyed, ["key"], lambda part, route: route.key_maximum(part, F.col("pos"), "top"))
+    assert skew.hot_keys(keyed, ["key"]) and as_set(got) == as_set(want)
 
 
 def test_not_in_follows_null_rules(spark):

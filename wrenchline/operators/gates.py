@@ -40,14 +40,16 @@ def marked_lines(lines: DataFrame, orders: DataFrame, vehicles: DataFrame, catal
     """Order lines with ``reason``: NULL when the part fits the vehicle of the order.
 
     Lines whose order or vehicle is missing do not fit. Orders meet vehicles first: both sides are far
-    smaller than the lines, which then are joined once by order and once by (part, model).
+    smaller than the lines, which are then joined once by order and once by (part, model).
     """
     fitted = vehicles.select("plate", *[F.col(c).alias(f"_{c}") for c in model])
     models = lookup_join(orders.select("order_id", "plate"), fitted, ["plate"]).drop("plate")
     with_model = lookup_join(lines, models, ["order_id"], "left")
     parts = catalog.select("part_code", *[F.col(c).alias(f"_{c}") for c in model]).dropna().distinct()
     on = ["part_code", *[f"_{c}" for c in model]]
-    marked = lookup_join(with_model, parts.withColumn("_fits", F.lit(True)), on, "left")
+    # Looking for hot keys here would run the joins above twice. Nothing above this join needs its partitioning,
+    # so AQE may split a skewed partition of the lines.
+    marked = with_model.join(parts.withColumn("_fits", F.lit(True)), on, "left")
     reason = F.when(F.col("_fits").isNull(), F.lit(PART_UNSUITABLE))
     return marked.withColumn("reason", reason).select(*lines.columns, "reason")
 

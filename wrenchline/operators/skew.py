@@ -8,7 +8,7 @@ physical route; both routes give the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wrenchline.session import pinned
 
 HOT_ROWS = ("wrenchline.skew.hotRows", 2_000_000)
-MIN_BYTES = ("wrenchline.skew.minBytes", 256 << 20)
+MIN_BYTES = ("wrenchline.skew.minBytes", 64 << 20)
 # Bound on the number of hot keys, hence on everything broadcast "per hot key" below.
 MAX_HOT_KEYS = 10_000
 # Keys the sketch tracks: any key above about 1/75,000 of all rows is found.
@@ -53,43 +53,73 @@ def part_by_heat(df: DataFrame, keys: Sequence[str], hot: list[int]) -> tuple[Da
     return df.filter(~is_hot), df.filter(is_hot)
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
-                hot: list[int] | None = None) -> DataFrame:
-    """Equi-join in which ``right`` has at most one row per key (any number for semi and anti joins).
+class Ordinary:
+    """Steps on rows whose keys each fit in a task: hash shuffles by key, which following steps share."""
+
+    def __init__(self, keys: Sequence[str]):
+        self.keys = list(keys)
+
+    def join(self, left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+        """The join Spark plans; AQE broadcasts a side only below its own size threshold."""
+        return left.join(right, self.keys, how)
+
+    def running_totals(self, df: DataFrame, order: Sequence[Column], totals: Mapping[str, Column]) -> DataFrame:
+        """Inclusive running sums per key, in ``order``, which must be unique within a key."""
+        upto_here = Window.partitionBy(*self.keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({name: F.sum(value.cast("bigint")).over(upto_here) for name, value in totals.items()})
+
+    def key_maximum(self, df: DataFrame, value: Column, out: str) -> DataFrame:
+        """Add the largest ``value`` of the row's key."""
+        return df.withColumn(out, F.max(value).over(Window.partitionBy(*self.keys)))
+
 
-    Rows of ordinary keys take the join Spark plans (AQE broadcasts a side only below its own size
-    threshold). Rows of hot keys of ``left`` meet at most ``MAX_HOT_KEYS`` rows of ``right``, so these are
-    broadcast and the hot rows are never shuffled by their key.
+class Hot(Ordinary):
+    """The same steps on rows of hot keys, which are never gathered by key.
+
+    There are at most ``MAX_HOT_KEYS`` keys, so a table with one row per key is broadcast.
     """
-    on = list(on)
-    hot = hot_keys(left, on) if hot is None else hot
-    if not hot:
-        return left.join(right, on, how)
-    cold_left, hot_left = part_by_heat(left, on, hot)
-    _, hot_right = part_by_heat(right, on, hot)
-    if how in ("left_semi", "left_anti"):
-        hot_right = hot_right.select(*on).distinct()
-    return cold_left.join(right, on, how).unionByName(hot_left.join(F.broadcast(hot_right), on, how))
 
+    def __init__(self, keys: Sequence[str], hot: list[int]):
+        super().__init__(keys)
+        self.hot = hot
+
+    def join(self, left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+        _, right = part_by_heat(right, self.keys, self.hot)
+        if how in ("left_semi", "left_anti"):
+            right = right.select(*self.keys).distinct()
+        return left.join(F.broadcast(right), self.keys, how)
+
+    def running_totals(self, df: DataFrame, order: Sequence[Column], totals: Mapping[str, Column]) -> DataFrame:
+        return sliced_totals(df, self.keys, order, totals)
+
+    def key_maximum(self, df: DataFrame, value: Column, out: str) -> DataFrame:
+        tops = df.groupBy(*self.keys).agg(F.max(value).alias(out))
+        return df.join(F.broadcast(tops), self.keys, "left")
 
-def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                   totals: Mapping[str, Column], hot: list[int] | None = None) -> DataFrame:
-    """Add inclusive running sums per key, in ``order`` (which must be unique within a key).
 
-    Ordinary keys: one window. Hot keys: ``sliced_totals``.
+def by_route(df: DataFrame, keys: Sequence[str], steps: Callable[[DataFrame, Ordinary], DataFrame],
+             hot: list[int] | None = None) -> DataFrame:
+    """Apply ``steps(rows, route)`` to the rows of ordinary and of hot keys apart, and put the results together.
+
+    A right side given to ``route.join`` must have at most one row per key, or any number for semi and anti joins.
     """
-    keys = list(keys)
     hot = hot_keys(df, keys) if hot is None else hot
     if not hot:
-        return _window_totals(df, keys, order, totals)
+        return steps(df, Ordinary(keys))
     cold, warm = part_by_heat(df, keys, hot)
-    return _window_totals(cold, keys, order, totals).unionByName(sliced_totals(warm, keys, order, totals))
+    return steps(cold, Ordinary(keys)).unionByName(steps(warm, Hot(keys, hot)))
+
+
+def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
+                hot: list[int] | None = None) -> DataFrame:
+    """Equi-join in which ``right`` has at most one row per key (any number for semi and anti joins)."""
+    return by_route(left, list(on), lambda rows, route: route.join(rows, right, how), hot)
 
 
-def _window_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
                    totals: Mapping[str, Column]) -> DataFrame:
-    upto_here = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({name: F.sum(value.cast("bigint")).over(upto_here) for name, value in totals.items()})
+    """Inclusive running sums per key, see ``Ordinary.running_totals``."""
+    return by_route(df, keys, lambda rows, route: route.running_totals(rows, order, totals))
 
 
 def sliced_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
@@ -124,19 +154,9 @@ def not_in(left: DataFrame, left_key: str, right: DataFrame, right_key: str) ->
     """``left_key NOT IN (SELECT right_key …)`` with SQL's NULL rules, without a forced broadcast.
 
     A NULL on the right empties the result; a NULL on the left passes only when the right side is empty.
+    Keys are expected to be about unique on the left, as names and ids are, so they are not searched for hot ones.
     """
     values = right.select(F.col(right_key).alias(left_key))
     has_null = values.filter(F.col(left_key).isNull()).exists()
     kept = left.filter(~has_null).filter(F.col(left_key).isNotNull() | ~values.exists())
-    return lookup_join(kept, values.filter(F.col(left_key).isNotNull()).distinct(), [left_key], "left_anti")
-
-
-def key_maximum(df: DataFrame, keys: Sequence[str], value: Column, out: str, hot: list[int]) -> DataFrame:
-    """Add the largest ``value`` of the row's key. Hot keys aggregate first and get it by broadcast."""
-    keys = list(keys)
-    if not hot:
-        return df.withColumn(out, F.max(value).over(Window.partitionBy(*keys)))
-    cold, warm = part_by_heat(df, keys, hot)
-    tops = warm.groupBy(*keys).agg(F.max(value).alias(out))
-    return cold.withColumn(out, F.max(value).over(Window.partitionBy(*keys))).unionByName(
-        warm.join(F.broadcast(tops), keys, "left"))
+    return kept.join(values.filter(F.col(left_key).isNotNull()).distinct(), left_key, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrenchline.operators.skew import hot_keys, lookup_join, not_in, running_totals
+from wrenchline.operators.skew import Ordinary, by_route, not_in
 from wrenchline.schemas import MECHANIC
 
 
@@ -50,7 +50,7 @@ def assign_mechanics(new_orders: DataFrame, staff: DataFrame, orders: DataFrame,
     The i-th new order takes the i-th free mechanic; when these run out, all further ones go to the least loaded
     mechanic. A mechanic who just got a first order counts with zero hours.
     ``partition_by`` names a branch column that new orders, staff and orders share; without it all
-    belong to one branch. Ranks of large branches are computed in slices, see ``running_totals``.
+    belong to one branch. Orders of very large branches are numbered in slices, see ``by_route``.
     """
     if partition_by is None:
         lone = [df.withColumn("_branch", F.lit(0)) for df in (new_orders, staff, orders)]
@@ -61,12 +61,11 @@ def assign_mechanics(new_orders: DataFrame, staff: DataFrame, orders: DataFrame,
     blocked = opened.filter(F.col("mechanic").isNull()).select(branch).distinct()
     busy = opened.dropna().withColumnRenamed("mechanic", "staff_id")
     free = mechanics.join(busy, [branch, "staff_id"], "left_anti").join(blocked, branch, "left_anti")
-    free = running_totals(free, [branch], [F.col("staff_id")], {"_nr": F.lit(1)})
+    # A branch has far fewer mechanics than orders, so their numbering is a plain window.
+    free = Ordinary([branch]).running_totals(free, [F.col("staff_id")], {"_nr": F.lit(1)})
     counts = free.groupBy(branch).agg(F.count("*").alias("_free"))
 
-    hot = hot_keys(new_orders, [branch])
-    queued = running_totals(new_orders, [branch], [F.col("order_id")], {"_nr": F.lit(1)}, hot)
-    taken = queued.groupBy(branch).agg(F.max("_nr").alias("_new"))
+    taken = new_orders.groupBy(branch).agg(F.count("*").alias("_new"))
     # Fallback per branch: hours so far, plus zero hours for the free mechanics that get an order here.
     starting = free.join(taken, branch).filter(F.col("_nr") <= F.col("_new")) \
         .select(branch, F.col("staff_id").alias("mechanic"), F.lit(0).cast("bigint").alias("labor"))
@@ -77,7 +76,10 @@ def assign_mechanics(new_orders: DataFrame, staff: DataFrame, orders: DataFrame,
         F.min(rank)["mechanic"].alias("_fallback"))
     per_branch = taken.select(branch).join(counts, branch, "left").join(fallback, branch, "left")
 
-    placed = lookup_join(queued, per_branch, [branch], "left", hot)
+    def number(rows: DataFrame, route: Ordinary) -> DataFrame:
+        return route.join(route.running_totals(rows, [F.col("order_id")], {"_nr": F.lit(1)}), per_branch, "left")
+
+    placed = by_route(new_orders, [branch], number)
     takes_free = F.col("_nr") <= F.coalesce(F.col("_free"), F.lit(0))
     own = free.select(branch, "_nr", F.col("staff_id").alias("_own"))
     # (branch, rank) is unique on both sides; orders beyond the free mechanics skip the shuffle.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wrenchline.operators.maintenance import increment_by_key, upsert
 from wrenchline.operators.receipt_fold import decide_receipts
-from wrenchline.operators.skew import hot_keys, key_maximum, lookup_join, running_totals
+from wrenchline.operators.skew import Ordinary, by_route, hot_keys, lookup_join, running_totals
 from wrenchline.session import pinned
 
 PART = ["part_code"]
@@ -78,19 +79,28 @@ def waiting_lines(lines: DataFrame) -> DataFrame:
     return lines.filter((F.col("available") == 0) & F.col("part_code").isNotNull())
 
 
-def waiting_totals(lines: DataFrame, parts: DataFrame, hot: list[int]) -> DataFrame:
+def idle_lines(lines: DataFrame) -> DataFrame:
+    """Lines no arrival can touch; they are never shuffled."""
+    return lines.filter(F.coalesce(F.col("available") != 0, F.lit(True)) | F.col("part_code").isNull())
+
+
+def waiting_totals(waiting: DataFrame, parts: DataFrame, route: Ordinary) -> DataFrame:
     """Waiting lines of the given parts (one row per part, its columns are carried along) with ``running``:
     needed quantity up to the line, oldest first. Lines of other parts are dropped before the shuffle."""
-    touched = lookup_join(waiting_lines(lines), parts, PART, "inner", hot)
-    needed = F.coalesce(F.col("needed"), F.lit(0))
-    return running_totals(touched, PART, line_order(lines), {"running": needed}, hot)
+    touched = route.join(waiting, parts)
+    return route.running_totals(touched, line_order(waiting), {"running": F.coalesce("needed", F.lit(0))})
+
 
+def _supplied(lines: DataFrame, parts: DataFrame,
+              reached: Callable[[DataFrame, Ordinary], DataFrame]) -> DataFrame:
+    """All lines, where those of ``parts`` that ``reached`` marks in ``_reached`` become available = needed."""
+    def supply(waiting: DataFrame, route: Ordinary) -> DataFrame:
+        marked = reached(waiting_totals(waiting, parts, route), route)
+        available = F.when(F.col("_reached"), F.col("needed")).otherwise(F.col("available"))
+        others = route.join(waiting, parts.select("part_code"), "left_anti")
+        return marked.withColumn("available", available).select(*lines.columns).unionByName(others)
 
-def untouched_lines(lines: DataFrame, parts: DataFrame, hot: list[int]) -> DataFrame:
-    """Lines that do not wait, or wait for other parts; the former are never shuffled."""
-    others = lookup_join(waiting_lines(lines), parts.select("part_code"), PART, "left_anti", hot)
-    idle = lines.filter(F.coalesce(F.col("available") != 0, F.lit(True)) | F.col("part_code").isNull())
-    return idle.unionByName(others)
+    return by_route(waiting_lines(lines), PART, supply).unionByName(idle_lines(lines))
 
 
 def allocate_fifo(lines: DataFrame, receipts: DataFrame) -> DataFrame:
@@ -99,13 +109,13 @@ def allocate_fifo(lines: DataFrame, receipts: DataFrame) -> DataFrame:
     The oldest waiting lines whose needed quantities sum exactly to the arrival become supplied
     (available = needed); without such a prefix nothing changes. One shuffle by part of the touched lines.
     """
-    hot = hot_keys(waiting_lines(lines), PART)
     arrived = receipts.select("part_code", F.col("arrived").alias("_arrived")).filter(F.col("_arrived") > 0)
-    run = waiting_totals(lines, arrived, hot)
-    run = key_maximum(run, PART, F.col("running") == F.col("_arrived"), "_hit", hot)
-    supplied = F.col("_hit") & (F.col("running") <= F.col("_arrived"))
-    after = run.withColumn("available", F.when(supplied, F.col("needed")).otherwise(F.col("available")))
-    return after.select(*lines.columns).unionByName(untouched_lines(lines, arrived, hot))
+
+    def reached(run: DataFrame, route: Ordinary) -> DataFrame:
+        hit = route.key_maximum(run, F.col("running") == F.col("_arrived"), "_hit")
+        return hit.withColumn("_reached", F.col("_hit") & (F.col("running") <= F.col("_arrived")))
+
+    return _supplied(lines, arrived, reached)
 
 
 # --- sequences of arrivals ----------------------------------------------------------------------
@@ -128,7 +138,7 @@ def receipt_decisions(lines: DataFrame, state: DataFrame, receipts: DataFrame, p
         F.count_if((F.col("available") == 0) & (F.col("needed") == 0)).alias("zero_lines"))
 
     def totals(limits: DataFrame) -> DataFrame:
-        return waiting_totals(lines, limits, hot)
+        return by_route(waiting_lines(lines), PART, lambda rows, route: waiting_totals(rows, limits, route), hot)
 
     state = starting_state(state)
     per_part = receipts.groupBy("part_code").agg(F.count("*").alias("n"))
@@ -170,12 +180,8 @@ def allocate_receipts(lines: DataFrame, pending: DataFrame, receipts: DataFrame,
 
 def supplied_lines(lines: DataFrame, decisions: DataFrame) -> DataFrame:
     """All lines, with those the decisions reach marked supplied."""
-    hot = hot_keys(waiting_lines(lines), PART)
     upto = decisions.groupBy("part_code").agg(F.max("to_total").alias("_upto")).filter(F.col("_upto") > 0)
-    run = waiting_totals(lines, upto, hot)
-    supplied = F.when(F.col("running") <= F.col("_upto"), F.col("needed")).otherwise(F.col("available"))
-    return run.withColumn("available", supplied).select(*lines.columns) \
-        .unionByName(untouched_lines(lines, upto, hot))
+    return _supplied(lines, upto, lambda run, _: run.withColumn("_reached", F.col("running") <= F.col("_upto")))
 
 
 def stock_after(pending: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -192,25 +198,29 @@ def unmatched_receipts(decisions: DataFrame) -> DataFrame:
 
 # --- reading back the newest assignments ---------------------------------------------------------
 
-def _newest_supplied(lines: DataFrame, arrivals: DataFrame, hot: list[int]) -> DataFrame:
+def _newest_supplied(supplied: DataFrame, arrivals: DataFrame, route: Ordinary) -> DataFrame:
+    """Supplied lines with ``rank``, newest first, and ``_match`` = rank where their sum equals the arrival."""
     asked = arrivals.select("part_code", F.col("arrived").alias("_arrived"))
-    supplied = lookup_join(lines.filter(F.col("available") != 0), asked, PART, "inner", hot)
-    ranked = running_totals(supplied, PART, line_order(lines, newest_first=True),
-                            {"_sum": F.col("available"), "rank": F.lit(1)}, hot)
+    ranked = route.running_totals(route.join(supplied, asked), line_order(supplied, newest_first=True),
+                                  {"_sum": F.col("available"), "rank": F.lit(1)})
     return ranked.withColumn("_match", F.when(F.col("_sum") == F.col("_arrived"), F.col("rank")))
 
 
 def recent_prefix_size(lines: DataFrame, arrivals: DataFrame) -> DataFrame:
     """Arrivals (part_code, arrived; one per part) with ``k``: the most of the newest supplied lines that sum to
     ``arrived``; 0 when there is no such number of lines."""
-    hot = hot_keys(lines.filter(F.col("available") != 0), PART)
-    sizes = _newest_supplied(lines, arrivals, hot).groupBy("part_code").agg(F.max("_match").alias("k"))
-    return arrivals.join(sizes, "part_code", "left").withColumn("k", F.coalesce("k", F.lit(0).cast("bigint")))
+    def sizes(supplied: DataFrame, route: Ordinary) -> DataFrame:
+        return _newest_supplied(supplied, arrivals, route).groupBy("part_code").agg(F.max("_match").alias("k"))
+
+    found = by_route(lines.filter(F.col("available") != 0), PART, sizes)
+    return arrivals.join(found, "part_code", "left").withColumn("k", F.coalesce("k", F.lit(0).cast("bigint")))
 
 
 def recent_assignments(lines: DataFrame, arrivals: DataFrame) -> DataFrame:
     """The lines a recent arrival (one per part) went to, newest first: part_code, order_id, quantity, rank."""
-    hot = hot_keys(lines.filter(F.col("available") != 0), PART)
-    ranked = key_maximum(_newest_supplied(lines, arrivals, hot), PART, F.col("_match"), "_k", hot)
-    return ranked.filter(F.col("rank") <= F.col("_k")).select(
-        "part_code", "order_id", F.col("available").alias("quantity"), "rank")
+    def newest(supplied: DataFrame, route: Ordinary) -> DataFrame:
+        ranked = route.key_maximum(_newest_supplied(supplied, arrivals, route), F.col("_match"), "_k")
+        return ranked.filter(F.col("rank") <= F.col("_k")).select(
+            "part_code", "order_id", F.col("available").alias("quantity"), "rank")
+
+    return by_route(lines.filter(F.col("available") != 0), PART, newest)

@@ -121,3 +121,14 @@ def test_sql_functions(spark, shop):
     assert spark.sql("SELECT limite('65', 3) AS k").first().k == len(want)
     got = [tuple(r) for r in spark.sql("SELECT * FROM Assegnazioni(3, '65')").collect()]
     assert sorted(got) == sorted((x.order_id, x.available) for x in want)
+
+
+def test_queries_by_original_names(spark, shop):
+    tables, sim, *_ = shop
+    sql_functions.register_original_views(spark, tables)
+    sql_functions.register(spark, tables)
+    rows = spark.sql("SELECT NROrdine, StatoOrdine(NROrdine) AS Stato FROM StoricoOrdine").collect()
+    assert {r.NROrdine: r.Stato for r in rows} == {n: sim.status(n) for n in sim.orders}
+    hours = spark.sql("""SELECT I.Matricola, SUM(S.Manodopera) AS OreTotali, count(NROrdine) AS OrdiniTotali
+        FROM Dipendente I JOIN StoricoOrdine S ON I.Matricola = S.Meccanico GROUP BY I.Matricola""")
+    assert sum(r.OrdiniTotali for r in hours.collect()) == len(sim.orders)

@@ -12,6 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wrenchline.operators.orders import balance, order_status
 from wrenchline.operators.staff import pick_mechanic
+from wrenchline.schemas import ORIGINAL_NAMES, SCHEMAS
+from wrenchline.sources.tables import to_original_names
+
+
+def register_original_views(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:
+    """Temp views under the original table and column names, for queries written against those."""
+    for name, table in tables.items():
+        view, columns = ORIGINAL_NAMES[name]
+        known = [c for c in SCHEMAS[name].names if c in table.columns]
+        renamed = to_original_names(table.select(*known), name)
+        renamed.select(*[c for c in columns if c in renamed.columns]).createOrReplaceTempView(view)
 
 
 def register(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:

@@ -173,8 +173,11 @@ def state_after(state: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def allocate_receipts(lines: DataFrame, pending: DataFrame, receipts: DataFrame,
                       page: int = PAGE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, pending, decisions) after a sequence of receipts per part."""
-    decisions = receipt_decisions(lines, pending, receipts, page)
+    """(lines, pending, decisions) after a sequence of receipts per part.
+
+    All three results read the decisions, so these are computed once and stored.
+    """
+    decisions = pinned(receipt_decisions(lines, pending, receipts, page))
     return supplied_lines(lines, decisions), stock_after(pending, decisions), decisions
 
 

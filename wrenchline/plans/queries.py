@@ -351,7 +351,8 @@ def _receipts_decided(shop: Shop) -> DataFrame:
 
 def allocate_receipts(spark: SparkSession, sf: str) -> DataFrame:
     shop = Shop(spark, sf)
-    return stock.supplied_lines(shop.lines, _receipts_decided(shop)).select(
+    lines, _, _ = stock.allocate_receipts(shop.lines, shop.pending, shop.deliveries)
+    return lines.select(
         "order_id", "part_code", "line_no", _day("requested"), "needed", "available")
 
 

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wrenchline.operators.skew import lookup_join
 from wrenchline.schemas import Rule
 
+# Bits of the integer types without the sign.
+INTEGER_BITS = {"smallint": 15, "int": 31}
+
 
 def audit_pk(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once or have a NULL part, with their row counts."""
@@ -80,13 +85,20 @@ def _too_long(column: str, limit: int) -> Column:
 
 
 def audit_range(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
-    """Rows with a number that does not fit the declared integer type."""
-    return df.filter(reduce(lambda a, b: a | b, [_out_of_range(c, t) for c, t in types.items()]))
+    """Rows with a number that does not fit the declared integer type once rounded, or a text that is no number."""
+    return df.filter(reduce(lambda a, b: a | b, [_out_of_range(df, c, t) for c, t in types.items()]))
 
 
-def _out_of_range(column: str, type_name: str) -> Column:
-    whole = F.round(F.col(column).cast("decimal(38,6)"), 0)
-    return F.col(column).isNotNull() & whole.try_cast(type_name).isNull()
+def _out_of_range(df: DataFrame, column: str, type_name: str) -> Column:
+    """Plain comparisons with the bounds half a unit further out, so numbers need no conversion."""
+    above = 2 ** INTEGER_BITS[type_name]
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.IntegralType):
+        outside = (F.col(column) >= above) | (F.col(column) < -above)
+    else:
+        number = F.col(column) if isinstance(kind, T.NumericType) else F.col(column).try_cast("decimal(38,6)")
+        outside = (number >= F.lit(above - Decimal("0.5"))) | (number <= F.lit(-above - Decimal("0.5")))
+    return F.col(column).isNotNull() & F.coalesce(outside, F.lit(True))
 
 
 def constraint_report(tables: Mapping[str, DataFrame], rules: Sequence[Rule]) -> DataFrame:
@@ -98,8 +110,7 @@ def constraint_report(tables: Mapping[str, DataFrame], rules: Sequence[Rule]) ->
     parts: list[DataFrame] = []
     row_kinds = ("not_null", "enum", "length", "range")
     for table in dict.fromkeys(r.table for r in rules):
-        checks = [(r, test) for r in rules if r.table == table and r.kind in row_kinds
-                  for test in [_row_test(r)]]
+        checks = [(r, _row_test(tables[table], r)) for r in rules if r.table == table and r.kind in row_kinds]
         if checks:
             counted = tables[table].agg(*[F.count_if(test).alias(rule.name) for rule, test in checks])
             names = [rule.name for rule, _ in checks]
@@ -117,7 +128,7 @@ def constraint_report(tables: Mapping[str, DataFrame], rules: Sequence[Rule]) ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def _row_test(rule: Rule) -> Column:
+def _row_test(df: DataFrame, rule: Rule) -> Column:
     if rule.kind == "not_null":
         return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in rule.columns])
     column = rule.columns[0]
@@ -125,7 +136,7 @@ def _row_test(rule: Rule) -> Column:
         return F.coalesce(~F.col(column).isin(list(rule.values)), F.lit(False))
     if rule.kind == "length":
         return _too_long(column, rule.limit)
-    return _out_of_range(column, rule.type_name)
+    return _out_of_range(df, column, rule.type_name)
 
 
 def _orphans(tables: Mapping[str, DataFrame], rule: Rule) -> DataFrame:

@@ -14,12 +14,15 @@ from wrenchline.schemas import (
     STATUS_REFUSED, STATUS_WAITING, STATUS_WORKING,
 )
 
-MONEY = "decimal(18,2)"
+# Hold every price and quantity of the declared types (int, smallint), and their product still has 18 digits, which
+# Spark computes with as a long.
+PRICE = "decimal(12,2)"
+QUANTITY = "decimal(5,0)"
 
 
 def line_amount(price: str = "price", quantity: str = "needed") -> Column:
     """Price of the line (not of the catalogue) times quantity, exact."""
-    return F.col(price).cast(MONEY) * F.col(quantity).cast("decimal(10,0)")
+    return F.col(price).cast(PRICE) * F.col(quantity).cast(QUANTITY)
 
 
 def line_totals(lines: DataFrame, strict_null: bool = False) -> DataFrame:

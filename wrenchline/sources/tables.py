@@ -40,8 +40,7 @@ def _coerced(column: str, kind: T.DataType) -> Column:
     text = F.col(column).cast("string")
     if isinstance(kind, (T.ShortType, T.IntegerType, T.LongType)):
         # Numbers with decimals round half away from zero; out-of-range ones become NULL.
-        exact = text.try_cast("decimal(38,6)")
-        return F.round(exact, 0).try_cast(kind)
+        return F.coalesce(text.try_cast(kind), F.round(text.try_cast("decimal(38,6)"), 0).try_cast(kind))
     if isinstance(kind, T.StringType):
         return F.rtrim(text)
     return text.try_cast(kind)

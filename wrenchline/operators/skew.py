@@ -19,6 +19,10 @@ HOT_ROWS = ("wrenchline.skew.hotRows", 2_000_000)
 MIN_BYTES = ("wrenchline.skew.minBytes", 64 << 20)
 # Bound on the number of hot keys, hence on everything broadcast "per hot key" below.
 MAX_HOT_KEYS = 10_000
+# Rows of a table with one short row per key that may be broadcast after counting them, some 10 MB.
+BROADCAST_ROWS = 100_000
+# Estimates at least this large mean that the optimizer does not know the size.
+UNKNOWN_BYTES = 1 << 60
 # Keys the sketch tracks: any key above about 1/75,000 of all rows is found.
 SKETCH_ITEMS = 100_000
 
@@ -32,6 +36,18 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """Mark a lookup side for broadcast if the optimizer knows no size for it and counting finds it small.
+
+    Micro-batches carry no statistics. Without this a join with a handful of events would shuffle the whole
+    table on its other side.
+    """
+    if plan_bytes(df) < UNKNOWN_BYTES:
+        return df
+    few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(df) if few else df
+
+
 def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 

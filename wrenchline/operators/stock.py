@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from wrenchline.operators.maintenance import increment_by_key, upsert
 from wrenchline.operators.receipt_fold import decide_receipts
-from wrenchline.operators.skew import Ordinary, by_route, hot_keys, lookup_join, running_totals
+from wrenchline.operators.skew import (
+    BROADCAST_ROWS, Ordinary, by_route, hot_keys, lookup_join, running_totals, sized,
+)
 from wrenchline.session import pinned
 
 PART = ["part_code"]
@@ -48,7 +50,7 @@ def ordered_parts(lines: DataFrame, approvals: DataFrame, catalog: DataFrame,
     A repeated approval orders again, unless ``dedupe``. Parts without a catalogue row are dropped.
     """
     times = approvals.groupBy("order_id").agg((F.lit(1) if dedupe else F.count("*")).alias("_times"))
-    wanted = lookup_join(lines.select("order_id", "part_code", "needed"), times, ["order_id"])
+    wanted = lookup_join(lines.select("order_id", "part_code", "needed"), sized(times), ["order_id"])
     per_part = wanted.groupBy("part_code").agg(F.sum(F.col("needed") * F.col("_times")).alias("quantity"))
     return per_part.join(supplier_of_part(catalog), "part_code")
 
@@ -79,6 +81,10 @@ def waiting_lines(lines: DataFrame) -> DataFrame:
     return lines.filter((F.col("available") == 0) & F.col("part_code").isNotNull())
 
 
+def hot_parts(lines: DataFrame) -> list[int]:
+    return hot_keys(waiting_lines(lines), PART)
+
+
 def idle_lines(lines: DataFrame) -> DataFrame:
     """Lines no arrival can touch; they are never shuffled."""
     return lines.filter(F.coalesce(F.col("available") != 0, F.lit(True)) | F.col("part_code").isNull())
@@ -109,7 +115,7 @@ def allocate_fifo(lines: DataFrame, receipts: DataFrame) -> DataFrame:
     The oldest waiting lines whose needed quantities sum exactly to the arrival become supplied
     (available = needed); without such a prefix nothing changes. One shuffle by part of the touched lines.
     """
-    arrived = receipts.select("part_code", F.col("arrived").alias("_arrived")).filter(F.col("_arrived") > 0)
+    arrived = sized(receipts.select("part_code", F.col("arrived").alias("_arrived")).filter(F.col("_arrived") > 0))
 
     def reached(run: DataFrame, route: Ordinary) -> DataFrame:
         hit = route.key_maximum(run, F.col("running") == F.col("_arrived"), "_hit")
@@ -120,7 +126,8 @@ def allocate_fifo(lines: DataFrame, receipts: DataFrame) -> DataFrame:
 
 # --- sequences of arrivals ----------------------------------------------------------------------
 
-def receipt_decisions(lines: DataFrame, state: DataFrame, receipts: DataFrame, page: int = PAGE) -> DataFrame:
+def receipt_decisions(lines: DataFrame, state: DataFrame, receipts: DataFrame, page: int = PAGE,
+                      hot: list[int] | None = None) -> DataFrame:
     """What each receipt (part_code, seq, arrived) of a sequence does; ``seq`` is unique within a part.
 
     ``state`` is the stock on order: part_code, quantity and optionally ``start``, the position in the part's
@@ -130,19 +137,24 @@ def receipt_decisions(lines: DataFrame, state: DataFrame, receipts: DataFrame, p
     A receipt depends on those before it, so a part's receipts are decided in order, parts in parallel.
     Only the facts this needs travel: the receipts and the distinct running totals within reach.
     A task gets at most ``page`` receipts of a part per round, and the totals these can reach.
+    ``hot`` is for callers that know the hot parts of ``lines`` already (see ``hot_parts``).
     """
-    hot = hot_keys(waiting_lines(lines), PART)
+    hot = hot_parts(lines) if hot is None else hot
     needed = F.coalesce("needed", F.lit(0))
-    facts = lines.groupBy("part_code").agg(
+    per_part = receipts.groupBy("part_code").agg(F.count("*").alias("n"))
+    size = per_part.agg(F.max("n").alias("most"), F.count("*").alias("parts")).first()
+    most, few = size["most"] or 0, size["parts"] <= BROADCAST_ROWS
+    # When few parts receive, lines of other parts are dropped before any shuffle.
+    touched = lines.join(F.broadcast(per_part.select("part_code")), PART, "left_semi") if few else lines
+    facts = touched.groupBy("part_code").agg(
         F.sum(F.when(F.col("available") == 0, needed)).cast("bigint").alias("total"),
         F.count_if((F.col("available") == 0) & (F.col("needed") == 0)).alias("zero_lines"))
 
     def totals(limits: DataFrame) -> DataFrame:
+        limits = F.broadcast(limits) if few else limits
         return by_route(waiting_lines(lines), PART, lambda rows, route: waiting_totals(rows, limits, route), hot)
 
     state = starting_state(state)
-    per_part = receipts.groupBy("part_code").agg(F.count("*").alias("n"))
-    most = per_part.agg(F.max("n").alias("n")).first()["n"] or 0
     if most <= page:
         return decide_receipts(totals, facts, state, receipts)
 
@@ -184,7 +196,7 @@ def allocate_receipts(lines: DataFrame, pending: DataFrame, receipts: DataFrame,
 def supplied_lines(lines: DataFrame, decisions: DataFrame) -> DataFrame:
     """All lines, with those the decisions reach marked supplied."""
     upto = decisions.groupBy("part_code").agg(F.max("to_total").alias("_upto")).filter(F.col("_upto") > 0)
-    return _supplied(lines, upto, lambda run, _: run.withColumn("_reached", F.col("running") <= F.col("_upto")))
+    return _supplied(lines, sized(upto), lambda run, _: run.withColumn("_reached", F.col("running") <= F.col("_upto")))
 
 
 def stock_after(pending: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -17,7 +17,9 @@ from pyspark.sql.types import StructType
 from wrenchline.operators.gates import MODEL, catalog_models
 from wrenchline.operators.maintenance import latest_per_key, purge
 from wrenchline.operators.orders import approvals_of, cost_value, line_amount
-from wrenchline.operators.stock import pending_stock, receipt_decisions, starting_state, state_after
+from wrenchline.operators.stock import (
+    hot_parts, pending_stock, receipt_decisions, starting_state, state_after,
+)
 from wrenchline.schemas import PART_UNSUITABLE, REFUSED, VEHICLE_UNKNOWN
 from wrenchline.sources.versions import is_written, read_version, start_versions, write_version
 
@@ -139,6 +141,7 @@ def stream_receipts(stream: DataFrame, lines: DataFrame, pending: DataFrame, pat
     """
     states = f"{path}/state"
     start_versions(starting_state(pending), states)
+    hot = hot_parts(lines)  # once for all micro-batches, as the lines do not change
 
     def receive(events: DataFrame, batch_id: int) -> None:
         spark = events.sparkSession
@@ -146,7 +149,7 @@ def stream_receipts(stream: DataFrame, lines: DataFrame, pending: DataFrame, pat
             return
         state = read_version(spark, states, batch_id)
         log = f"{path}/decisions/batch={batch_id}"
-        receipt_decisions(lines, state, events).write.mode("overwrite").parquet(log)
+        receipt_decisions(lines, state, events, hot=hot).write.mode("overwrite").parquet(log)
         write_version(state_after(state, spark.read.parquet(log)), states, batch_id + 1)
 
     return each_batch(stream, receive, checkpoint)

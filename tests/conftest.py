@@ -19,9 +19,11 @@ def spark():
 
 @pytest.fixture()
 def hot_spark(spark):
-    """The same session with hot-key detection on for any size and any key above 16 rows."""
+    """The same session with hot-key detection on for any size and any key above 16 rows, and no small sides."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("wrenchline.skew.minBytes", "0")
     spark.conf.set("wrenchline.skew.hotRows", "16")
     yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.unset("wrenchline.skew.minBytes")
     spark.conf.unset("wrenchline.skew.hotRows")

@@ -77,13 +77,13 @@ def test_not_in_follows_null_rules(spark):
     assert skew.not_in(left, "a", right.filter("b > 5"), "b").count() == 3
 
 
-def test_a_side_of_unknown_size_is_counted(spark, monkeypatch):
+def test_small_sides(spark, monkeypatch):
     def hinted(df):
         return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
 
     unknown = spark.createDataFrame(spark.sparkContext.parallelize([(1,), (2,), (3,)]), "a int")
     assert skew.plan_bytes(unknown) >= skew.UNKNOWN_BYTES
-    assert hinted(skew.sized(unknown))
-    assert not hinted(skew.sized(spark.range(3)))  # known size: left to the optimizer
+    assert hinted(skew.sized(unknown)) and hinted(skew.sized(spark.range(3)))
+    assert not skew.is_small(spark.range(10_000_000))
     monkeypatch.setattr(skew, "BROADCAST_ROWS", 2)
     assert not hinted(skew.sized(unknown))

@@ -40,9 +40,11 @@ def decide_receipts(totals: Callable[[DataFrame], DataFrame], facts: DataFrame,
     part = receipts.schema["part_code"].dataType.simpleString()
     seq = receipts.schema["seq"].dataType.simpleString()
     nothing = F.lit(None).cast("bigint")
-    # An unknown arrival takes all the stock on order, so it reaches as far as that.
+    # All receipts applied together take at most the stock on order plus what corrections return to it;
+    # an unknown arrival takes all of that.
     reach = receipts.groupBy("part_code").agg(
         F.sum(F.greatest(F.coalesce("arrived", F.lit(0)), F.lit(0))).cast("bigint").alias("_reach"),
+        F.sum(F.greatest(-F.coalesce("arrived", F.lit(0)), F.lit(0))).cast("bigint").alias("_returned"),
         F.count_if(F.col("arrived").isNull()).alias("_open"))
     asked = reach.join(state, "part_code", "left").join(facts, "part_code", "left")
     header = asked.select(
@@ -52,10 +54,10 @@ def decide_receipts(totals: Callable[[DataFrame], DataFrame], facts: DataFrame,
     bids = receipts.select(
         "part_code", F.lit(1).alias("kind"), F.col("seq"), F.col("arrived").cast("bigint").alias("a"),
         nothing.alias("b"), nothing.alias("c"), nothing.alias("d"))
+    most = F.col("quantity") + F.col("_returned")
     limits = reach.join(state, "part_code").filter(F.col("quantity").isNotNull()).select(
         "part_code", F.col("start").alias("_from"),
-        (F.col("start") + F.col("_reach") + F.when(F.col("_open") > 0, F.col("quantity")).otherwise(0))
-        .alias("_end"))
+        (F.col("start") + F.when(F.col("_open") > 0, most).otherwise(F.least("_reach", most))).alias("_end"))
     stops = totals(limits) \
         .filter((F.col("running") > F.col("_from")) & (F.col("running") <= F.col("_end"))) \
         .select("part_code", "running").distinct() \

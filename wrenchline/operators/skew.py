@@ -36,16 +36,19 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """Mark a lookup side for broadcast if the optimizer knows no size for it and counting finds it small.
+def is_small(df: DataFrame) -> bool:
+    """Whether a lookup side may be broadcast: by Spark's own size threshold, or by counting it where the
+    optimizer knows no size, as for micro-batches."""
+    size = plan_bytes(df)
+    if size < UNKNOWN_BYTES:
+        return size <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
-    Micro-batches carry no statistics. Without this a join with a handful of events would shuffle the whole
-    table on its other side.
-    """
-    if plan_bytes(df) < UNKNOWN_BYTES:
-        return df
-    few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(df) if few else df
+
+def sized(df: DataFrame) -> DataFrame:
+    """Mark a small lookup side for broadcast, so that a handful of events never makes a join shuffle its
+    whole other side."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def key_hash(keys: Sequence[str]) -> Column:
@@ -128,7 +131,12 @@ def by_route(df: DataFrame, keys: Sequence[str], steps: Callable[[DataFrame, Ord
 
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
                 hot: list[int] | None = None) -> DataFrame:
-    """Equi-join in which ``right`` has at most one row per key (any number for semi and anti joins)."""
+    """Equi-join in which ``right`` has at most one row per key (any number for semi and anti joins).
+
+    A small ``right`` is broadcast, and then no key is hot. Otherwise see ``by_route``.
+    """
+    if hot is None and is_small(right):
+        return left.join(F.broadcast(right), list(on), how)
     return by_route(left, list(on), lambda rows, route: route.join(rows, right, how), hot)
 
 

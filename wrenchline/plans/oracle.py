@@ -82,7 +82,8 @@ DECIDED = """
             LEFT JOIN prefix p ON p.part_code = s.part_code AND p.running = s.to_total + r.arrived)),
     decided AS (SELECT * FROM step WHERE n > 0)"""
 
-COST = "CAST(round(CAST({labor} * 25 AS DECIMAL(28,3)) + CAST({quote} AS DECIMAL(28,3)) * CAST(1.1 AS DECIMAL(3,1)), 0) AS BIGINT)"
+COST = """CAST(round(CAST({labor} * 25 AS DECIMAL(28,3))
+    + CAST({quote} AS DECIMAL(28,3)) * CAST(1.1 AS DECIMAL(3,1)), 0) AS BIGINT)"""
 
 
 def _with(names: str, body: str, extra: str = "", recursive: bool = False) -> str:
@@ -166,7 +167,8 @@ ORACLE: dict[str, str] = {
         WHERE round(price, 0) NOT BETWEEN -32768 AND 32767"""),
     "constraint_report": _with("people staff vehicles jobs lines decisions waiting pending catalog", " UNION ALL ".join(
         f"SELECT '{rule}' AS rule, '{table}' AS table_name, ({query}) AS violations" for rule, table, query in (
-            ("key(order_id)", "orders", "SELECT count(*) FROM (SELECT 1 FROM jobs GROUP BY order_id HAVING count(*) > 1)"),
+            ("key(order_id)", "orders",
+             "SELECT count(*) FROM (SELECT 1 FROM jobs GROUP BY order_id HAVING count(*) > 1)"),
             ("key(part_code,version)", "catalog",
              "SELECT count(*) FROM (SELECT 1 FROM catalog GROUP BY part_code HAVING count(*) > 1)"),
             ("key(order_id,part_code)", "lines",

@@ -9,12 +9,25 @@ from pyspark.sql import functions as F
 
 from wrenchline.llm.decontamination import contamination
 from wrenchline.llm.minhash import near_duplicates
+from wrenchline.llm.quality import quality_scores, train_quality
+from wrenchline.llm.shared import fold
+from wrenchline.llm.toxicity import predicted, toxicity_scores, train_toxicity
+
+TOXIC_LEAST = 0.7
+QUALITY_LEAST = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 3) == 1
+    model = train_toxicity(docs.filter(~held_out), table(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity_scores(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", predicted("score", TOXIC_LEAST))
+
+
 def op2_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["words"])
@@ -23,12 +36,21 @@ def op2_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
+def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 0
+    model = train_quality(docs.filter(~held_out), table(spark, sf_dir, "labels").filter(~held_out))
+    return quality_scores(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", predicted("score", QUALITY_LEAST))
+
+
 def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ftrl_toxicity": op1_ftrl_toxicity,
     "op2_fm_index": op2_fm_index,
+    "op6_subword_quality": op6_subword_quality,
     "op8_bbit_minhash": op8_bbit_minhash,
 }
 

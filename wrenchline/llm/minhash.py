@@ -32,6 +32,8 @@ BANDS = 32
 BITS = 2
 MARGIN = 0.2  # over four standard deviations of the estimate at the threshold
 TILE_ROWS = 1024
+#: The first round looks into so many bands only: it joins most copies, which later rounds, in all bands, then skip.
+FIRST_BANDS = 8
 #: Pairs compared at a time within a tile.
 PAIR_BLOCK = 1 << 20
 #: All pairs between components are confirmed once there are at most so many for each document.
@@ -103,13 +105,19 @@ def packed(low: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits << (np.arange(per, dtype=U64) * U64(BITS)), axis=2)
 
 
-def estimates(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Similarity from packed rows (last axis), corrected for the 2**-BITS chance that different minima agree."""
-    apart = left ^ right
-    apart = (apart | (apart >> U64(1))) & _LOW
-    agree = 1 - np.bitwise_count(apart).sum(axis=-1, dtype=np.int64) / PERMUTATIONS
+def mismatches(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Minima whose kept bits differ, from packed rows (the last axis holds their words)."""
+    out = np.zeros(np.broadcast_shapes(left.shape[:-1], right.shape[:-1]), np.int16)
+    for w in range(_WORDS):
+        apart = left[..., w] ^ right[..., w]
+        out += np.bitwise_count((apart | (apart >> U64(1))) & _LOW)
+    return out
+
+
+def estimated(apart: np.ndarray) -> np.ndarray:
+    """Similarity for so many mismatches, corrected for the 2**-BITS chance that different minima agree."""
     chance = 2.0 ** -BITS
-    return (agree - chance) / (1 - chance)
+    return (1 - apart / PERMUTATIONS - chance) / (1 - chance)
 
 
 _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"
@@ -143,38 +151,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed, _SIGNED)
 
 
-_PAIRS = "a long, b long, comp_a long, comp_b long, est double"
-
-
-def _tile_pairs(lengths: np.ndarray, starts: np.ndarray, side: np.ndarray, square: np.ndarray
-                ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of consecutive tiles, about ``PAIR_BLOCK`` at a time.
-
-    In a square tile every pair once, else pairs of rows of different sides. Small tiles are taken by their length,
-    many together; large ones in stripes.
-    """
-    for length in np.unique(lengths):
-        same = starts[lengths == length]
-        whole = square[lengths == length]
-        if length < 2:
-            continue
-        if length <= 64:
-            i, j = np.triu_indices(int(length), 1)
-            step = max(1, PAIR_BLOCK // len(i))
-            for k in range(0, len(same), step):
-                at = same[k:k + step, None]
-                left, right = (at + i).ravel(), (at + j).ravel()
-                keep = np.repeat(whole[k:k + step], len(i)) | (side[left] != side[right])
-                yield left[keep], right[keep]
-        else:
-            for at, full in zip(same, whole, strict=True):
-                rows = np.arange(at, at + length)
-                step = max(1, PAIR_BLOCK // int(length))
-                for k in range(0, int(length), step):
-                    left = np.repeat(rows[k:k + step], length)
-                    right = np.tile(rows, len(rows[k:k + step]))
-                    keep = (left < right) if full else ((side[left] == 0) & (side[right] == 1))
-                    yield left[keep], right[keep]
+_PAIRS = "a long, b long, comp_a long, comp_b long, est double, n long"
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -197,8 +174,68 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest
 
 
+class _Best:
+    """For each row of a table the partner with the fewest mismatches (ties: the smallest id), and a count."""
+
+    def __init__(self, doc: np.ndarray):
+        self.doc, self.apart = doc, np.full(len(doc), PERMUTATIONS + 1, np.int16)
+        self.partner, self.counts = np.full(len(doc), -1), np.zeros(len(doc), np.int64)
+
+    def offer(self, rows: np.ndarray, others: np.ndarray, apart: np.ndarray) -> None:
+        """Each row at most once."""
+        old = self.partner[rows]
+        better = (apart < self.apart[rows]) | (
+            (apart == self.apart[rows]) & (old >= 0) & (self.doc[others] < self.doc[old]))
+        self.apart[rows[better]], self.partner[rows[better]] = apart[better], others[better]
+
+
+def _small_tiles(sig, comp, starts, length, most, best: _Best | None):
+    """All pairs of many tiles of the same few rows each."""
+    i, j = np.triu_indices(int(length), 1)
+    step = max(1, PAIR_BLOCK // len(i))
+    for k in range(0, len(starts), step):
+        at = starts[k:k + step, None]
+        left, right = (at + i).ravel(), (at + j).ravel()
+        apart = mismatches(sig[left], sig[right])
+        near = (comp[left] != comp[right]) & (apart <= most)
+        left, right, apart = left[near], right[near], apart[near]
+        if best is None:
+            yield left, right, apart
+            continue
+        rows, others, both = np.append(left, right), np.append(right, left), np.append(apart, apart)
+        np.add.at(best.counts, rows, 1)
+        order = np.lexsort((best.doc[others], both, rows))
+        rows, others, both = rows[order], others[order], both[order]
+        head = np.ones(len(rows), bool)
+        head[1:] = rows[1:] != rows[:-1]
+        best.offer(rows[head], others[head], both[head])
+
+
+def _large_tile(sig, comp, left, right, square, most, best: _Best | None):
+    """Rows ``left`` against rows ``right`` (both by ascending id) in stripes."""
+    step = max(1, PAIR_BLOCK // max(len(right), 1))
+    for k in range(0, len(left), step):
+        rows = left[k:k + step]
+        apart = mismatches(sig[rows][:, None, :], sig[right][None, :, :])
+        near = (apart <= most) & (comp[rows][:, None] != comp[right][None, :])
+        if square:
+            near &= rows[:, None] < right[None, :]
+        if best is None:
+            i, j = np.nonzero(near)
+            yield rows[i], right[j], apart[i, j]
+            continue
+        apart[~near] = PERMUTATIONS + 1
+        for own, others, axis in ((rows, right, 1), (right, rows, 0)):
+            count = near.sum(axis=axis)
+            best.counts[own] += count
+            some = np.flatnonzero(count)
+            at = apart.argmin(axis=axis)[some]
+            best.offer(own[some], others[at], apart[some, at] if axis else apart[at, some])
+
+
 def _compare(least: float, every: bool):
     """Compare the rows of each tile: ``every`` candidate pair between components, or for each row the best one."""
+    most = int(np.floor(PERMUTATIONS * (1 - 2.0 ** -BITS) * (1 - least) + 1e-9))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _tiles(batches):
@@ -209,42 +246,34 @@ def _compare(least: float, every: bool):
             starts = np.flatnonzero(new)
             lengths = np.diff(np.append(starts, len(table)))
             square = values["ti"][starts] == values["tj"][starts]
-            doc, comp = values["doc_id"], values["comp"]
-            best, partner = np.full(len(table), -1.0), np.full(len(table), -1)
-            for left, right in _tile_pairs(lengths, starts, values["side"], square):
-                apart = comp[left] != comp[right]
-                left, right = left[apart], right[apart]
-                est = estimates(sig[left], sig[right])
-                near = est >= least
-                left, right, est = left[near], right[near], est[near]
-                if every:
-                    if len(left):
-                        yield _pairs(doc[left], doc[right], comp[left], comp[right], est)
-                    continue
-                # The largest estimate of each row; ties go to the smallest partner.
-                rows, others = np.concatenate([left, right]), np.concatenate([right, left])
-                both = np.concatenate([est, est])
-                order = np.lexsort((doc[others], -both, rows))
-                rows, others, both = rows[order], others[order], both[order]
-                head = np.ones(len(rows), bool)
-                head[1:] = rows[1:] != rows[:-1]
-                rows, others, both = rows[head], others[head], both[head]
-                better = both > best[rows]
-                tie = (both == best[rows]) & (partner[rows] >= 0)
-                better |= tie & (doc[others] < doc[partner[rows]])
-                best[rows[better]], partner[rows[better]] = both[better], others[better]
-            if not every:
-                got = np.flatnonzero(partner >= 0)
+            doc, comp, side = values["doc_id"], values["comp"], values["side"]
+            best = None if every else _Best(doc)
+
+            def candidates():
+                small = square & (lengths <= 64)
+                for length in np.unique(lengths[small]):
+                    if length > 1:
+                        yield from _small_tiles(sig, comp, starts[small & (lengths == length)], length, most, best)
+                for t in np.flatnonzero(~small):
+                    rows = np.arange(starts[t], starts[t] + lengths[t])
+                    left, right = (rows, rows) if square[t] else (rows[side[rows] == 0], rows[side[rows] == 1])
+                    yield from _large_tile(sig, comp, left, right, square[t], most, best)
+
+            for left, right, apart in candidates():
+                if len(left):
+                    yield _pairs(doc[left], doc[right], comp[left], comp[right], estimated(apart),
+                                 np.ones(len(left), np.int64))
+            if best is not None:
+                got = np.flatnonzero(best.partner >= 0)
                 if len(got):
-                    to = partner[got]
-                    yield _pairs(doc[got], doc[to], comp[got], comp[to], best[got])
+                    to = best.partner[got]
+                    yield _pairs(doc[got], doc[to], comp[got], comp[to], estimated(best.apart[got]), best.counts[got])
 
     return compare
 
 
-def _pairs(a, b, comp_a, comp_b, est) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, comp_a, comp_b, est)],
-                                      ["a", "b", "comp_a", "comp_b", "est"])
+def _pairs(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "comp_a", "comp_b", "est", "n"])
 
 
 def in_tiles(members: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -259,7 +288,7 @@ def in_tiles(members: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     return (tiles.withColumn("ti", F.least("_own", "_other")).withColumn("tj", F.greatest("_own", "_other"))
             .withColumn("side", (F.col("_own") > F.col("_other")).cast("int"))
             .drop("_n", "_own", "_other", "size")
-            .repartition(F.col("key"), F.col("ti"), F.col("tj")).sortWithinPartitions("key", "ti", "tj"))
+            .repartition(F.col("key"), F.col("ti"), F.col("tj")).sortWithinPartitions("key", "ti", "tj", "doc_id"))
 
 
 _CONFIRMED = "a long, b long"
@@ -321,46 +350,46 @@ def near_duplicates(docs: DataFrame, per_cent: int = THRESHOLD, tile_rows: int =
     classes = pinned(with_words.groupBy(*same_set).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     single = classes.select(F.col("first").alias("doc_id"))
     members = (with_words.join(single, "doc_id", "left_semi")
-               .select("doc_id", F.explode("bands").alias("key")))
+               .select("doc_id", F.posexplode("bands").alias("band", "key")))
     shared = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     sigs = with_words.select("doc_id", "sig")
-    members = pinned(members.join(shared, "key").join(sigs, "doc_id").select("key", "doc_id", "size", "sig"))
+    members = pinned(members.join(shared, "key").join(sigs, "doc_id").select("key", "band", "doc_id", "size", "sig"))
 
     least = per_cent / 100 - MARGIN
-    n_docs = members.select("doc_id").distinct().count()
-    open_members = members.withColumn("comp", F.col("doc_id"))
+    few = 2 * PAIRS_PER_DOCUMENT * classes.count()
+    open_members = members.filter(F.col("band") < FIRST_BANDS).withColumn("comp", F.col("doc_id"))
     links: DataFrame | None = None
     comps: DataFrame | None = None
-    last = n_docs == 0
-    while not last:
+    stalled, later = False, False
+    while True:
         tiles = in_tiles(open_members, tile_rows)
-        if comps is not None:
-            candidates = tiles.mapInArrow(_compare(least, every=True), _PAIRS)
-            last = candidates.limit(PAIRS_PER_DOCUMENT * n_docs + 1).count() <= PAIRS_PER_DOCUMENT * n_docs
+        partners = pinned(tiles.mapInArrow(_compare(least, every=False), _PAIRS))
+        left = partners.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if later and not left:
+            break
+        last = stalled or (later and left <= few)
         if last:
-            candidates = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            candidates = tiles.mapInArrow(_compare(least, every=True), _PAIRS).select("a", "b")
         else:
-            partners = tiles.mapInArrow(_compare(least, every=False), _PAIRS)
             best = partners.groupBy("comp_a").agg(F.max(F.struct(
                 F.col("est"), (-F.col("comp_b")).alias("c"), (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("m"))
-            candidates = best.select((-F.col("m.x")).alias("p"), (-F.col("m.y")).alias("q")).select(
-                F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        found = pinned(confirmed(candidates, docs, per_cent))
-        links = found if links is None else links.unionByName(found)
-        fresh = components(links)
-        if not last and comps is not None and not found.limit(1).count():
-            last = True  # no best link holds: confirm what is left, however many
-            candidates = tiles.mapInArrow(_compare(least, every=True), _PAIRS).select(
-                F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            links = links.unionByName(pinned(confirmed(candidates, docs, per_cent)))
-            fresh = components(links)
-        comps = fresh
-        if not last:
+            candidates = best.select((-F.col("m.x")).alias("a"), (-F.col("m.y")).alias("b"))
+        found = pinned(confirmed(
+            candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, per_cent))
+        none = not found.limit(1).count()
+        if not none:
+            links = found if links is None else links.unionByName(found)
+            comps = components(links)
+        if last:
+            break
+        stalled, later = later and none, True
+        with_comp = members.withColumn("comp", F.col("doc_id"))
+        if comps is not None:
             renamed = comps.select(F.col("node").alias("doc_id"), "comp")
             with_comp = (members.join(renamed, "doc_id", "left")
                          .withColumn("comp", F.coalesce("comp", "doc_id")))
-            mixed = with_comp.groupBy("key").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).filter("_l < _h")
-            open_members = pinned(with_comp.join(mixed.select("key"), "key", "left_semi"))
+        mixed = with_comp.groupBy("key").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).filter("_l < _h")
+        open_members = pinned(with_comp.join(mixed.select("key"), "key", "left_semi"))
 
     firsts = classes.filter("copies > 1").select(*same_set, "first")
     out = signed.select("doc_id", *same_set).join(firsts, same_set, "left").withColumn(

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wrenchline.llm.decontamination import contamination
 from wrenchline.llm.minhash import near_duplicates
+from wrenchline.llm.packing import pack
 from wrenchline.llm.quality import quality_scores, train_quality
 from wrenchline.llm.shared import fold
 from wrenchline.llm.toxicity import predicted, toxicity_scores, train_toxicity
@@ -47,11 +49,16 @@ def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ftrl_toxicity": op1_ftrl_toxicity,
     "op2_fm_index": op2_fm_index,
     "op6_subword_quality": op6_subword_quality,
     "op8_bbit_minhash": op8_bbit_minhash,
+    "op10_grouping_genetic": op10_grouping_genetic,
 }
 
 #: Words of a text in which A-Z are lower-cased.

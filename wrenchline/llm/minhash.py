@@ -398,4 +398,4 @@ def near_duplicates(docs: DataFrame, per_cent: int = THRESHOLD, tile_rows: int =
         out = out.join(comps.select(F.col("node").alias("first"), "comp"), "first", "left").withColumn(
             "first", F.coalesce("comp", "first"))
     return out.select("doc_id", "n_shingles", F.col("first").alias("component_id"),
-                      (F.col("doc_id") == F.col("first")).alias("kept"))
+                      F.col("doc_id").eqNullSafe(F.col("first")).alias("kept"))

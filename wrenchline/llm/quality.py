@@ -16,8 +16,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wrenchline.llm.shared import labelled_sample
+from wrenchline.llm.shared import fresh_name, labelled_sample
 from wrenchline.llm.textbytes import (NOT_SPACE, U64, Chunk, chunks, constants, mix, owners, per_text, span_hashes,
                                       spans)
 
@@ -155,7 +157,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", ro
                          for b, c, y in zip(got["buckets"], got["counts"], got["label"], strict=True)])
 
 
-def _scored(broadcast, passed: list[str]):
+def _scored(broadcast, passed: list[str], score_name: str = "score"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = broadcast.value
         for batch in batches:
@@ -170,7 +172,7 @@ def _scored(broadcast, passed: list[str]):
                 mean = total / np.maximum(features, 1)
                 score = 1 / (1 + np.exp(-np.clip(mean + model.intercept, -35, 35)))
                 own = batch.slice(chunk.first, chunk.last - chunk.first)
-                yield pa.RecordBatch.from_arrays([*(own.column(n) for n in passed), pa.array(score)], [*passed, "score"])
+                yield pa.RecordBatch.from_arrays([*(own.column(n) for n in passed), pa.array(score)], [*passed, score_name])
 
     return run
 
@@ -185,3 +187,12 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_scored(broadcast, ["doc_id"]), f"doc_id {id_type}, score double")
+
+
+def good_documents(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``least``."""
+    score = fresh_name("score", docs.columns)
+    broadcast = docs.sparkSession.sparkContext.broadcast(model)
+    scored = docs.mapInArrow(_scored(broadcast, docs.columns, score), T.StructType(
+        [*docs.schema.fields, T.StructField(score, T.DoubleType())]))
+    return scored.filter(F.col(score) >= least).drop(score)

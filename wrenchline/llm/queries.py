@@ -13,6 +13,7 @@ from wrenchline.llm.minhash import near_duplicates
 from wrenchline.llm.packing import pack
 from wrenchline.llm.quality import quality_scores, train_quality
 from wrenchline.llm.shared import fold
+from wrenchline.llm.templates import without_recurring_lines
 from wrenchline.llm.toxicity import predicted, toxicity_scores, train_toxicity
 
 TOXIC_LEAST = 0.7
@@ -38,6 +39,10 @@ def op2_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
+def op5_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_recurring_lines(table(spark, sf_dir, "documents"), counts=True)
+
+
 def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 0
     model = train_quality(docs.filter(~held_out), table(spark, sf_dir, "labels").filter(~held_out))
@@ -56,6 +61,7 @@ def op10_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ftrl_toxicity": op1_ftrl_toxicity,
     "op2_fm_index": op2_fm_index,
+    "op5_template_tree": op5_template_tree,
     "op6_subword_quality": op6_subword_quality,
     "op8_bbit_minhash": op8_bbit_minhash,
     "op10_grouping_genetic": op10_grouping_genetic,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wrenchline.llm.decontamination import contamination
+from wrenchline.llm.language import languages, train_languages
 from wrenchline.llm.minhash import near_duplicates
 from wrenchline.llm.packing import pack
 from wrenchline.llm.quality import quality_scores, train_quality
@@ -39,6 +40,12 @@ def op2_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
+def op3_marginal_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2
+    model = train_languages(docs.filter(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
+    return languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_recurring_lines(table(spark, sf_dir, "documents"), counts=True)
 
@@ -61,6 +68,7 @@ def op10_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ftrl_toxicity": op1_ftrl_toxicity,
     "op2_fm_index": op2_fm_index,
+    "op3_marginal_unigrams": op3_marginal_unigrams,
     "op5_template_tree": op5_template_tree,
     "op6_subword_quality": op6_subword_quality,
     "op8_bbit_minhash": op8_bbit_minhash,

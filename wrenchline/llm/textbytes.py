@@ -125,12 +125,20 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+class SpanHashes:
+    """Hash of any byte span (polynomial over the bytes, then mixed), by differences of one running sum."""
+
+    def __init__(self, data: np.ndarray, values: np.ndarray = BYTE_VALUES):
+        up, self.down = powers(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, U64)
+        np.cumsum(values[data] * up[:-1], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U64))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    """Hash of each byte span (polynomial over the bytes, then mixed), by differences of one running sum."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(values[data] * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    return SpanHashes(data, values)(starts, ends)
 
 
 def words(chunk: Chunk, inside: np.ndarray) -> Words:

@@ -12,6 +12,7 @@ from wrenchline.llm.decontamination import contamination
 from wrenchline.llm.language import languages, train_languages
 from wrenchline.llm.minhash import near_duplicates
 from wrenchline.llm.packing import pack
+from wrenchline.llm.pivots import near_vectors
 from wrenchline.llm.quality import quality_scores, train_quality
 from wrenchline.llm.shared import fold
 from wrenchline.llm.templates import without_recurring_lines
@@ -46,6 +47,10 @@ def op3_marginal_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_recurring_lines(table(spark, sf_dir, "documents"), counts=True)
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ftrl_toxicity": op1_ftrl_toxicity,
     "op2_fm_index": op2_fm_index,
     "op3_marginal_unigrams": op3_marginal_unigrams,
+    "op4_pivot_permutations": op4_pivot_permutations,
     "op5_template_tree": op5_template_tree,
     "op6_subword_quality": op6_subword_quality,
     "op8_bbit_minhash": op8_bbit_minhash,

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from wrenchline.llm.decontamination import contamination
 from wrenchline.llm.language import languages, train_languages
 from wrenchline.llm.minhash import near_duplicates
+from wrenchline.llm.offsets import section_tokens
 from wrenchline.llm.packing import pack
 from wrenchline.llm.pivots import near_vectors
 from wrenchline.llm.quality import quality_scores, train_quality
 from wrenchline.llm.shared import fold
 from wrenchline.llm.templates import without_recurring_lines
 from wrenchline.llm.toxicity import predicted, toxicity_scores, train_toxicity
+from wrenchline.llm.urls import judge_urls
 
 TOXIC_LEAST = 0.7
 QUALITY_LEAST = 0.3
@@ -62,10 +64,18 @@ def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", predicted("score", QUALITY_LEAST))
 
 
+def op7_host_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_offset_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -77,7 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pivot_permutations": op4_pivot_permutations,
     "op5_template_tree": op5_template_tree,
     "op6_subword_quality": op6_subword_quality,
+    "op7_host_segmentation": op7_host_segmentation,
     "op8_bbit_minhash": op8_bbit_minhash,
+    "op9_offset_attribution": op9_offset_attribution,
     "op10_grouping_genetic": op10_grouping_genetic,
 }
 

@@ -52,3 +52,11 @@ class PieceEncoder:
                 self.known[piece] = np.array(got.ids, "<u4").tobytes()
         known = self.known
         return [whole[i] if i in whole else b"".join([known[p] for p in pieces]) for i, pieces in enumerate(cut)]
+
+    def byte_lengths(self) -> np.ndarray:
+        """Bytes of each id. The vocabulary writes every byte as one character; a special token stands for its string."""
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        out = np.zeros(size, np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            out[i] = len(token.encode()) if token in self.special else len(token)
+        return out

@@ -27,17 +27,21 @@ from wrenchline.session import pinned
 
 SHINGLE = 5
 THRESHOLD = 75  # per cent
+BROADCAST_PAIRS = 200_000
 PERMUTATIONS = 128
 BANDS = 32
 BITS = 2
-MARGIN = 0.2  # over four standard deviations of the estimate at the threshold
+#: Room for the error of the estimate: three and a half of its standard deviations at the threshold.
+MARGIN = 0.16
+#: A pair estimated so far above the threshold is nearly always a link.
+STRONG = 0.05
 TILE_ROWS = 1024
 #: The first round looks into so many bands only: it joins most copies, which later rounds, in all bands, then skip.
 FIRST_BANDS = 8
-#: Pairs compared at a time within a tile.
+#: Pairs of small tiles compared at a time.
 PAIR_BLOCK = 1 << 20
 #: All pairs between components are confirmed once there are at most so many for each document.
-PAIRS_PER_DOCUMENT = 2
+PAIRS_PER_DOCUMENT = 0.5
 
 _ROWS = PERMUTATIONS // BANDS
 _WORDS = PERMUTATIONS * BITS // 64
@@ -114,10 +118,9 @@ def mismatches(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
-def estimated(apart: np.ndarray) -> np.ndarray:
-    """Similarity for so many mismatches, corrected for the 2**-BITS chance that different minima agree."""
-    chance = 2.0 ** -BITS
-    return (1 - apart / PERMUTATIONS - chance) / (1 - chance)
+def expected_mismatches(similarity: float) -> int:
+    """Mismatches at that similarity, corrected for the 2**-BITS chance that different minima agree."""
+    return int(PERMUTATIONS * (1 - 2.0 ** -BITS) * (1 - similarity) + 1e-9)
 
 
 _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"
@@ -151,10 +154,10 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed, _SIGNED)
 
 
-_PAIRS = "a long, b long, comp_a long, comp_b long, est double, n long"
+_PAIRS = "a long, b long, comp_a long, comp_b long, worth long, n long"
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Put the rows of each tile together: the input is sorted by tile, a tile may cross batches."""
     rest: pa.Table | None = None
     for batch in batches:
@@ -175,18 +178,26 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 class _Best:
-    """For each row of a table the partner with the fewest mismatches (ties: the smallest id), and a count."""
+    """For each row of a table its most promising partner, and the number of its candidates.
 
-    def __init__(self, doc: np.ndarray):
-        self.doc, self.apart = doc, np.full(len(doc), PERMUTATIONS + 1, np.int16)
+    A pair estimated well above the threshold is strong. A row prefers a strong partner with many strong partners, which is
+    the middle of a group of copies, so that groups merge in few rounds; then the fewest mismatches, then the
+    smallest id. The order of preference is one number, ``worth``.
+    """
+
+    def __init__(self, doc: np.ndarray, strong: int):
+        self.doc, self.strong, self.worth = doc, strong, np.full(len(doc), -1)
         self.partner, self.counts = np.full(len(doc), -1), np.zeros(len(doc), np.int64)
 
-    def offer(self, rows: np.ndarray, others: np.ndarray, apart: np.ndarray) -> None:
+    def rate(self, apart: np.ndarray, degree: np.ndarray) -> np.ndarray:
+        return np.where(apart <= self.strong, degree + 1, 0) * (PERMUTATIONS + 1) + PERMUTATIONS - apart
+
+    def offer(self, rows: np.ndarray, others: np.ndarray, worth: np.ndarray) -> None:
         """Each row at most once."""
         old = self.partner[rows]
-        better = (apart < self.apart[rows]) | (
-            (apart == self.apart[rows]) & (old >= 0) & (self.doc[others] < self.doc[old]))
-        self.apart[rows[better]], self.partner[rows[better]] = apart[better], others[better]
+        better = (worth > self.worth[rows]) | (
+            (worth == self.worth[rows]) & (old >= 0) & (self.doc[others] < self.doc[old]))
+        self.worth[rows[better]], self.partner[rows[better]] = worth[better], others[better]
 
 
 def _small_tiles(sig, comp, starts, length, most, best: _Best | None):
@@ -200,45 +211,45 @@ def _small_tiles(sig, comp, starts, length, most, best: _Best | None):
         near = (comp[left] != comp[right]) & (apart <= most)
         left, right, apart = left[near], right[near], apart[near]
         if best is None:
-            yield left, right, apart
+            yield left, right
             continue
         rows, others, both = np.append(left, right), np.append(right, left), np.append(apart, apart)
         np.add.at(best.counts, rows, 1)
-        order = np.lexsort((best.doc[others], both, rows))
-        rows, others, both = rows[order], others[order], both[order]
+        degree = np.bincount(rows[both <= best.strong], minlength=len(comp))
+        worth = best.rate(both, degree[others])
+        order = np.lexsort((best.doc[others], -worth, rows))
+        rows, others, worth = rows[order], others[order], worth[order]
         head = np.ones(len(rows), bool)
         head[1:] = rows[1:] != rows[:-1]
-        best.offer(rows[head], others[head], both[head])
+        best.offer(rows[head], others[head], worth[head])
 
 
 def _large_tile(sig, comp, left, right, square, most, best: _Best | None):
-    """Rows ``left`` against rows ``right`` (both by ascending id) in stripes."""
-    step = max(1, PAIR_BLOCK // max(len(right), 1))
-    for k in range(0, len(left), step):
-        rows = left[k:k + step]
-        apart = mismatches(sig[rows][:, None, :], sig[right][None, :, :])
-        near = (apart <= most) & (comp[rows][:, None] != comp[right][None, :])
-        if square:
-            near &= rows[:, None] < right[None, :]
-        if best is None:
-            i, j = np.nonzero(near)
-            yield rows[i], right[j], apart[i, j]
-            continue
-        apart[~near] = PERMUTATIONS + 1
-        for own, others, axis in ((rows, right, 1), (right, rows, 0)):
-            count = near.sum(axis=axis)
-            best.counts[own] += count
-            some = np.flatnonzero(count)
-            at = apart.argmin(axis=axis)[some]
-            best.offer(own[some], others[at], apart[some, at] if axis else apart[at, some])
-
-
-def _compare(least: float, every: bool):
+    """Rows ``left`` against rows ``right``, both by ascending id."""
+    apart = mismatches(sig[left][:, None, :], sig[right][None, :, :])
+    near = (apart <= most) & (comp[left][:, None] != comp[right][None, :])
+    if best is None:
+        i, j = np.nonzero(np.triu(near, 1) if square else near)
+        yield left[i], right[j]
+        return
+    strong = near & (apart <= best.strong)
+    sides = [(left, right, 1)] if square else [(left, right, 1), (right, left, 0)]
+    for own, others, axis in sides:
+        count = near.sum(axis=axis)
+        best.counts[own] += count
+        some = np.flatnonzero(count)
+        degree = strong.sum(axis=1 - axis)
+        worth = np.where(near, best.rate(apart, degree[None, :] if axis else degree[:, None]), -1)
+        at = worth.argmax(axis=axis)[some]
+        best.offer(own[some], others[at], worth[some, at] if axis else worth[at, some])
+
+
+def _compare(threshold: float, every: bool):
     """Compare the rows of each tile: ``every`` candidate pair between components, or for each row the best one."""
-    most = int(np.floor(PERMUTATIONS * (1 - 2.0 ** -BITS) * (1 - least) + 1e-9))
+    most, strong = expected_mismatches(threshold - MARGIN), expected_mismatches(threshold + STRONG)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _tiles(batches):
+        for table in tiles_of(batches):
             values = {n: table.column(n).to_numpy() for n in ("key", "ti", "tj", "doc_id", "comp", "side")}
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), U64).reshape(-1, _WORDS)
             new = np.ones(len(table), bool)
@@ -247,7 +258,7 @@ def _compare(least: float, every: bool):
             lengths = np.diff(np.append(starts, len(table)))
             square = values["ti"][starts] == values["tj"][starts]
             doc, comp, side = values["doc_id"], values["comp"], values["side"]
-            best = None if every else _Best(doc)
+            best = None if every else _Best(doc, strong)
 
             def candidates():
                 small = square & (lengths <= 64)
@@ -259,21 +270,20 @@ def _compare(least: float, every: bool):
                     left, right = (rows, rows) if square[t] else (rows[side[rows] == 0], rows[side[rows] == 1])
                     yield from _large_tile(sig, comp, left, right, square[t], most, best)
 
-            for left, right, apart in candidates():
+            for left, right in candidates():
                 if len(left):
-                    yield _pairs(doc[left], doc[right], comp[left], comp[right], estimated(apart),
-                                 np.ones(len(left), np.int64))
+                    yield _pairs(doc[left], doc[right], comp[left], comp[right], *np.ones((2, len(left)), np.int64))
             if best is not None:
                 got = np.flatnonzero(best.partner >= 0)
                 if len(got):
                     to = best.partner[got]
-                    yield _pairs(doc[got], doc[to], comp[got], comp[to], estimated(best.apart[got]), best.counts[got])
+                    yield _pairs(doc[got], doc[to], comp[got], comp[to], best.worth[got], best.counts[got])
 
     return compare
 
 
 def _pairs(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "comp_a", "comp_b", "est", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "comp_a", "comp_b", "worth", "n"])
 
 
 def in_tiles(members: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -329,9 +339,16 @@ def _all_shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (``a``, ``b``) whose whole shingle sets have at least that similarity."""
+    """Pairs (``a``, ``b``) whose whole shingle sets have at least that similarity.
+
+    Up to ``BROADCAST_PAIRS`` pairs, 16 bytes each, are broadcast, so that only the texts they name are shuffled.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with_a = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    pairs = pinned(pairs.select("a", "b"))
+    if pairs.count() <= BROADCAST_PAIRS:
+        named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = pinned(texts.join(F.broadcast(named), "doc_id"))
+    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(per_cent), _CONFIRMED)
 
@@ -355,24 +372,23 @@ def near_duplicates(docs: DataFrame, per_cent: int = THRESHOLD, tile_rows: int =
     sigs = with_words.select("doc_id", "sig")
     members = pinned(members.join(shared, "key").join(sigs, "doc_id").select("key", "band", "doc_id", "size", "sig"))
 
-    least = per_cent / 100 - MARGIN
-    few = 2 * PAIRS_PER_DOCUMENT * classes.count()
+    few = PAIRS_PER_DOCUMENT * classes.count()
     open_members = members.filter(F.col("band") < FIRST_BANDS).withColumn("comp", F.col("doc_id"))
     links: DataFrame | None = None
     comps: DataFrame | None = None
     stalled, later = False, False
     while True:
         tiles = in_tiles(open_members, tile_rows)
-        partners = pinned(tiles.mapInArrow(_compare(least, every=False), _PAIRS))
+        partners = pinned(tiles.mapInArrow(_compare(per_cent / 100, every=False), _PAIRS))
         left = partners.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if later and not left:
             break
         last = stalled or (later and left <= few)
         if last:
-            candidates = tiles.mapInArrow(_compare(least, every=True), _PAIRS).select("a", "b")
+            candidates = tiles.mapInArrow(_compare(per_cent / 100, every=True), _PAIRS).select("a", "b")
         else:
             best = partners.groupBy("comp_a").agg(F.max(F.struct(
-                F.col("est"), (-F.col("comp_b")).alias("c"), (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("m"))
+                F.col("worth"), (-F.col("comp_b")).alias("c"), (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("m"))
             candidates = best.select((-F.col("m.x")).alias("a"), (-F.col("m.y")).alias("b"))
         found = pinned(confirmed(
             candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, per_cent))

@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wrenchline.llm.shared import fresh_name, labelled_sample
-from wrenchline.llm.textbytes import (NOT_SPACE, U64, Chunk, chunks, constants, mix, owners, per_text, span_hashes,
+from wrenchline.llm.textbytes import (NOT_SPACE, U64, Chunk, SpanHashes, chunks, constants, mix, owners, per_text,
                                       spans)
 
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 #: Characters of the n-grams within a word.
 GRAMS = (3, 4)
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS = 2_000
 SAMPLE_CHARACTERS = 20_000
 EPOCHS = 8
 RATE = 0.5
@@ -51,7 +51,8 @@ class Subwords:
 
 def subwords(chunk: Chunk) -> Subwords:
     starts, ends, firsts = spans(chunk.data, chunk.offsets, NOT_SPACE)
-    hashes = span_hashes(chunk.data, starts, ends, _VALUES)
+    span_hash = SpanHashes(chunk.data, _VALUES)
+    hashes = span_hash(starts, ends)
     kinds, first, numbers = np.unique(hashes, return_index=True, return_inverse=True)
     starts, ends = starts[first], ends[first]
     buckets, word_of = [kinds], [np.arange(len(first))]
@@ -66,7 +67,7 @@ def subwords(chunk: Chunk) -> Subwords:
         beyond = np.minimum(inside + k, len(at) - 1)
         within = (inside + k < len(at)) & (word[beyond] == word[inside])
         stop = np.where(within, at[beyond], ends[word[inside]])
-        buckets.append(span_hashes(chunk.data, at[inside], stop, _VALUES) + U64(k))
+        buckets.append(span_hash(at[inside], stop) + U64(k))
         word_of.append(word[inside])
     return Subwords((np.concatenate(buckets) >> U64(20)).astype(np.int64) % BUCKETS, np.concatenate(word_of), kinds,
                     numbers, firsts)
@@ -153,7 +154,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", ro
     got = got.sort_values("doc_id")
     if got["label"].nunique() < 2:
         return Model(np.zeros(BUCKETS), 0.0)
-    return fit_subwords([(np.asarray(b, np.int64), np.asarray(c, np.float64), y)
+    return fit_subwords([(np.asarray(b, np.int32), np.asarray(c, np.float32), y)
                          for b, c, y in zip(got["buckets"], got["counts"], got["label"], strict=True)])
 
 

@@ -19,7 +19,7 @@ from wrenchline.llm.textbytes import ALPHANUMERIC, U64, Chunk, chunks, constants
 
 BUCKETS = 1 << 20
 #: Training sample: rows, and characters of its longest text.
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 4_000
 SAMPLE_CHARACTERS = 20_000
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 12.0, 0.1
@@ -81,7 +81,7 @@ def fit_ftrl(examples: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, alpha
     share = (len(examples) - ones) / max(ones, 1)
     worth = (min(max(1 / share if share else 1, 1), MOST_WEIGHT), min(max(share, 1), MOST_WEIGHT))
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    bias = np.array([BUCKETS])
+    bias = np.array([BUCKETS], np.int32)
 
     def weight(at: np.ndarray) -> np.ndarray:
         own = z[at]
@@ -113,7 +113,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", row
     got = got.assign(order=mix(got["doc_id"].to_numpy(np.int64).view(U64))).sort_values(["order", "doc_id"])
     if got["label"].nunique() < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
-    return fit_ftrl([(np.asarray(b, np.int64), y) for b, y in zip(got["buckets"], got["label"], strict=True)])
+    return fit_ftrl([(np.asarray(b, np.int32), y) for b, y in zip(got["buckets"], got["label"], strict=True)])
 
 
 def _scored(broadcast, passed: list[str]):

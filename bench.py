@@ -6,6 +6,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from wrenchline.plans.queries import QUERIES
@@ -22,7 +23,8 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = sys.argv[1:] or HEADLINE
     spark = build_session("wrenchline-bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus,
-                          spark__ui__enabled="false", spark__driver__memory="16g")
+                          spark__ui__enabled="false", spark__driver__memory="16g",
+                          spark__checkpoint__dir=tempfile.mkdtemp(prefix="wrenchline-bench-"))
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
     for name in names:

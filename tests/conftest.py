@@ -8,10 +8,11 @@ RAW_TABLES = ("region nation customer supplier part orders lineitem events").spl
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session("wrenchline-tests", "local[8]", spark__sql__shuffle__partitions="4",
                             spark__default__parallelism="2", spark__ui__enabled="false",
-                            spark__driver__memory="8g")
+                            spark__driver__memory="8g",
+                            spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -108,8 +108,14 @@ def test_arriving_vehicle_clears_finished_stock(spark, shop):
 def test_sql_functions(spark, shop):
     tables, sim, *_ = shop
     sql_functions.register(spark, tables)
-    assert spark.sql("SELECT Ricevuti(3, 10) AS a, Ricevuti(10, 3) AS b, Ricevuti(3, 3) AS c, "
-                     "Ricevuti(1, NULL) AS d").first()[:] == (7, 3, 0, 0)
+    assert spark.sql("SELECT quantity_left(3, 10), quantity_left(10, 3), quantity_left(3, 3), "
+                     "quantity_left(1, NULL)").first()[:] == (7, 3, 0, 0)
+    asked = [(part, arrived) for part in [*sim.pending, "?"] for arrived in (0, 1, 2, 50)]
+    spark.createDataFrame(asked, "part_code string, arrived bigint").createOrReplaceTempView("asked")
+    got = spark.sql("SELECT part_code, arrived, Ricevuti(arrived, part_code) AS rest FROM asked").collect()
+    for r in got:
+        before = sim.pending[r.part_code][0] if r.part_code in sim.pending else 0
+        assert r.rest == (before if before < r.arrived else before - r.arrived), r
     row = spark.sql("SELECT Saldo() AS s, prossimo() AS p, Meccanico() AS m").first()
     closed = [o for o in sim.orders.values() if o["labor"]]
     share = round(sum(o["quote"] for o in closed) / 10 + 1e-9)
@@ -120,7 +126,7 @@ def test_sql_functions(spark, shop):
     want = sim.recent("65", 3)
     assert spark.sql("SELECT limite('65', 3) AS k").first().k == len(want)
     got = [tuple(r) for r in spark.sql("SELECT * FROM Assegnazioni(3, '65')").collect()]
-    assert sorted(got) == sorted((x.order_id, x.available) for x in want)
+    assert sorted(got) == sorted((x.order_id, x.available, i + 1) for i, x in enumerate(want))
 
 
 def test_queries_by_original_names(spark, shop):

@@ -90,19 +90,50 @@ def test_one_arrival_per_part(spark, seed):
     assert got_lines(got) == line_set(sim)
 
 
+def signed_lines(spark, needed: list[int], available: list[int] | None = None):
+    rows = [(n, 1, 1, q, a, datetime.date(2024, 1, 1) + datetime.timedelta(n))
+            for n, (q, a) in enumerate(zip(needed, available or [0] * len(needed)))]
+    return spark.createDataFrame(
+        rows, "order_id bigint, part_code bigint, line_no int, needed bigint, available bigint, requested date")
+
+
+@pytest.mark.parametrize("needed, arrived, filled", [
+    ([5, -2, 9], 3, 2), ([5, -2, 9], 5, 1), ([3, 0, 0, 4], 3, 3), ([2, -2, 2, 1], 2, 3), ([4, 4], 5, 0)])
+def test_lines_are_marked_by_rank(spark, needed, arrived, filled):
+    """The longest run of oldest lines that sums to the arrival, also with negative and zero quantities."""
+    receipts = spark.createDataFrame([(1, arrived)], "part_code bigint, arrived bigint")
+    got = {r.order_id: r.available for r in stock.allocate_fifo(signed_lines(spark, needed), receipts).collect()}
+    assert got == {n: q if n < filled else 0 for n, q in enumerate(needed)}
+
+
+def test_several_arrivals_of_a_part_are_refused(spark):
+    receipts = spark.createDataFrame([(1, 2), (1, 3)], "part_code bigint, arrived bigint")
+    with pytest.raises(Exception, match="several arrivals"):
+        stock.allocate_fifo(signed_lines(spark, [2, 3]), receipts).collect()
+
+
+def test_several_recent_arrivals_of_a_part(spark):
+    lines = signed_lines(spark, [3, 2], [3, 2])  # the newest got 2
+    asked = spark.createDataFrame([(1, 2), (1, 5), (1, 4), (2, 1), (1, 5)], "part_code bigint, arrived bigint")
+    sizes = sorted(tuple(r) for r in stock.recent_prefix_size(lines, asked).collect())
+    assert sizes == [(1, 2, 1), (1, 4, 0), (1, 5, 2), (1, 5, 2), (2, 1, 0)]
+    got = sorted(tuple(r) for r in stock.recent_assignments(lines, asked).collect())
+    assert got == [(1, 2, 1, 2, 1), (1, 5, 0, 3, 2), (1, 5, 1, 2, 1)]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_recent_assignments(spark, seed):
     sim, _ = random_case(seed)
     lines, _ = frames(spark, sim)
     rng = random.Random(seed)
-    asked = {p: rng.randint(1, 12) for p in range(9)}
-    arrivals = spark.createDataFrame(list(asked.items()), "part_code bigint, arrived bigint")
-    sizes = {r.part_code: r.k for r in stock.recent_prefix_size(lines, arrivals).collect()}
-    assert sizes == {p: len(sim.recent(p, a)) for p, a in asked.items()}
-    got = sorted((r.part_code, r["rank"], r.order_id, r.quantity)
+    asked = {(p, rng.randint(1, 12)) for p in range(9) for _ in range(3)}
+    arrivals = spark.createDataFrame(sorted(asked), "part_code bigint, arrived bigint")
+    sizes = {(r.part_code, r.arrived): r.k for r in stock.recent_prefix_size(lines, arrivals).collect()}
+    assert sizes == {(p, a): len(sim.recent(p, a)) for p, a in asked}
+    got = sorted((r.part_code, r.arrived, r["rank"], r.order_id, r.quantity)
                  for r in stock.recent_assignments(lines, arrivals).collect())
-    assert got == sorted((p, i + 1, x.order_id, x.available)
-                         for p, a in asked.items() for i, x in enumerate(sim.recent(p, a)))
+    assert got == sorted((p, a, i + 1, x.order_id, x.available)
+                         for p, a in asked for i, x in enumerate(sim.recent(p, a)))
 
 
 def test_reordering_in_sequence(spark):

@@ -71,6 +71,37 @@ def test_decisions_over_batches_and_a_repeated_batch(spark, folder):
         streams.stream_decisions(stream, lines, catalog, pending, out, f"{folder}/new").awaitTermination()
 
 
+def test_a_second_checkpoint_is_refused_before_it_writes(spark, folder):
+    """Also when the path is at exactly the version that the other checkpoint would write next."""
+    sim, _ = random_case(2)
+    lines, pending = frames(spark, sim)
+    catalog = spark.createDataFrame([(p, 1, f"S{p % 3}") for p in range(9)],
+                                    "part_code bigint, version int, supplier string")
+    for name, rows in (("a", [(1, "Positivo", 1)]), ("b", [(1, "Positivo", 2)])):
+        spark.createDataFrame(rows, "order_id bigint, outcome string, seq bigint").coalesce(1).write.parquet(f"{folder}/{name}")
+    schema = spark.read.parquet(f"{folder}/a").schema
+    out = f"{folder}/out"
+    first = streams.event_source(spark, f"{folder}/a", schema)
+    streams.stream_decisions(first, lines, catalog, pending, out, f"{folder}/cp-a").awaitTermination()
+    before = sorted(map(tuple, versions.read_version(spark, out).collect()))
+    second = streams.event_source(spark, f"{folder}/b", schema)
+    with pytest.raises(StreamingQueryException, match="belongs to another checkpoint"):
+        streams.stream_decisions(second, lines, catalog, pending, out, f"{folder}/cp-b").awaitTermination()
+    assert sorted(map(tuple, versions.read_version(spark, out).collect())) == before
+
+
+def test_quotes_refuse_a_second_checkpoint(spark, folder):
+    for name, order in (("a", 1), ("b", 2)):
+        spark.createDataFrame([(order, 1, 5)], "order_id int, needed int, price int").write.parquet(f"{folder}/{name}")
+    schema = spark.read.parquet(f"{folder}/a").schema
+    stream = streams.event_source(spark, f"{folder}/a", schema)
+    streams.stream_quote(stream, f"{folder}/out", f"{folder}/cp-a").awaitTermination()
+    with pytest.raises(StreamingQueryException, match="belongs to another checkpoint"):
+        streams.stream_quote(streams.event_source(spark, f"{folder}/b", schema), f"{folder}/out",
+                             f"{folder}/cp-b").awaitTermination()
+    assert [r.order_id for r in streams.current_quotes(spark, f"{folder}/out").collect()] == [1]
+
+
 def test_quotes_over_batches(spark, folder):
     lines = spark.createDataFrame([(n % 4, n % 3 + 1, 10 + n, n) for n in range(30)],
                                   "order_id int, needed int, price int, seq int")

@@ -28,8 +28,10 @@ def register_original_views(spark: SparkSession, tables: Mapping[str, DataFrame]
 def register(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:
     """Create the temp views and functions for a set of tables.
 
-    Scalar: ``Ricevuti(arrived, on_order)``, ``Saldo()``, ``prossimo()``, ``Meccanico()``,
-    ``StatoOrdine(order_id)``, ``limite(part_code, arrived)``. Table: ``Assegnazioni(arrived, part_code)``.
+    Scalar: ``Ricevuti(arrived, part_code)``, ``Saldo()``, ``prossimo()``, ``Meccanico()``,
+    ``StatoOrdine(order_id)``, ``limite(part_code, arrived)``. Table: ``Assegnazioni(arrived, part_code)``, which in
+    newest-first order has rank 1, 2, ... ``quantity_left(arrived, on_order)`` is the rule of ``Ricevuti`` for a
+    known quantity.
     For whole tables prefer the DataFrame operators, which answer all orders or parts in one pass.
     """
     for name, table in tables.items():
@@ -46,9 +48,12 @@ def register(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:
     def create(signature: str, returns: str, body: str) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {returns} RETURN {body}")
 
-    create("Ricevuti(arrived BIGINT, on_order BIGINT)", "BIGINT",
+    create("quantity_left(arrived BIGINT, on_order BIGINT)", "BIGINT",
            "CASE WHEN on_order - arrived < 0 THEN on_order WHEN on_order - arrived > 0 THEN on_order - arrived "
            "ELSE 0 END")
+    create(f"quantity_on_order(wanted {part})", "BIGINT",
+           "(SELECT max(quantity) FROM pending WHERE part_code = wanted)")
+    create(f"Ricevuti(arrived BIGINT, wanted {part})", "BIGINT", "quantity_left(arrived, quantity_on_order(wanted))")
     create("Saldo()", "BIGINT", "(SELECT max(balance) FROM shop_balance)")
     create("prossimo()", "BIGINT", "(SELECT coalesce(max(order_id), 0) + 1 FROM orders)")
     create("Meccanico()", "BIGINT", "(SELECT max(mechanic) FROM next_mechanic)")
@@ -61,6 +66,8 @@ def register(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:
     spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW newest_supplied AS {ranked}")
     create(f"limite(wanted {part}, arrived BIGINT)", "BIGINT",
            "(SELECT coalesce(max(rank), 0) FROM newest_supplied WHERE code = wanted AND upto = arrived)")
-    create(f"Assegnazioni(arrived BIGINT, wanted {part})", f"TABLE (order_id {order}, quantity {quantity})",
-           "SELECT s.order_id, s.available FROM newest_supplied s JOIN newest_supplied n ON s.code = n.code "
-           "AND s.rank <= n.rank WHERE s.code = wanted AND n.upto = arrived")
+    create(f"Assegnazioni(arrived BIGINT, wanted {part})",
+           f"TABLE (order_id {order}, quantity {quantity}, rank INT)",
+           "SELECT s.order_id, s.available, s.rank FROM newest_supplied s JOIN "
+           "(SELECT code, max(rank) AS k FROM newest_supplied WHERE upto = arrived GROUP BY code) n "
+           "ON s.code = n.code AND s.rank <= n.k WHERE s.code = wanted")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -95,14 +94,18 @@ def waiting_totals(waiting: DataFrame, parts: DataFrame, route: Ordinary) -> Dat
     return route.running_totals(touched, line_order(waiting), {"running": F.coalesce("needed", F.lit(0))})
 
 
-def _supplied(lines: DataFrame, parts: DataFrame,
-              reached: Callable[[DataFrame, Ordinary], DataFrame]) -> DataFrame:
-    """All lines, where those of ``parts`` that ``reached`` marks in ``_reached`` become available = needed."""
+def _supplied(lines: DataFrame, goals: DataFrame) -> DataFrame:
+    """All lines, where the oldest waiting ones of each part in ``goals`` (part_code, _goal; one row per part) become
+    available = needed, up to the last at which the running total equals the goal.
+
+    Quantities may be negative, so that a total can be reached more than once: lines are marked by rank.
+    """
     def supply(waiting: DataFrame, route: Ordinary) -> DataFrame:
-        marked = reached(waiting_totals(waiting, parts, route), route)
-        available = F.when(F.col("_reached"), F.col("needed")).otherwise(F.col("available"))
-        others = route.join(waiting, parts.select("part_code"), "left_anti")
-        return marked.withColumn("available", available).select(*lines.columns).unionByName(others)
+        run = route.running_totals(route.join(waiting, goals, "left"), line_order(waiting),
+                                   {"running": F.coalesce("needed", F.lit(0)), "_rank": F.lit(1)})
+        run = route.key_maximum(run, F.when(F.col("running") == F.col("_goal"), F.col("_rank")), "_last")
+        available = F.when(F.col("_rank") <= F.col("_last"), F.col("needed")).otherwise(F.col("available"))
+        return run.withColumn("available", available).select(*lines.columns)
 
     return by_route(waiting_lines(lines), PART, supply).unionByName(idle_lines(lines))
 
@@ -111,15 +114,15 @@ def allocate_fifo(lines: DataFrame, receipts: DataFrame) -> DataFrame:
     """All lines after one arrival (part_code, arrived) per part.
 
     The oldest waiting lines whose needed quantities sum exactly to the arrival become supplied
-    (available = needed); without such a prefix nothing changes. One shuffle by part of the touched lines.
+    (available = needed); without such a prefix nothing changes. One shuffle by part of the waiting lines.
+    Several arrivals of a part have an order and depend on each other: they are refused with an error, and
+    ``allocate_receipts`` is for them.
     """
-    arrived = sized(receipts.select("part_code", F.col("arrived").alias("_arrived")).filter(F.col("_arrived") > 0))
-
-    def reached(run: DataFrame, route: Ordinary) -> DataFrame:
-        hit = route.key_maximum(run, F.col("running") == F.col("_arrived"), "_hit")
-        return hit.withColumn("_reached", F.col("_hit") & (F.col("running") <= F.col("_arrived")))
-
-    return _supplied(lines, arrived, reached)
+    again = F.raise_error(F.lit("a part has several arrivals: use allocate_receipts")).cast("bigint")
+    arrived = receipts.filter(F.col("arrived") > 0).groupBy("part_code").agg(
+        F.max("arrived").alias("_most"), F.count("*").alias("_n"))
+    return _supplied(lines, sized(arrived.select(
+        "part_code", F.when(F.col("_n") > 1, again).otherwise(F.col("_most")).alias("_goal"))))
 
 
 # --- sequences of arrivals ----------------------------------------------------------------------
@@ -193,8 +196,8 @@ def allocate_receipts(lines: DataFrame, pending: DataFrame, receipts: DataFrame,
 
 def supplied_lines(lines: DataFrame, decisions: DataFrame) -> DataFrame:
     """All lines, with those the decisions reach marked supplied."""
-    upto = decisions.groupBy("part_code").agg(F.max("to_total").alias("_upto")).filter(F.col("_upto") > 0)
-    return _supplied(lines, sized(upto), lambda run, _: run.withColumn("_reached", F.col("running") <= F.col("_upto")))
+    upto = decisions.groupBy("part_code").agg(F.max("to_total").alias("_goal")).filter(F.col("_goal") > 0)
+    return _supplied(lines, sized(upto))
 
 
 def stock_after(pending: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -211,29 +214,36 @@ def unmatched_receipts(decisions: DataFrame) -> DataFrame:
 
 # --- reading back the newest assignments ---------------------------------------------------------
 
-def _newest_supplied(supplied: DataFrame, arrivals: DataFrame, route: Ordinary) -> DataFrame:
-    """Supplied lines with ``rank``, newest first, and ``_match`` = rank where their sum equals the arrival."""
-    asked = arrivals.select("part_code", F.col("arrived").alias("_arrived"))
-    ranked = route.running_totals(route.join(supplied, asked), line_order(supplied, newest_first=True),
-                                  {"_sum": F.col("available"), "rank": F.lit(1)})
-    return ranked.withColumn("_match", F.when(F.col("_sum") == F.col("_arrived"), F.col("rank")))
+def _newest_supplied(lines: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """Supplied lines of the parts asked for, numbered once per part: ``rank``, newest first, and ``upto``, what the
+    lines so far were supplied."""
+    parts = arrivals.select("part_code").distinct()
 
+    def ranked(supplied: DataFrame, route: Ordinary) -> DataFrame:
+        return route.running_totals(route.join(supplied, parts, "left_semi"), line_order(supplied, newest_first=True),
+                                    {"upto": F.col("available"), "rank": F.lit(1)})
 
-def recent_prefix_size(lines: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """Arrivals (part_code, arrived; one per part) with ``k``: the most of the newest supplied lines that sum to
-    ``arrived``; 0 when there is no such number of lines."""
-    def sizes(supplied: DataFrame, route: Ordinary) -> DataFrame:
-        return _newest_supplied(supplied, arrivals, route).groupBy("part_code").agg(F.max("_match").alias("k"))
+    return by_route(lines.filter(F.col("available") != 0), PART, ranked)
 
-    found = by_route(lines.filter(F.col("available") != 0), PART, sizes)
-    return arrivals.join(found, "part_code", "left").withColumn("k", F.coalesce("k", F.lit(0).cast("bigint")))
 
+def _prefix_sizes(newest: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """(part_code, arrived, k) of the distinct arrivals that some number of newest lines sums to."""
+    asked = arrivals.select("part_code", "arrived").distinct()
+    reached = newest.select("part_code", F.col("upto").alias("arrived"), "rank")
+    return reached.join(asked, ["part_code", "arrived"]).groupBy("part_code", "arrived").agg(F.max("rank").alias("k"))
 
-def recent_assignments(lines: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """The lines a recent arrival (one per part) went to, newest first: part_code, order_id, quantity, rank."""
-    def newest(supplied: DataFrame, route: Ordinary) -> DataFrame:
-        ranked = route.key_maximum(_newest_supplied(supplied, arrivals, route), F.col("_match"), "_k")
-        return ranked.filter(F.col("rank") <= F.col("_k")).select(
-            "part_code", "order_id", F.col("available").alias("quantity"), "rank")
 
-    return by_route(lines.filter(F.col("available") != 0), PART, newest)
+def recent_prefix_size(lines: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """Arrivals (part_code, arrived; any number per part) with ``k``: the most of the newest supplied lines that sum
+    to ``arrived``; 0 when there is no such number of lines."""
+    found = _prefix_sizes(_newest_supplied(lines, arrivals), arrivals)
+    return arrivals.join(found, ["part_code", "arrived"], "left").withColumn(
+        "k", F.coalesce("k", F.lit(0).cast("bigint")))
+
+
+def recent_assignments(lines: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """The lines each distinct recent arrival went to, newest first: part_code, arrived, order_id, quantity, rank."""
+    newest = _newest_supplied(lines, arrivals)
+    sizes = _prefix_sizes(newest, arrivals)
+    return newest.join(sizes, "part_code").filter(F.col("rank") <= F.col("k")).select(
+        "part_code", "arrived", "order_id", F.col("available").alias("quantity"), "rank")

@@ -26,19 +26,18 @@ MODEL = {
         FROM waiting WHERE order_id IN (SELECT order_id FROM decisions WHERE outcome = 'Positivo')
         GROUP BY part_code""",
     "shelf": "SELECT p_partkey AS part_code, CAST(p_size AS BIGINT) AS quantity, p_partkey % 10 AS supplier FROM part",
-    "rush": """SELECT o_orderkey AS order_id FROM orders
-        WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'""",
     "partly": """SELECT s.part_code, CAST(coalesce(w.q, 0) AS BIGINT) AS quantity, s.supplier
-        FROM shelf s LEFT JOIN (SELECT part_code, sum(needed) AS q FROM waiting
-            WHERE order_id IN (SELECT order_id FROM rush) GROUP BY part_code) w ON s.part_code = w.part_code""",
-    "used_names": """SELECT DISTINCT c.name FROM lines l JOIN catalog c ON l.part_code = c.part_code
-        WHERE l.order_id IN (SELECT order_id FROM rush)""",
+        FROM shelf s LEFT JOIN (SELECT part_code, sum(needed) % 5 AS q FROM lines GROUP BY part_code) w
+        ON s.part_code = w.part_code""",
+    "on_order": "SELECT * FROM partly WHERE quantity <> 0",
+    "used_names": """SELECT DISTINCT CASE WHEN l.part_code % 3 = 0 THEN 'pezzo ' || CAST(l.part_code AS VARCHAR)
+        ELSE c.name END AS name FROM lines l JOIN catalog c ON l.part_code = c.part_code""",
     "names": """SELECT name, category FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY part_code) AS nr
         FROM catalog) WHERE nr = 1""",
     "quotes": """SELECT j.order_id, coalesce(sum(l.price * l.needed), 0) AS quote
         FROM jobs j LEFT JOIN lines l ON j.order_id = l.order_id GROUP BY j.order_id""",
     "wanted": """SELECT w.part_code, CAST(sum(w.needed) AS BIGINT) AS quantity, w.part_code % 10 AS supplier
-        FROM waiting w JOIN decisions d ON w.order_id = d.order_id AND d.outcome = 'Positivo' GROUP BY w.part_code""",
+        FROM lines w JOIN decisions d ON w.order_id = d.order_id AND d.outcome = 'Positivo' GROUP BY w.part_code""",
     "prefix": """SELECT *, CAST(sum(needed) OVER (PARTITION BY part_code ORDER BY requested, order_id, line_no
         ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running,
         row_number() OVER (PARTITION BY part_code ORDER BY requested, order_id, line_no) AS nr FROM waiting""",
@@ -47,9 +46,10 @@ MODEL = {
         row_number() OVER (PARTITION BY part_code ORDER BY requested DESC, order_id, line_no) AS nr
         FROM lines WHERE available <> 0""",
     "arrivals": """SELECT part_code, CAST(sum(needed) AS BIGINT) + part_code % 2 AS arrived
-        FROM prefix WHERE nr <= 3 GROUP BY part_code""",
-    "recent": """SELECT part_code, CAST(sum(available) AS BIGINT) + part_code % 2 AS arrived
-        FROM newest WHERE nr <= 3 GROUP BY part_code""",
+        FROM prefix WHERE nr <= 1 + part_code % 9 GROUP BY part_code""",
+    "recent": """SELECT DISTINCT part_code, unnest([a, b, b + 1]) AS arrived FROM (
+        SELECT part_code, CAST(sum(available) FILTER (nr <= 1 + part_code % 7) AS BIGINT) AS a,
+            CAST(sum(available) AS BIGINT) AS b FROM newest WHERE nr <= 2 + part_code % 7 GROUP BY part_code)""",
     "sizes": """SELECT r.part_code, r.arrived, coalesce(max(n.nr), 0) AS k FROM recent r
         LEFT JOIN newest n ON n.part_code = r.part_code AND n.running = r.arrived GROUP BY r.part_code, r.arrived""",
     "deliveries": """SELECT part_code, date_diff('day', DATE '1970-01-01', requested) * 1000000000000
@@ -98,14 +98,21 @@ def _decided(receipts: str, body: str) -> str:
     return _with(f"lines decisions waiting pending prefix {receipts}", body, DECIDED.format(receipts=receipts), True)
 
 
-STOCK = "lines decisions waiting shelf wanted"
-USAGE = "lines catalog rush used_names names"
+STOCK = "lines decisions shelf partly on_order wanted"
+USAGE = "lines catalog used_names names"
 
 ORACLE: dict[str, str] = {
     "load_tables": " UNION ALL ".join(
-        f"SELECT '{name}' AS table_name, count(*) AS row_count, {columns} AS column_count FROM {name}"
-        for name, columns in (("region", 2), ("nation", 3), ("customer", 5), ("supplier", 4), ("part", 6),
-                              ("orders", 6), ("lineitem", 11), ("events", 6))),
+        f"SELECT '{name}' AS table_name, count(*) AS row_count, "
+        f"{' + '.join(f'count({c})' for c in columns.split())} AS value_count FROM {name}" for name, columns in (
+            ("region", "r_regionkey r_name"), ("nation", "n_nationkey n_name n_regionkey"),
+            ("customer", "c_custkey c_name c_nationkey c_acctbal c_mktsegment"),
+            ("supplier", "s_suppkey s_name s_nationkey s_acctbal"),
+            ("part", "p_partkey p_name p_brand p_type p_size p_retailprice"),
+            ("orders", "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"),
+            ("lineitem", "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax "
+                         "l_returnflag l_linestatus l_shipdate"),
+            ("events", "event_id ts user_id event_type value props"))),
     "ingest_rows": """SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS day,
         CASE WHEN event_type = 'error' THEN NULL
              ELSE CAST(round(CAST(value AS DECIMAL(18,6)), 0) AS BIGINT) END AS amount,
@@ -114,27 +121,27 @@ ORACLE: dict[str, str] = {
     "scan_table": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
         strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders""",
     "replace_table": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
-    "stage_temp": _with("lines waiting shelf rush partly", """
+    "stage_temp": _with("lines shelf partly", """
         SELECT 'existing' AS kind, count(*) AS parts, CAST(coalesce(sum(q), 0) AS BIGINT) AS quantity FROM new_parts
         WHERE part_code IN (SELECT part_code FROM partly WHERE quantity <> 0)
         UNION ALL SELECT 'new', count(*), CAST(coalesce(sum(q), 0) AS BIGINT) FROM new_parts
         WHERE part_code NOT IN (SELECT part_code FROM partly WHERE quantity <> 0)""",
-        "new_parts AS (SELECT part_code, sum(needed) AS q FROM waiting GROUP BY part_code)"),
+        "new_parts AS (SELECT part_code, sum(needed) AS q FROM lines GROUP BY part_code)"),
     "update_by_key": """SELECT o.o_orderkey AS order_id, coalesce(e.last_type, o.o_orderstatus) AS o_orderstatus
         FROM orders o LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS last_type FROM events
             GROUP BY user_id) e ON o.o_orderkey = e.user_id""",
-    "update_from_join": _with("lines waiting shelf", """
+    "update_from_join": _with("lines shelf", """
         SELECT s.part_code, CAST(s.quantity + coalesce(w.q, 0) AS BIGINT) AS quantity, s.supplier FROM shelf s
-        LEFT JOIN (SELECT part_code, sum(needed) AS q FROM waiting GROUP BY part_code) w
+        LEFT JOIN (SELECT part_code, sum(needed) AS q FROM lines GROUP BY part_code) w
         ON s.part_code = w.part_code"""),
-    "upsert_by_key": _with("lines waiting shelf", """
+    "upsert_by_key": _with("lines shelf partly on_order", """
         SELECT coalesce(s.part_code, w.part_code) AS part_code,
             CAST(coalesce(s.quantity, 0) + coalesce(w.q, 0) AS BIGINT) AS quantity,
             CASE WHEN s.part_code IS NULL THEN w.part_code % 10 ELSE 99 END AS supplier
-        FROM (SELECT * FROM shelf WHERE quantity > 25) s FULL JOIN
-            (SELECT part_code, sum(needed) AS q FROM waiting GROUP BY part_code) w ON s.part_code = w.part_code"""),
-    "purge_where": _with("lines waiting shelf rush partly", "SELECT * FROM partly WHERE quantity <> 0"),
-    "insert_select": _with("lines waiting shelf rush partly", """
+        FROM on_order s FULL JOIN
+            (SELECT part_code, sum(needed) AS q FROM lines GROUP BY part_code) w ON s.part_code = w.part_code"""),
+    "purge_where": _with("lines shelf partly", "SELECT * FROM partly WHERE quantity <> 0"),
+    "insert_select": _with("lines shelf partly", """
         SELECT s.part_code, CASE WHEN p.quantity <> 0 THEN p.quantity ELSE s.quantity END AS quantity, s.supplier
         FROM shelf s JOIN partly p ON s.part_code = p.part_code"""),
 
@@ -233,17 +240,18 @@ ORACLE: dict[str, str] = {
     "supplier_of_part": _with("catalog", "SELECT part_code, supplier FROM catalog"),
     "reorder_existing": _with(STOCK, """
         SELECT s.part_code, s.quantity + coalesce(w.quantity, 0) AS quantity, s.supplier
-        FROM shelf s LEFT JOIN wanted w ON s.part_code = w.part_code WHERE s.quantity > 25"""),
+        FROM on_order s LEFT JOIN wanted w ON s.part_code = w.part_code"""),
     "reorder_new": _with(STOCK, """SELECT part_code, quantity, supplier FROM wanted
-        WHERE part_code NOT IN (SELECT part_code FROM shelf WHERE quantity > 25)"""),
+        WHERE part_code NOT IN (SELECT part_code FROM on_order)"""),
     "pending_stock": _with(STOCK, """
         SELECT part_code, CAST(sum(quantity) AS BIGINT) AS quantity, min(supplier) AS supplier FROM (
-            SELECT * FROM shelf WHERE quantity > 25 UNION ALL SELECT * FROM wanted) GROUP BY part_code"""),
+            SELECT * FROM on_order UNION ALL SELECT * FROM wanted) GROUP BY part_code"""),
     "allocate_fifo": _with("lines waiting prefix arrivals", """
         SELECT p.order_id, p.part_code, p.line_no, strftime(p.requested, '%Y-%m-%d') AS requested, p.needed,
-            CASE WHEN h.arrived IS NOT NULL AND p.running <= h.arrived THEN p.needed ELSE 0 END AS available
-        FROM prefix p LEFT JOIN (SELECT a.part_code, a.arrived FROM arrivals a JOIN prefix x
-            ON x.part_code = a.part_code AND x.running = a.arrived) h ON p.part_code = h.part_code
+            CASE WHEN p.nr <= h.last THEN p.needed ELSE 0 END AS available
+        FROM prefix p LEFT JOIN (SELECT a.part_code, max(x.nr) AS last FROM arrivals a JOIN prefix x
+            ON x.part_code = a.part_code AND x.running = a.arrived GROUP BY a.part_code) h
+        ON p.part_code = h.part_code
         UNION ALL SELECT order_id, part_code, line_no, strftime(requested, '%Y-%m-%d'), needed, available
         FROM lines WHERE available <> 0"""),
     "allocate_receipts": _decided("deliveries", """
@@ -261,7 +269,7 @@ ORACLE: dict[str, str] = {
         SELECT part_code, seq, arrived, outcome AS reason FROM decided WHERE outcome LIKE 'refused%'"""),
     "recent_prefix_size": _with("lines newest recent sizes", "SELECT part_code, arrived, k FROM sizes"),
     "recent_assignments": _with("lines newest recent sizes", """
-        SELECT n.part_code, n.order_id, n.available AS quantity, n.nr AS rank
+        SELECT n.part_code, s.arrived, n.order_id, n.available AS quantity, n.nr AS rank
         FROM newest n JOIN sizes s ON n.part_code = s.part_code AND n.nr <= s.k"""),
 
     "free_mechanics": _with("staff jobs", """SELECT staff_id, person_id, role FROM staff
@@ -324,12 +332,12 @@ ORACLE: dict[str, str] = {
             FROM events) e LEFT JOIN catalog c ON c.part_code = e.part_code AND c.brand = e.brand"""),
     "stream_quote": """SELECT user_id AS order_id, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS quote
         FROM events GROUP BY user_id""",
-    "stream_decisions": _with("lines waiting shelf", """
+    "stream_decisions": _with("lines shelf partly on_order", """
         SELECT coalesce(s.part_code, w.part_code) AS part_code,
             CAST(coalesce(s.quantity, 0) + coalesce(w.q, 0) AS BIGINT) AS quantity,
             coalesce(s.part_code, w.part_code) % 10 AS supplier
-        FROM (SELECT * FROM shelf WHERE quantity > 25) s FULL JOIN (
-            SELECT w.part_code, sum(w.needed * e.n) AS q FROM waiting w JOIN (
+        FROM on_order s FULL JOIN (
+            SELECT w.part_code, sum(w.needed * e.n) AS q FROM lines w JOIN (
                 SELECT user_id, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY user_id) e
             ON w.order_id = e.user_id GROUP BY w.part_code) w ON s.part_code = w.part_code"""),
     "stream_receipts": _decided("purchases", """
@@ -341,5 +349,19 @@ ORACLE: dict[str, str] = {
         JOIN quotes q ON q.order_id = e.event_id WHERE e.labor <> 0"""),
     "stream_default_decision": """SELECT DISTINCT user_id AS order_id, 'Negativo' AS outcome FROM events
         WHERE event_type = 'signup'""",
-    "stream_purge": _with("lines waiting shelf rush partly", "SELECT * FROM partly WHERE quantity <> 0"),
+    "stream_purge": _with("lines shelf partly", "SELECT * FROM partly WHERE quantity <> 0"),
+}
+# The routines as SQL functions answer what the operators do.
+ORACLE |= {
+    "sql_ricevuti": ORACLE["receipt_remaining"],
+    "sql_stato_ordine": ORACLE["order_status"],
+    "sql_limite": ORACLE["recent_prefix_size"],
+    "sql_shop": f"""SELECT (SELECT balance FROM ({ORACLE["balance"]})) AS balance,
+        (SELECT max(o_orderkey) + 1 FROM orders) AS next_order,
+        (SELECT mechanic FROM ({ORACLE["pick_mechanic"]})) AS mechanic""",
+    "sql_assegnazioni": _with("lines newest recent sizes", """
+        SELECT n.order_id, n.available AS quantity, n.nr AS rank FROM newest n JOIN (
+            SELECT part_code, max(k) AS k FROM sizes WHERE k > 0
+            AND part_code = (SELECT min(part_code) FROM sizes WHERE k > 0) GROUP BY part_code) s
+        ON n.part_code = s.part_code AND n.nr <= s.k"""),
 }

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wrenchline.functions import sql_functions
 from wrenchline.operators import gates, integrity, maintenance, orders, reports, staff, stock
 from wrenchline.plans.shop_model import RAW_SCHEMAS, Shop
 from wrenchline.schemas import ACCEPTED, CLERK, MECHANIC, REFUSED, Rule
@@ -35,8 +36,9 @@ def _money(column: str) -> Column:
 # --- sources, sinks, maintenance ------------------------------------------------------------------
 
 def load_tables(spark: SparkSession, sf: str) -> DataFrame:
-    counts = [df.agg(F.count("*").alias("row_count")).select(
-        F.lit(name).alias("table_name"), "row_count", F.lit(len(df.columns)).alias("column_count"))
+    """Rows and non-null values of every table, read from the files."""
+    counts = [df.agg(F.count("*").alias("row_count"), *[F.count(c).alias(c) for c in df.columns]).select(
+        F.lit(name).alias("table_name"), "row_count", sum(F.col(c) for c in df.columns).alias("value_count"))
         for name, df in Shop(spark, sf).raw.items()]
     whole = counts[0]
     for part in counts[1:]:
@@ -76,9 +78,9 @@ def replace_table(spark: SparkSession, sf: str) -> DataFrame:
 
 def stage_temp(spark: SparkSession, sf: str) -> DataFrame:
     shop = Shop(spark, sf)
-    wanted = shop.waiting.groupBy("part_code").agg(F.sum("needed").alias("quantity"))
+    wanted = shop.lines.groupBy("part_code").agg(F.sum("needed").alias("quantity"))
     tables.stage(wanted, "new_parts")
-    maintenance.purge(_partly_finished(shop), F.col("quantity") == 0).createOrReplaceTempView("stock_on_order")
+    _on_order(shop).createOrReplaceTempView("stock_on_order")
     return spark.sql("""
         SELECT 'existing' AS kind, count(*) AS parts, sum(n.quantity) AS quantity
         FROM new_parts n WHERE n.part_code IN (SELECT part_code FROM stock_on_order)
@@ -103,36 +105,37 @@ def _shelf(shop: Shop) -> DataFrame:
 
 def update_from_join(spark: SparkSession, sf: str) -> DataFrame:
     shop = Shop(spark, sf)
-    deltas = shop.waiting.select("part_code", F.col("needed").alias("quantity"))
+    deltas = shop.lines.select("part_code", F.col("needed").alias("quantity"))
     return maintenance.increment_by_key(_shelf(shop), deltas, ["part_code"], "quantity")
 
 
 def upsert_by_key(spark: SparkSession, sf: str) -> DataFrame:
     shop = Shop(spark, sf)
-    current = _shelf(shop).filter(F.col("quantity") > 25).withColumn("supplier", F.lit(99).cast("bigint"))
-    deltas = shop.waiting.select("part_code", F.col("needed").alias("quantity"),
+    current = _on_order(shop).withColumn("supplier", F.lit(99).cast("bigint"))
+    deltas = shop.lines.select("part_code", F.col("needed").alias("quantity"),
                                  (F.col("part_code") % 10).alias("supplier"))
     return maintenance.upsert(current, deltas, ["part_code"], ["quantity"])
 
 
 def _partly_finished(shop: Shop) -> DataFrame:
-    """Stock on order for urgent open orders; parts without such lines have nothing left."""
-    rush = shop.raw["orders"].filter(
-        (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "O")) \
-        .select(F.col("o_orderkey").alias("order_id"))
-    wanted = shop.waiting.join(rush, "order_id", "left_semi") \
-        .groupBy("part_code").agg(F.sum("needed").alias("_q"))
+    """Stock on order as a remainder of what all lines need, so that some parts have nothing left."""
+    wanted = shop.lines.groupBy("part_code").agg((F.sum("needed") % 5).alias("_q"))
     return _shelf(shop).join(wanted, "part_code", "left").select(
         "part_code", F.coalesce("_q", F.lit(0).cast("bigint")).alias("quantity"), "supplier")
 
 
+def _on_order(shop: Shop) -> DataFrame:
+    """The parts of which something is left."""
+    return maintenance.purge(_partly_finished(shop), F.col("quantity") == 0)
+
+
 def purge_where(spark: SparkSession, sf: str) -> DataFrame:
-    return maintenance.purge(_partly_finished(Shop(spark, sf)), F.col("quantity") == 0)
+    return _on_order(Shop(spark, sf))
 
 
 def insert_select(spark: SparkSession, sf: str) -> DataFrame:
     shop = Shop(spark, sf)
-    current = maintenance.purge(_partly_finished(shop), F.col("quantity") == 0)
+    current = _on_order(shop)
     missing = _shelf(shop).join(current.select("part_code"), "part_code", "left_anti")
     return tables.append_query(current, missing)
 
@@ -283,9 +286,7 @@ def decide(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_status(spark: SparkSession, sf: str) -> DataFrame:
     shop = Shop(spark, sf)
-    # The status only asks whether a cost is zero, so it needs the labor part of the cost alone.
-    costed = orders.final_cost(shop.orders.withColumns({"quote": F.lit(0), "final_cost": F.lit(0)}), today=TODAY)
-    return orders.order_status(costed, shop.lines, shop.decisions)
+    return orders.order_status(_priced(shop), shop.lines, shop.decisions)
 
 
 def balance(spark: SparkSession, sf: str) -> DataFrame:
@@ -293,10 +294,11 @@ def balance(spark: SparkSession, sf: str) -> DataFrame:
     return orders.balance(orders.order_quote(shop.orders, shop.lines))
 
 
-def _first_three(shop: Shop) -> DataFrame:
-    """One arrival per part: what its three oldest waiting lines need, one more for odd part codes."""
+def _oldest_waiting(shop: Shop) -> DataFrame:
+    """One arrival per part: what its oldest waiting lines need, from one line to nine, one more for odd part codes."""
     oldest = Window.partitionBy("part_code").orderBy("requested", "order_id", "line_no")
-    ranked = shop.waiting.withColumn("_nr", F.row_number().over(oldest)).filter(F.col("_nr") <= 3)
+    ranked = shop.waiting.withColumn("_nr", F.row_number().over(oldest)).filter(
+        F.col("_nr") <= 1 + F.col("part_code") % 9)
     return ranked.groupBy("part_code").agg(F.sum("needed").alias("_sum")).select(
         "part_code", (F.col("_sum") + F.col("part_code") % 2).alias("arrived"))
 
@@ -321,10 +323,9 @@ def supplier_of_part(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stock_case(shop: Shop) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Half the shelf is on order; accepted orders then ask for the parts their lines need."""
-    on_order = _shelf(shop).filter(F.col("quantity") > 25)
+    """Some parts are on order; accepted orders then ask for the parts that all their lines need."""
     approvals = shop.decisions.filter(F.col("outcome") == ACCEPTED)
-    return on_order, shop.waiting, approvals, shop.catalog
+    return _on_order(shop), shop.lines, approvals, shop.catalog
 
 
 def reorder_existing(spark: SparkSession, sf: str) -> DataFrame:
@@ -341,7 +342,7 @@ def pending_stock(spark: SparkSession, sf: str) -> DataFrame:
 
 def allocate_fifo(spark: SparkSession, sf: str) -> DataFrame:
     shop = Shop(spark, sf)
-    return stock.allocate_fifo(shop.lines, _first_three(shop)).select(
+    return stock.allocate_fifo(shop.lines, _oldest_waiting(shop)).select(
         "order_id", "part_code", "line_no", _day("requested"), "needed", "available")
 
 
@@ -366,12 +367,15 @@ def unmatched_receipts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _recent_arrivals(shop: Shop) -> DataFrame:
-    """One arrival per part: what its three newest supplied lines got, one more for odd part codes."""
+    """Three arrivals per part: what its newest supplied lines got, from one line to seven, for one line more, and one
+    piece more than that."""
     newest = Window.partitionBy("part_code").orderBy(F.col("requested").desc(), "order_id", "line_no")
     supplied = shop.lines.filter(F.col("available") != 0)
-    ranked = supplied.withColumn("_nr", F.row_number().over(newest)).filter(F.col("_nr") <= 3)
-    return ranked.groupBy("part_code").agg(F.sum("available").alias("_sum")).select(
-        "part_code", (F.col("_sum") + F.col("part_code") % 2).alias("arrived"))
+    most = 1 + F.col("part_code") % 7
+    ranked = supplied.withColumn("_nr", F.row_number().over(newest)).filter(F.col("_nr") <= most + 1)
+    sums = ranked.groupBy("part_code").agg(F.sum("available").alias("_all"),
+                                           F.sum(F.when(F.col("_nr") <= most, F.col("available"))).alias("_most"))
+    return sums.select("part_code", F.explode(F.array("_most", "_all", F.col("_all") + 1)).alias("arrived")).distinct()
 
 
 def recent_prefix_size(spark: SparkSession, sf: str) -> DataFrame:
@@ -440,7 +444,7 @@ def parts_one_per_name(spark: SparkSession, sf: str) -> DataFrame:
 def _usage(report: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         shop = Shop(spark, sf)
-        return report(shop.catalog, shop.rush_lines)
+        return report(shop.catalog, shop.named_lines)
 
     return run
 
@@ -449,6 +453,44 @@ def names_by_category(spark: SparkSession, sf: str) -> DataFrame:
     return reports.names_by_category(Shop(spark, sf).catalog)
 
 
+# --- the routines as SQL functions --------------------------------------------------------------------------
+
+def _registered(spark: SparkSession, sf: str) -> Shop:
+    shop = Shop(spark, sf)
+    sql_functions.register(spark, {"orders": _priced(shop), "lines": shop.lines, "decisions": shop.decisions,
+                                   "pending": shop.pending, "staff": shop.staff})
+    return shop
+
+
+def sql_ricevuti(spark: SparkSession, sf: str) -> DataFrame:
+    _registered(spark, sf).deliveries.createOrReplaceTempView("deliveries")
+    return spark.sql("SELECT part_code, seq, arrived, Ricevuti(arrived, part_code) AS remaining FROM deliveries")
+
+
+def sql_stato_ordine(spark: SparkSession, sf: str) -> DataFrame:
+    _registered(spark, sf)
+    return spark.sql("SELECT order_id, StatoOrdine(order_id) AS status FROM orders")
+
+
+def sql_limite(spark: SparkSession, sf: str) -> DataFrame:
+    _recent_arrivals(_registered(spark, sf)).createOrReplaceTempView("arrivals")
+    return spark.sql("SELECT part_code, arrived, limite(part_code, arrived) AS k FROM arrivals")
+
+
+def sql_shop(spark: SparkSession, sf: str) -> DataFrame:
+    """The routines without an argument, each over its whole tables."""
+    _registered(spark, sf)
+    return spark.sql("SELECT Saldo() AS balance, prossimo() AS next_order, Meccanico() AS mechanic")
+
+
+def sql_assegnazioni(spark: SparkSession, sf: str) -> DataFrame:
+    """The call for the first part, by its largest arrival that some lines sum to."""
+    shop = _registered(spark, sf)
+    asked = stock.recent_prefix_size(shop.lines, _recent_arrivals(shop)).filter("k > 0")
+    call = asked.agg(F.min(F.struct("part_code", -F.col("arrived"))).alias("c")).select("c.*").first()
+    return spark.sql(f"SELECT order_id, quantity, rank FROM Assegnazioni({-(call[1] or 0)}, {call[0] or 0})")
+
+
 # --- streams: run over all events, then read what they wrote -------------------------------------------------
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -487,8 +529,7 @@ def stream_decisions(spark: SparkSession, sf: str) -> DataFrame:
     events = _events(spark, sf).select(
         F.col("user_id").alias("order_id"), outcome.alias("outcome"), F.col("event_id").alias("seq"))
     out, checkpoint = _paths(spark, "decisions")
-    on_order = _shelf(shop).filter(F.col("quantity") > 25)
-    streams.stream_decisions(events, shop.waiting, shop.catalog, on_order, out, checkpoint).awaitTermination()
+    streams.stream_decisions(events, shop.lines, shop.catalog, _on_order(shop), out, checkpoint).awaitTermination()
     return read_version(spark, out)
 
 
@@ -537,6 +578,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         allocate_receipts_stock, unmatched_receipts, recent_prefix_size, recent_assignments,
         free_mechanics, least_loaded, pick_mechanic, assign_mechanics,
         mechanic_hours, min_mechanic_hours, supplier_revenue, parts_one_per_name, names_by_category,
+        sql_ricevuti, sql_stato_ordine, sql_limite, sql_shop, sql_assegnazioni,
         stream_gate, stream_quote, stream_decisions, stream_receipts, stream_final_cost, stream_default_decision,
         stream_purge)
 }

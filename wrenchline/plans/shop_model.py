@@ -109,10 +109,9 @@ class Shop:
             "part_code", seq.alias("seq"), F.col("available").alias("arrived"))
 
     @property
-    def rush_lines(self) -> DataFrame:
-        """Lines of urgent open orders, with part names."""
-        rush = self.raw["orders"].filter(
-            (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "O")) \
-            .select(F.col("o_orderkey").alias("order_id"))
-        return self.lines.join(rush, "order_id", "left_semi").join(
-            self.catalog.select("part_code", "name"), "part_code")
+    def named_lines(self) -> DataFrame:
+        """All lines with a part name of their own: every third part is written down under a name that the
+        catalogue does not have, so the part counts as unused."""
+        own = F.when(F.col("part_code") % 3 == 0, F.concat(F.lit("pezzo "), F.col("part_code").cast("string")))
+        return self.lines.join(self.catalog.select("part_code", "name"), "part_code").withColumn(
+            "name", F.coalesce(own, "name"))

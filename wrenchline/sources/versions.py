@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -62,6 +64,35 @@ def write_version(df: DataFrame, path: str, version: int, keep: int = 3) -> None
         fs.delete(folder, True)
 
 
+def claim(spark: SparkSession, path: str, checkpoint: str) -> None:
+    """Mark ``path`` as the output of the streaming query of ``checkpoint``, or refuse if it is another one's.
+
+    The mark is the query's own id, which Spark keeps in the checkpoint, and is created exclusively. Call it before
+    anything is written: versions and batch numbers alone do not tell a repeated micro-batch from a foreign one.
+    """
+    fs, metadata = _filesystem(spark, f"{checkpoint}/metadata")
+    with_text = spark._jvm.org.apache.commons.io.IOUtils
+    stream = fs.open(metadata)
+    try:
+        query = json.loads(with_text.toString(stream, "UTF-8"))["id"]
+    finally:
+        stream.close()
+    fs, mark = _filesystem(spark, f"{path}/_owner")
+    if not fs.exists(mark):
+        made = fs.create(mark, False)
+        try:
+            with_text.write(query, made, "UTF-8")
+        finally:
+            made.close()
+    stream = fs.open(mark)
+    try:
+        owner = with_text.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    if owner != query:
+        raise ValueError(f"{path} belongs to another checkpoint (query {owner}, not {query})")
+
+
 def start_versions(df: DataFrame, path: str) -> None:
     """Write ``df`` as version 0 of a table that has no version yet."""
     if not versions(df.sparkSession, path):

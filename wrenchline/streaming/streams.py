@@ -21,7 +21,7 @@ from wrenchline.operators.stock import (
     hot_parts, pending_stock, receipt_decisions, starting_state, state_after,
 )
 from wrenchline.schemas import PART_UNSUITABLE, REFUSED, VEHICLE_UNKNOWN
-from wrenchline.sources.versions import is_written, read_version, start_versions, write_version
+from wrenchline.sources.versions import claim, is_written, read_version, start_versions, write_version
 
 
 def event_source(spark: SparkSession, folder: str, schema: StructType, fmt: str = "parquet",
@@ -83,8 +83,12 @@ def running_quotes(lines_stream: DataFrame) -> DataFrame:
 
 
 def stream_quote(lines_stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Log each micro-batch's changed quotes under ``path/batch=<n>``; only changed orders are written."""
+    """Log each micro-batch's changed quotes under ``path/batch=<n>``; only changed orders are written.
+
+    A path belongs to one checkpoint.
+    """
     def log(changed: DataFrame, batch_id: int) -> None:
+        claim(changed.sparkSession, path, checkpoint)
         changed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return each_batch(running_quotes(lines_stream), log, checkpoint, "update")
@@ -107,6 +111,7 @@ def stream_decisions(stream: DataFrame, lines: DataFrame, catalog: DataFrame, pe
 
     def reorder(events: DataFrame, batch_id: int) -> None:
         spark = events.sparkSession
+        claim(spark, path, checkpoint)
         if is_written(spark, path, batch_id + 1):
             return
         stock = read_version(spark, path, batch_id)
@@ -116,17 +121,19 @@ def stream_decisions(stream: DataFrame, lines: DataFrame, catalog: DataFrame, pe
 
 
 def stream_purge(stream: DataFrame, pending: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Arriving vehicles clear pending rows with nothing left on order."""
+    """Arriving vehicles clear pending rows with nothing left on order.
+
+    A micro-batch without vehicles writes nothing; the current version then stays the newest below its number.
+    """
     start_versions(pending, path)
 
     def clear(vehicles: DataFrame, batch_id: int) -> None:
         spark = vehicles.sparkSession
-        if is_written(spark, path, batch_id + 1):
+        claim(spark, path, checkpoint)
+        if is_written(spark, path, batch_id + 1) or vehicles.isEmpty():
             return
         stock = read_version(spark, path, batch_id)
-        if not vehicles.isEmpty():
-            stock = purge(stock, F.col("quantity") == 0)
-        write_version(stock, path, batch_id + 1)
+        write_version(purge(stock, F.col("quantity") == 0), path, batch_id + 1)
 
     return each_batch(stream, clear, checkpoint)
 
@@ -145,6 +152,7 @@ def stream_receipts(stream: DataFrame, lines: DataFrame, pending: DataFrame, pat
 
     def receive(events: DataFrame, batch_id: int) -> None:
         spark = events.sparkSession
+        claim(spark, states, checkpoint)
         if is_written(spark, states, batch_id + 1):
             return
         state = read_version(spark, states, batch_id)

@@ -87,3 +87,20 @@ def test_small_sides(spark, monkeypatch):
     assert not skew.is_small(spark.range(10_000_000))
     monkeypatch.setattr(skew, "BROADCAST_ROWS", 2)
     assert not hinted(skew.sized(unknown))
+
+
+def test_known_inputs_are_sized_without_a_job(spark):
+    """The estimate of a join of known inputs is a product, far beyond any table; it must not be taken for unknown."""
+    left = spark.range(200_000_000).withColumn("x", F.col("id") + 1)
+    joined = left.join(spark.range(200_000_000), "id").join(spark.range(100_000_000), "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")
+    try:
+        assert skew.plan_bytes(joined) > skew.UNKNOWN_BYTES and skew.inputs_known(joined)
+        spark.sparkContext.setJobGroup("sizing", "no job")
+        assert not skew.is_small(joined)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("sizing")
+        unknown = spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "id bigint")
+        assert not skew.inputs_known(unknown) and skew.is_small(unknown)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

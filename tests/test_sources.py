@@ -123,3 +123,11 @@ def test_upserts(spark):
 def test_purge_keeps_unknown(spark):
     df = spark.createDataFrame([(0,), (1,), (None,)], "q int")
     assert maintenance.purge(df, F.col("q") == 0).count() == 2
+
+
+def test_an_unknown_quantity_stays_unknown(spark):
+    df = spark.createDataFrame([(1, None), (2, 5)], "k int, q bigint")
+    deltas = spark.createDataFrame([(1, 2), (2, None), (2, 1), (3, None), (4, 7)], "k int, q bigint")
+    added = {r.k: r.q for r in maintenance.upsert(df, deltas, ["k"], ["q"]).collect()}
+    assert added == {1: None, 2: 6, 3: None, 4: 7}
+    assert {r.k: r.q for r in maintenance.increment_by_key(df, deltas, ["k"], "q").collect()} == {1: None, 2: 6}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrenchline.operators.skew import hot_keys, is_small, lookup_join
+from wrenchline.operators.skew import lookup_join
 from wrenchline.schemas import PART_UNSUITABLE, VEHICLE_UNKNOWN
 
 MODEL = ("brand", "model", "trim")
@@ -20,12 +20,9 @@ def catalog_models(catalog: DataFrame, model: Sequence[str] = MODEL) -> DataFram
 
 def vehicle_gate(vehicles: DataFrame, catalog: DataFrame,
                  model: Sequence[str] = MODEL) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): a vehicle needs a catalogue row of its model."""
-    known = catalog_models(catalog, model)
-    hot = [] if is_small(known) else hot_keys(vehicles, model)
-    accepted = lookup_join(vehicles, known, model, "left_semi", hot)
-    rejected = lookup_join(vehicles, known, model, "left_anti", hot)
-    return accepted, rejected.withColumn("reason", F.lit(VEHICLE_UNKNOWN))
+    """(accepted, rejected): a vehicle needs a catalogue row of its model. To write both, split ``marked_vehicles``."""
+    marked = marked_vehicles(vehicles, catalog, model)
+    return marked.filter(F.col("reason").isNull()).drop("reason"), marked.filter(F.col("reason").isNotNull())
 
 
 def marked_vehicles(vehicles: DataFrame, catalog: DataFrame, model: Sequence[str] = MODEL) -> DataFrame:

@@ -30,7 +30,7 @@ def update_by_key(df: DataFrame, patches: DataFrame, keys: Sequence[str], order_
 
 
 def increment_by_key(df: DataFrame, deltas: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """``UPDATE a JOIN b SET a.q = a.q + b.q`` with all deltas of a key added up first."""
+    """``UPDATE a JOIN b SET a.q = a.q + b.q`` with all deltas of a key added up first; an unknown a.q stays unknown."""
     added = deltas.groupBy(*keys).agg(F.sum(column).alias("_added"))
     joined = lookup_join(df, added, keys, "left")
     return joined.withColumn(column, F.col(column) + F.coalesce(F.col("_added"), F.lit(0))).drop("_added")
@@ -40,7 +40,7 @@ def upsert(df: DataFrame, deltas: DataFrame, keys: Sequence[str],
            add_cols: Sequence[str] = ()) -> DataFrame:
     """Change existing keys and insert new ones.
 
-    ``add_cols`` are summed, other columns keep the existing row's value (for a new key: the smallest of
+    ``add_cols`` are summed, and an existing unknown value stays unknown as in ``increment_by_key``. Other columns keep the existing row's value (for a new key: the smallest of
     the delta's). Without ``add_cols`` the delta, one row per key, replaces the row.
     """
     keys = list(keys)
@@ -49,7 +49,7 @@ def upsert(df: DataFrame, deltas: DataFrame, keys: Sequence[str],
         both = df.select(*df.columns, F.lit(0).alias("_src")).unionByName(
             deltas.select(*df.columns, F.lit(1).alias("_src")))
         merged = both.groupBy(*keys).agg(*[
-            F.sum(c).alias(c) if c in add_cols else F.min(F.struct("_src", c))[c].alias(c) for c in rest])
+            F.when(F.count_if((F.col("_src") == 0) & F.col(c).isNull()) == 0, F.sum(c)).alias(c) if c in add_cols else F.min(F.struct("_src", c))[c].alias(c) for c in rest])
         return merged.select(*df.columns)
     new = deltas.select(*keys, F.struct(*rest).alias("_new"))
     old = df.select(*keys, F.struct(*rest).alias("_old"))

@@ -19,9 +19,11 @@ HOT_ROWS = ("wrenchline.skew.hotRows", 2_000_000)
 MIN_BYTES = ("wrenchline.skew.minBytes", 64 << 20)
 # Bound on the number of hot keys, hence on everything broadcast "per hot key" below.
 MAX_HOT_KEYS = 10_000
-# Rows of a table with one short row per key that may be broadcast after counting them, some 10 MB.
+# Rows of a table with one short row per key that may be broadcast after counting them, some 10 MB; of wider rows only
+# as many as make BROADCAST_BYTES by the default sizes of their types. Above, the side is joined without a broadcast.
 BROADCAST_ROWS = 100_000
-# Estimates at least this large mean that the optimizer does not know the size.
+BROADCAST_BYTES = 16 << 20
+# An input with an estimate at least this large, such as a micro-batch, has no known size.
 UNKNOWN_BYTES = 1 << 60
 # Keys the sketch tracks: any key above about 1/75,000 of all rows is found.
 SKETCH_ITEMS = 100_000
@@ -36,13 +38,24 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def inputs_known(df: DataFrame) -> bool:
+    """Whether the optimizer knows the size of every input. The estimate of a join is the product of its sides and
+    says nothing about that, however large it is."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return all(size < UNKNOWN_BYTES for size in sizes)
+
+
 def is_small(df: DataFrame) -> bool:
-    """Whether a lookup side may be broadcast: by Spark's own size threshold, or by counting it where the
-    optimizer knows no size, as for micro-batches."""
-    size = plan_bytes(df)
-    if size < UNKNOWN_BYTES:
-        return size <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Whether a lookup side may be broadcast: by Spark's own size threshold, or, only where an input has no known
+    size, by counting rows up to a bound. With known inputs nothing is executed."""
+    if plan_bytes(df) <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold():
+        return True
+    if inputs_known(df):
+        return False
+    width = max(1, df._jdf.schema().defaultSize())
+    most = min(BROADCAST_ROWS, BROADCAST_BYTES // width)
+    return df.limit(most + 1).count() <= most
 
 
 def sized(df: DataFrame) -> DataFrame:

@@ -104,3 +104,10 @@ def test_known_inputs_are_sized_without_a_job(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_slices_grow_with_the_rows(spark, rows, monkeypatch):
+    monkeypatch.setattr(skew, "SLICE_ROWS", 500)
+    got = skew.sliced_totals(rows, ["key"], [F.col("pos")], {"total": F.col("value")})
+    plain = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    assert as_set(got) == as_set(rows.withColumn("total", F.sum("value").over(plain)))

@@ -144,3 +144,12 @@ def test_vehicles_clear_finished_stock(spark, folder):
     assert versions.read_version(spark, f"{folder}/a").count() == 2
     streams.stream_purge(stream, pending, f"{folder}/b", f"{folder}/cp2").awaitTermination()
     assert [r.part_code for r in versions.read_version(spark, f"{folder}/b").collect()] == [2]
+
+
+def test_default_decisions_spare_stored_ones(spark, folder):
+    spark.createDataFrame([(1,), (2,), (2,), (3,)], "order_id bigint").write.parquet(f"{folder}/in")
+    stream = streams.event_source(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema)
+    stored = spark.createDataFrame([(3, "Positivo"), (3, "Negativo")], "order_id bigint, outcome string")
+    made = streams.stream_default_decision(stream, stored)
+    streams.write_files(made, f"{folder}/out", f"{folder}/cp").awaitTermination()
+    assert sorted(r.order_id for r in spark.read.parquet(f"{folder}/out").collect()) == [1, 2]

@@ -25,6 +25,8 @@ BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 16 << 20
 # An input with an estimate at least this large, such as a micro-batch, has no known size.
 UNKNOWN_BYTES = 1 << 60
+# Rows of a slice of ``sliced_totals``.
+SLICE_ROWS = 1_000_000
 # Keys the sketch tracks: any key above about 1/75,000 of all rows is found.
 SKETCH_ITEMS = 100_000
 
@@ -163,14 +165,16 @@ def sliced_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
                   totals: Mapping[str, Column]) -> DataFrame:
     """Running sums with no task holding a whole group.
 
-    A range shuffle cuts the sorted rows into slices of about equal size, whatever the keys are; each slice
+    A range shuffle cuts the sorted rows into slices of about ``SLICE_ROWS`` rows, whatever the keys are; each slice
     sums its own rows, and the sums of earlier slices of the same key are added as an offset. There are
     at most (slices + keys) offsets, so they are broadcast. The slice number is stored by a checkpoint because
     range bounds are sampled anew on every evaluation.
     """
     keys = list(keys)
     values = {f"_v_{name}": value.cast("bigint") for name, value in totals.items()}
-    ranged = df.withColumns(values).repartitionByRange(*[F.col(k) for k in keys], *order)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(least, -(-df.count() // SLICE_ROWS))
+    ranged = df.withColumns(values).repartitionByRange(slices, *[F.col(k) for k in keys], *order)
     placed = pinned(ranged.withColumn("_slice", F.spark_partition_id()))
     per_slice = placed.groupBy(*keys, "_slice").agg(*[F.sum(v).alias(v) for v in values])
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

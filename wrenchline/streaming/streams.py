@@ -17,10 +17,12 @@ from pyspark.sql.types import StructType
 from wrenchline.operators.gates import MODEL, catalog_models
 from wrenchline.operators.maintenance import latest_per_key, purge
 from wrenchline.operators.orders import approvals_of, cost_value, line_amount
+from wrenchline.operators.skew import sized
 from wrenchline.operators.stock import (
     hot_parts, pending_stock, receipt_decisions, starting_state, state_after,
 )
 from wrenchline.schemas import PART_UNSUITABLE, REFUSED, VEHICLE_UNKNOWN
+from wrenchline.session import pinned
 from wrenchline.sources.versions import claim, is_written, read_version, start_versions, write_version
 
 
@@ -52,29 +54,40 @@ def each_batch(stream: DataFrame, action: Callable[[DataFrame, int], None], chec
 def stream_gate(stream: DataFrame, catalog: DataFrame, model: Sequence[str] = MODEL) -> DataFrame:
     """Arriving vehicles, or arriving lines that carry ``part_code`` and their vehicle's model.
 
-    ``reason`` is NULL for accepted rows. One stream with a mark, so that one pass feeds both outputs.
+    ``reason`` is NULL for accepted rows. One stream with a mark, so that one pass feeds both outputs. What the
+    catalogue supports is worked out once, when the stream is defined, and broadcast while it is small.
     """
     by_part = "part_code" in stream.columns
     keys = ["part_code", *model] if by_part else list(model)
     known = (catalog.select(*keys).dropna().distinct() if by_part else catalog_models(catalog, model))
-    marked = stream.join(known.withColumn("_known", F.lit(True)), keys, "left")
+    marked = stream.join(sized(pinned(known.withColumn("_known", F.lit(True)))), keys, "left")
     message = PART_UNSUITABLE if by_part else VEHICLE_UNKNOWN
     return marked.withColumn("reason", F.when(F.col("_known").isNull(), F.lit(message))).drop("_known")
 
 
 def stream_final_cost(stream: DataFrame, quotes: DataFrame,
                       today: datetime.date | None = None) -> DataFrame:
-    """Labor events (order_id, seq, labor) to closed orders: cost from the quote (order_id, quote) and end date."""
+    """Labor events (order_id, seq, labor) to closed orders: cost from the quote (order_id, quote) and end date.
+
+    The quotes are worked out once, when the stream is defined.
+    """
+    quotes = sized(pinned(quotes.select("order_id", "quote")))
     day = F.lit(today) if today else F.current_date()
-    closed = stream.filter(F.col("labor") != 0).join(quotes.select("order_id", "quote"), "order_id")
+    closed = stream.filter(F.col("labor") != 0).join(quotes, "order_id")
     return closed.select("order_id", "seq", "labor", cost_value().alias("final_cost"), day.alias("end_date"))
 
 
 # --- keyed state held by the engine ------------------------------------------------------------
 
-def stream_default_decision(stream: DataFrame) -> DataFrame:
-    """A refusal for every order id seen, once."""
-    return stream.select("order_id").dropDuplicates(["order_id"]).withColumn("outcome", F.lit(REFUSED))
+def stream_default_decision(stream: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """A refusal, once, for every order id seen that has no stored decision (``decisions``, as of the start).
+
+    The ids seen are state that grows with the orders; orders with a stored decision do not enter it.
+    """
+    opened = stream.select("order_id")
+    if decisions is not None:
+        opened = opened.join(sized(pinned(decisions.select("order_id").distinct())), "order_id", "left_anti")
+    return opened.dropDuplicates(["order_id"]).withColumn("outcome", F.lit(REFUSED))
 
 
 def running_quotes(lines_stream: DataFrame) -> DataFrame:

@@ -26,13 +26,12 @@ _COUNTS = "section int, start long, stop long, n_tokens long, n_crossing long"
 def _attributed(path: str, closing: bytes, passed: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = PieceEncoder(path)
-        lengths = encode.byte_lengths()
+        lengths = encode.lengths
         pattern = re.compile(closing)
         for batch in batches:
-            texts = batch.column("text")
-            for chunk in chunks(texts):
+            for chunk in chunks(batch.column("text")):
                 n = chunk.last - chunk.first
-                ids = np.frombuffer(b"".join(encode(texts.slice(chunk.first, n).to_pylist())), "<u4")
+                ids = np.concatenate(encode(chunk))
                 begins = np.cumsum(lengths[ids]) - lengths[ids]
                 # Sections of the chunk: each text begins one, and so does what follows a closing inside a text.
                 after = np.array([m.end() for m in pattern.finditer(chunk.data.tobytes())], np.int64)

@@ -40,12 +40,10 @@ def _pieces(path: str, size: int, passed: list[str]):
         encode = PieceEncoder(path)
         item = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = batch.column("text")
-            for chunk in chunks(texts):
+            for chunk in chunks(batch.column("text")):
                 rows, out = [], []
-                ids_of = encode(texts.slice(chunk.first, chunk.last - chunk.first).to_pylist())
-                for i, ids in enumerate(ids_of):
-                    ids += END.to_bytes(4, "little")
+                for i, found in enumerate(encode(chunk)):
+                    ids = found.tobytes() + END.to_bytes(4, "little")
                     n = len(ids) // 4
                     first = (n - 1) % size + 1 if n > size else n
                     edges = [0, *range(first, n + 1, size)]

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from wrenchline.llm.fmindex import FMIndex
 from wrenchline.llm.shared import fresh_name
 from wrenchline.llm.textbytes import ALPHANUMERIC, U64, chunks, words
+from wrenchline.session import pinned
 
 WINDOW = 10
 #: Words of a shard (a longer document is a shard of its own).
@@ -238,7 +239,7 @@ def cut_out(texts: pa.Array, spans: list[list]) -> pa.Array:
 def _blocks(benchmark: DataFrame, window: int, block_rows: int) -> list:
     """Broadcast blocks of windows. Rows are dealt by hash, so a block has about ``block_rows`` at most."""
     spark = benchmark.sparkSession
-    rows = benchmark_windows(benchmark, window)
+    rows = pinned(benchmark_windows(benchmark, window))
     n_blocks = max(1, -(-rows.count() // block_rows))
     return [spark.sparkContext.broadcast(Block.of(
         rows.filter(F.pmod(F.xxhash64("item_id", "window"), F.lit(n_blocks)) == k).toPandas(), window))

@@ -5,8 +5,9 @@
 2. Texts with equal sets form a class; only its smallest document goes on, so copies cost one row each.
 3. Band buckets give candidates. They are compared in tiles of bounded size by bit counts on the packed signatures,
    corrected for chance collisions. A tile returns the best partner of each row, never all its pairs.
-4. The best link out of each component found so far (Boruvka's step) is confirmed on the full sets and merged. When the
-   pairs left between different components are few, all of them are confirmed and the result is final.
+4. Twice the best link out of each component found so far (Boruvka's step) is confirmed on the full sets and merged.
+5. Components that candidates still connect form clusters. Each cluster is compared once more in tiles, with the texts,
+   and candidates between components not yet connected are confirmed there, so only links leave a tile.
 
 A pair in no common bucket, or whose estimate is more than ``MARGIN`` below the threshold, is not compared: at the
 threshold itself this loses one pair in about 10,000, and less above it.
@@ -21,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrenchline.llm.graph import components
+from wrenchline.llm.graph import components, union_find
 from wrenchline.llm.textbytes import NOT_SPACE, U64, Chunk, chunks, constants, mix, words
 from wrenchline.session import pinned
 
 SHINGLE = 5
 THRESHOLD = 75  # per cent
-BROADCAST_PAIRS = 200_000
+BROADCAST_IDS = 400_000
 PERMUTATIONS = 128
 BANDS = 32
 BITS = 2
@@ -40,6 +41,14 @@ TILE_ROWS = 1024
 FIRST_BANDS = 8
 #: Pairs of small tiles compared at a time.
 PAIR_BLOCK = 1 << 20
+#: Rounds of best links; what they leave open is confirmed in tiles of related components.
+ROUNDS = 2
+
+_ROWS = 1024
+#: The first round looks into so many bands only: it joins most copies, which later rounds, in all bands, then skip.
+FIRST_BANDS = 8
+#: Pairs of small tiles compared at a time.
+PAIR_BLOCK = 1 << 20
 #: All pairs between components are confirmed once there are at most so many for each document.
 PAIRS_PER_DOCUMENT = 0.5
 
@@ -154,7 +163,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed, _SIGNED)
 
 
-_PAIRS = "a long, b long, comp_a long, comp_b long, worth long, n long"
+_PAIRS = "a long, b long, comp_a long, comp_b long, worth long"
 
 
 def tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -178,7 +187,7 @@ def tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 class _Best:
-    """For each row of a table its most promising partner, and the number of its candidates.
+    """For each row of a table its most promising partner.
 
     A pair estimated well above the threshold is strong. A row prefers a strong partner with many strong partners, which is
     the middle of a group of copies, so that groups merge in few rounds; then the fewest mismatches, then the
@@ -187,7 +196,7 @@ class _Best:
 
     def __init__(self, doc: np.ndarray, strong: int):
         self.doc, self.strong, self.worth = doc, strong, np.full(len(doc), -1)
-        self.partner, self.counts = np.full(len(doc), -1), np.zeros(len(doc), np.int64)
+        self.partner = np.full(len(doc), -1)
 
     def rate(self, apart: np.ndarray, degree: np.ndarray) -> np.ndarray:
         return np.where(apart <= self.strong, degree + 1, 0) * (PERMUTATIONS + 1) + PERMUTATIONS - apart
@@ -200,7 +209,7 @@ class _Best:
         self.worth[rows[better]], self.partner[rows[better]] = worth[better], others[better]
 
 
-def _small_tiles(sig, comp, starts, length, most, best: _Best | None):
+def _small_tiles(sig, may, starts, length, best: _Best | None):
     """All pairs of many tiles of the same few rows each."""
     i, j = np.triu_indices(int(length), 1)
     step = max(1, PAIR_BLOCK // len(i))
@@ -208,14 +217,13 @@ def _small_tiles(sig, comp, starts, length, most, best: _Best | None):
         at = starts[k:k + step, None]
         left, right = (at + i).ravel(), (at + j).ravel()
         apart = mismatches(sig[left], sig[right])
-        near = (comp[left] != comp[right]) & (apart <= most)
+        near = may(left, right, apart)
         left, right, apart = left[near], right[near], apart[near]
         if best is None:
             yield left, right
             continue
         rows, others, both = np.append(left, right), np.append(right, left), np.append(apart, apart)
-        np.add.at(best.counts, rows, 1)
-        degree = np.bincount(rows[both <= best.strong], minlength=len(comp))
+        degree = np.bincount(rows[both <= best.strong], minlength=len(sig))
         worth = best.rate(both, degree[others])
         order = np.lexsort((best.doc[others], -worth, rows))
         rows, others, worth = rows[order], others[order], worth[order]
@@ -224,10 +232,10 @@ def _small_tiles(sig, comp, starts, length, most, best: _Best | None):
         best.offer(rows[head], others[head], worth[head])
 
 
-def _large_tile(sig, comp, left, right, square, most, best: _Best | None):
+def _large_tile(sig, may, left, right, square, best: _Best | None):
     """Rows ``left`` against rows ``right``, both by ascending id."""
     apart = mismatches(sig[left][:, None, :], sig[right][None, :, :])
-    near = (apart <= most) & (comp[left][:, None] != comp[right][None, :])
+    near = may(left[:, None], right[None, :], apart)
     if best is None:
         i, j = np.nonzero(np.triu(near, 1) if square else near)
         yield left[i], right[j]
@@ -235,55 +243,129 @@ def _large_tile(sig, comp, left, right, square, most, best: _Best | None):
     strong = near & (apart <= best.strong)
     sides = [(left, right, 1)] if square else [(left, right, 1), (right, left, 0)]
     for own, others, axis in sides:
-        count = near.sum(axis=axis)
-        best.counts[own] += count
-        some = np.flatnonzero(count)
+        some = np.flatnonzero(near.any(axis=axis))
         degree = strong.sum(axis=1 - axis)
         worth = np.where(near, best.rate(apart, degree[None, :] if axis else degree[:, None]), -1)
         at = worth.argmax(axis=axis)[some]
         best.offer(own[some], others[at], worth[some, at] if axis else worth[at, some])
 
 
-def _compare(threshold: float, every: bool):
-    """Compare the rows of each tile: ``every`` candidate pair between components, or for each row the best one."""
-    most, strong = expected_mismatches(threshold - MARGIN), expected_mismatches(threshold + STRONG)
+class _Rows:
+    """The rows of some whole tiles, and their candidate pairs."""
+
+    def __init__(self, table: pa.Table, per_cent: int):
+        self.doc, self.comp, self.side, self.size = (
+            table.column(n).to_numpy() for n in ("doc_id", "comp", "side", "n_shingles"))
+        self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), U64).reshape(-1, _WORDS)
+        tile = [table.column(n).to_numpy() for n in ("key", "ti", "tj")]
+        new = np.ones(len(table), bool)
+        new[1:] = np.logical_or.reduce([v[1:] != v[:-1] for v in tile])
+        self.starts = np.flatnonzero(new)
+        self.lengths = np.diff(np.append(self.starts, len(table)))
+        self.square = tile[1][self.starts] == tile[2][self.starts]
+        self.per_cent, self.most = per_cent, expected_mismatches(per_cent / 100 - MARGIN)
+
+    def may(self, left: np.ndarray, right: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """Different components, few mismatches, and sizes that allow the similarity."""
+        x, y = self.size[left], self.size[right]
+        return (self.comp[left] != self.comp[right]) & (apart <= self.most) & (
+            100 * np.minimum(x, y) >= self.per_cent * np.maximum(x, y))
+
+    def tile(self, t: int, best: _Best | None = None):
+        rows = np.arange(self.starts[t], self.starts[t] + self.lengths[t])
+        left, right = (rows, rows) if self.square[t] else (rows[self.side[rows] == 0], rows[self.side[rows] == 1])
+        yield from _large_tile(self.sig, self.may, left, right, self.square[t], best)
+
+    def candidates(self, best: _Best | None = None):
+        """Pairs of rows, some at a time; with ``best`` they are only offered there."""
+        small = self.square & (self.lengths <= 64)
+        for length in np.unique(self.lengths[small]):
+            if length > 1:
+                at = self.starts[small & (self.lengths == length)]
+                yield from _small_tiles(self.sig, self.may, at, length, best)
+        for t in np.flatnonzero(~small):
+            yield from self.tile(t, best)
+
+
+def _partners(per_cent: int):
+    """For each row of each tile its best partner in another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tiles_of(batches):
+            rows = _Rows(table, per_cent)
+            best = _Best(rows.doc, expected_mismatches(per_cent / 100 + STRONG))
+            for _ in rows.candidates(best):
+                pass
+            got = np.flatnonzero(best.partner >= 0)
+            to = best.partner[got]
+            yield _pairs(rows.doc[got], rows.doc[to], rows.comp[got], rows.comp[to], best.worth[got])
+
+    return run
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _related(per_cent: int):
+    """A spanning forest of the components that some candidate pair of a tile connects."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tiles_of(batches):
-            values = {n: table.column(n).to_numpy() for n in ("key", "ti", "tj", "doc_id", "comp", "side")}
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), U64).reshape(-1, _WORDS)
-            new = np.ones(len(table), bool)
-            new[1:] = np.logical_or.reduce([values[n][1:] != values[n][:-1] for n in ("key", "ti", "tj")])
-            starts = np.flatnonzero(new)
-            lengths = np.diff(np.append(starts, len(table)))
-            square = values["ti"][starts] == values["tj"][starts]
-            doc, comp, side = values["doc_id"], values["comp"], values["side"]
-            best = None if every else _Best(doc, strong)
-
-            def candidates():
-                small = square & (lengths <= 64)
-                for length in np.unique(lengths[small]):
-                    if length > 1:
-                        yield from _small_tiles(sig, comp, starts[small & (lengths == length)], length, most, best)
-                for t in np.flatnonzero(~small):
-                    rows = np.arange(starts[t], starts[t] + lengths[t])
-                    left, right = (rows, rows) if square[t] else (rows[side[rows] == 0], rows[side[rows] == 1])
-                    yield from _large_tile(sig, comp, left, right, square[t], most, best)
-
-            for left, right in candidates():
-                if len(left):
-                    yield _pairs(doc[left], doc[right], comp[left], comp[right], *np.ones((2, len(left)), np.int64))
-            if best is not None:
-                got = np.flatnonzero(best.partner >= 0)
-                if len(got):
-                    to = best.partner[got]
-                    yield _pairs(doc[got], doc[to], comp[got], comp[to], best.worth[got], best.counts[got])
-
-    return compare
+            rows = _Rows(table, per_cent)
+            names, number = np.unique(rows.comp, return_inverse=True)
+            seen = np.zeros(0, np.int64)
+            for left, right in rows.candidates():
+                seen = np.union1d(seen, number[left] * len(names) + number[right])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in union_find(
+                names[seen // len(names)], names[seen % len(names)])], ["a", "b"])
+
+    return run
+
+
+def _linked(per_cent: int):
+    """Confirm the candidates of each tile on the full sets of its texts, the likeliest first, as far as they connect
+    components that are not connected yet; give the links found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tiles_of(batches):
+            rows = _Rows(table, per_cent)
+            text = table.column("text").combine_chunks()
+            for t in range(len(rows.starts)):
+                pairs = list(rows.tile(t)) if rows.lengths[t] > 1 else []
+                if not pairs or not len(pairs[0][0]):
+                    continue
+                left, right = pairs[0]
+                named, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+                hashes, firsts = _all_shingles(text.take(pa.array(named)))
+                sets = [hashes[firsts[k]:firsts[k + 1]] for k in range(len(named))]
+                order = np.argsort(mismatches(rows.sig[left], rows.sig[right]), kind="stable")
+                _, group = np.unique(rows.comp[named], return_inverse=True)
+                group, parent, found = group.tolist(), list(range(len(named))), []
+
+                def root(x: int) -> int:
+                    while parent[x] != x:
+                        parent[x] = parent[parent[x]]
+                        x = parent[x]
+                    return x
+
+                for x, y in zip(place[:len(left)][order].tolist(), place[len(left):][order].tolist(), strict=True):
+                    u, v = root(group[x]), root(group[y])
+                    if u != v and similar(sets[x], sets[y], per_cent):
+                        parent[v] = u
+                        found.append((x, y))
+                if found:
+                    at = named[np.array(found)]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows.doc[at[:, k]]) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def similar(x: np.ndarray, y: np.ndarray, per_cent: int) -> bool:
+    """Whether two sorted sets have at least that similarity."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    union = len(x) + len(y) - both
+    return union > 0 and 100 * both >= per_cent * union
 
 
 def _pairs(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "comp_a", "comp_b", "worth", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "comp_a", "comp_b", "worth"])
 
 
 def in_tiles(members: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -313,9 +395,7 @@ def _confirm(per_cent: int):
                 (left, lf), (right, rf) = piece
                 for i in range(len(lf) - 1):
                     x, y = left[lf[i]:lf[i + 1]], right[rf[i]:rf[i + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    union = len(x) + len(y) - both
-                    keep[at + i] = union > 0 and 100 * both >= per_cent * union
+                    keep[at + i] = similar(x, y, per_cent)
                 at += len(lf) - 1
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
@@ -338,21 +418,33 @@ def _all_shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(firsts)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (``a``, ``b``) whose whole shingle sets have at least that similarity.
+def named_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of the documents in ``ids``. Up to ``BROADCAST_IDS`` ids, 8 bytes each, are broadcast, so that no other
+    texts are shuffled; more are joined by shuffles."""
+    ids = pinned(ids.select("doc_id").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
 
-    Up to ``BROADCAST_PAIRS`` pairs, 16 bytes each, are broadcast, so that only the texts they name are shuffled.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+def confirmed(pairs: DataFrame, docs: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) whose whole shingle sets have at least that similarity."""
     pairs = pinned(pairs.select("a", "b"))
-    if pairs.count() <= BROADCAST_PAIRS:
-        named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = pinned(texts.join(F.broadcast(named), "doc_id"))
+    texts = pinned(named_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))))
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(per_cent), _CONFIRMED)
 
 
+def _with_components(members: DataFrame, comps: DataFrame) -> DataFrame:
+    renamed = comps.select(F.col("node").alias("doc_id"), "comp")
+    return members.join(renamed, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components."""
+    mixed = members.groupBy("key").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).filter("_l < _h")
+    return members.join(mixed.select("key"), "key", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, per_cent: int = THRESHOLD, tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -369,49 +461,38 @@ def near_duplicates(docs: DataFrame, per_cent: int = THRESHOLD, tile_rows: int =
     members = (with_words.join(single, "doc_id", "left_semi")
                .select("doc_id", F.posexplode("bands").alias("band", "key")))
     shared = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    sigs = with_words.select("doc_id", "sig")
-    members = pinned(members.join(shared, "key").join(sigs, "doc_id").select("key", "band", "doc_id", "size", "sig"))
+    sigs = with_words.select("doc_id", "sig", "n_shingles")
+    members = pinned(members.join(shared, "key").join(sigs, "doc_id")
+                     .select("key", "band", "doc_id", "size", "sig", "n_shingles"))
 
-    few = PAIRS_PER_DOCUMENT * classes.count()
-    open_members = members.filter(F.col("band") < FIRST_BANDS).withColumn("comp", F.col("doc_id"))
     links: DataFrame | None = None
-    comps: DataFrame | None = None
-    stalled, later = False, False
-    while True:
-        tiles = in_tiles(open_members, tile_rows)
-        partners = pinned(tiles.mapInArrow(_compare(per_cent / 100, every=False), _PAIRS))
-        left = partners.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        if later and not left:
-            break
-        last = stalled or (later and left <= few)
-        if last:
-            candidates = tiles.mapInArrow(_compare(per_cent / 100, every=True), _PAIRS).select("a", "b")
-        else:
-            best = partners.groupBy("comp_a").agg(F.max(F.struct(
-                F.col("worth"), (-F.col("comp_b")).alias("c"), (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("m"))
-            candidates = best.select((-F.col("m.x")).alias("a"), (-F.col("m.y")).alias("b"))
-        found = pinned(confirmed(
-            candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, per_cent))
-        none = not found.limit(1).count()
-        if not none:
-            links = found if links is None else links.unionByName(found)
-            comps = components(links)
-        if last:
-            break
-        stalled, later = later and none, True
-        with_comp = members.withColumn("comp", F.col("doc_id"))
-        if comps is not None:
-            renamed = comps.select(F.col("node").alias("doc_id"), "comp")
-            with_comp = (members.join(renamed, "doc_id", "left")
-                         .withColumn("comp", F.coalesce("comp", "doc_id")))
-        mixed = with_comp.groupBy("key").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).filter("_l < _h")
-        open_members = pinned(with_comp.join(mixed.select("key"), "key", "left_semi"))
+    open_members = members.filter(F.col("band") < FIRST_BANDS).withColumn("comp", F.col("doc_id"))
+    for _ in range(ROUNDS):
+        partners = in_tiles(open_members, tile_rows).mapInArrow(_partners(per_cent), _PAIRS)
+        best = partners.groupBy("comp_a").agg(F.max(F.struct(
+            F.col("worth"), (-F.col("comp_b")).alias("c"), (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("m"))
+        candidates = best.select((-F.col("m.x")).alias("x"), (-F.col("m.y")).alias("y")).select(
+            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        found = pinned(confirmed(candidates, docs, per_cent))
+        links = found if links is None else links.unionByName(found)
+        comps = components(links)
+        open_members = pinned(_mixed(_with_components(members, comps)))
+
+    related = pinned(in_tiles(open_members, tile_rows).mapInArrow(_related(per_cent), _CONFIRMED))
+    clusters = components(related).withColumnRenamed("node", "comp_of").withColumnRenamed("comp", "key")
+    docs_of = open_members.select("doc_id", "comp", "sig", "n_shingles").dropDuplicates(["doc_id"])
+    inside = (docs_of.join(clusters, F.col("comp") == F.col("comp_of"), "left")
+              .withColumn("key", F.coalesce("key", "comp")).drop("comp_of"))
+    sizes = inside.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("_l"), F.max("comp").alias("_h"))
+    inside = pinned(inside.join(sizes.filter("_l < _h").select("key", "size"), "key"))
+    last = in_tiles(inside.join(named_texts(docs, inside), "doc_id"), tile_rows).mapInArrow(_linked(per_cent), _CONFIRMED)
+    links = links.unionByName(pinned(last))
+    comps = components(links)
 
     firsts = classes.filter("copies > 1").select(*same_set, "first")
     out = signed.select("doc_id", *same_set).join(firsts, same_set, "left").withColumn(
         "first", F.coalesce("first", "doc_id"))
-    if comps is not None:
-        out = out.join(comps.select(F.col("node").alias("first"), "comp"), "first", "left").withColumn(
-            "first", F.coalesce("comp", "first"))
+    out = out.join(comps.select(F.col("node").alias("first"), "comp"), "first", "left").withColumn(
+        "first", F.coalesce("comp", "first"))
     return out.select("doc_id", "n_shingles", F.col("first").alias("component_id"),
                       F.col("doc_id").eqNullSafe(F.col("first")).alias("kept"))

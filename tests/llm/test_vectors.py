@@ -49,3 +49,12 @@ def test_groups_copies_and_unsound_vectors(spark, tile_rows):
         {c: F.lit(0) for c in ("key", "size", "code", "copies", "first", "n_links")})
     check(near_vectors(df, tile_rows=tile_rows), rows)
     assert near_vectors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("share", [3, 2])
+def test_group_of_near_copies_that_is_a_large_part(spark, share):
+    random = np.random.default_rng(8)
+    base = random.normal(size=16)
+    rows = [(i, (base + random.normal(size=16) * 0.11 if i % share == 0 else random.normal(size=16)).tolist(), 1)
+            for i in range(660)]
+    check(near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")), rows)

@@ -1,6 +1,7 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Reference vectors (pivots) are drawn by hash from the data. A vector is described by its ``NEAREST`` nearest pivots; it
+Reference vectors (pivots) are drawn by hash from the data, none of them close to another, so that a large group of near
+copies has one pivot and its members rank the same pivots, not arbitrary ones among themselves. A vector is described by its ``NEAREST`` nearest pivots; it
 is entered into the inverted lists of some of them, such that two vectors that share ``SHARED`` pivots meet in a list: with
 the pivots of each vector in one common order, sharing so many means sharing one of the first
 ``NEAREST - SHARED + 1``. Within a list, pairs are retrieved by their shared-pivot counts and verified by cosine in
@@ -26,6 +27,9 @@ from wrenchline.session import pinned
 
 THRESHOLD = 0.98
 PIVOTS = 128
+#: Pivots are taken from so many vectors, each at a cosine below ``APART`` to the others.
+CANDIDATES = 2048
+APART = 0.9
 NEAREST = 12
 SHARED = 5
 TILE_ROWS = 1024
@@ -62,7 +66,8 @@ def _described(broadcast):
                 masks = np.zeros((len(own), _WORDS), U64)
                 for k in range(n):
                     masks[np.arange(len(own)), top[:, k] >> 6] |= U64(1) << (top[:, k] & 63).astype(U64)
-                posted = top[:, :max(1, n - min(SHARED, n) + 1)]
+                # Without a choice of pivots all vectors share the first one.
+                posted = top[:, :_POSTINGS if near.shape[1] > NEAREST else 1]
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(len(own) + 1, dtype=np.int32) * posted.shape[1]),
                     pa.array(posted.reshape(-1).astype(np.int32)))
@@ -127,13 +132,23 @@ def _verify(threshold: float):
     return compare
 
 
+def thinned(candidates: np.ndarray) -> np.ndarray:
+    """At most ``PIVOTS`` of the unit vectors, in order, without those close to one already taken."""
+    left, taken = np.ones(len(candidates), bool), []
+    while len(taken) < PIVOTS and left.any():
+        taken.append(int(left.argmax()))
+        left &= candidates @ candidates[taken[-1]] < APART
+        left[taken[-1]] = False
+    return candidates[taken]
+
+
 def _pivots(classes: DataFrame) -> dict[int, np.ndarray]:
-    """For each vector size up to ``PIVOTS`` unit vectors, the first by a hash of their components."""
+    """For each vector size up to ``PIVOTS`` unit vectors, from the first by a hash of their components."""
     out: dict[int, np.ndarray] = {}
     for row in classes.select("size_of").distinct().toLocalIterator():
         chosen = (classes.filter(F.col("size_of") == row["size_of"]).select("embedding", "code")
-                  .orderBy("code").limit(PIVOTS).toPandas())
-        out[row["size_of"]] = units(pa.array(chosen["embedding"].tolist(), pa.list_(pa.float64())))
+                  .orderBy("code").limit(CANDIDATES).toPandas())
+        out[row["size_of"]] = thinned(units(pa.array(chosen["embedding"].tolist(), pa.list_(pa.float64()))))
     return out
 
 

@@ -132,3 +132,23 @@ def test_documents_keep_columns_and_emptied_ones_go(spark):
     assert without_recurring_lines(docs.limit(0)).count() == 0
     nameless = docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
     assert without_recurring_lines(nameless).count() == 3
+
+
+def dropped_of(spark, texts):
+    rows = without_recurring_lines(documents(spark, texts), counts=True).collect()
+    return [r["n_dropped"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_passages_longer_than_the_rest_and_many_copies_of_one_source(spark):
+    random.seed(12)
+    passage, line, sources = prose(60), prose(12), [prose(40) for _ in range(4)]
+    long = [f"{prose(10)}\n{passage}\n{prose(15)}" for _ in range(30)]
+    few = [f"{text}\n{line}" for text in sources]
+    near = []
+    for k in range(40):
+        words = sources[0].split()
+        words[k] = "edited"
+        near.append(f"{' '.join(words)}\n{line}")
+    copied = prose(50)
+    alike = [f"{copied}\n{prose(1)}" for _ in range(30)]
+    assert dropped_of(spark, [*long, *few, *near, *alike]) == [1] * 74 + [0] * 30

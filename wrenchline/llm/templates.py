@@ -7,9 +7,10 @@ leaf with the constant fields, if most fields are constant, else the line itself
 field values, and no task ever holds a leaf.
 
 A template recurs if it is found in several different texts that are not copies of each other: copies are the business
-of document dedup and must not make their own lines look like boilerplate. Texts are compared by 8 minima over their
-word shingles: among copies a minimum takes few values, among independent texts about one for each. The lines of
-recurring templates are dropped in all documents alike, so copies stay copies.
+of document dedup and must not make their own lines look like boilerplate. Texts are compared by 8 minima over the word
+shingles outside the template's own lines: among copies a minimum takes few values, among independent texts about one
+for each. A few texts that share no minimum with each other are enough, however many copies there are besides. The
+lines of recurring templates are dropped in all documents alike, so copies stay copies.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wrenchline.llm.minhash import shingle_hashes
+from wrenchline.llm.minhash import _SHINGLE_FACTORS, SHINGLE, THRESHOLD
 from wrenchline.llm.shared import fresh_name
-from wrenchline.llm.textbytes import NOT_SPACE, U64, Chunk, chunks, constants, mix, span_hashes, spans
+from wrenchline.llm.textbytes import NOT_SPACE, U64, Chunk, chunks, constants, mix, span_hashes, spans, words
 from wrenchline.session import pinned
 
 LEAD = 3
@@ -39,6 +40,8 @@ LEAST_CONSTANT = 6
 LEAST_TEXTS = 3
 #: ... if a minimum takes at least this share of the values it could take among them.
 LEAST_APART = 0.4
+#: ... or if so many texts share no minimum with another one before them.
+LEAST_SOURCES = 3
 CONTEXTS = 8
 
 _DIGITS = np.zeros(256, np.int64)
@@ -119,19 +122,77 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(lines.kind[own].view(np.int64)), fields], ["doc_id", "text_hash", "leaf", "kind", "fields"])
 
 
+def minima_without(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` templates the minima of a text without its own lines; ``owner`` has the template of each word or -1.
+
+    Shingles that touch a line of the template do not count. If none is left the other words as a whole do, and a text
+    without other words has zeros. So has a text that the template's lines alone make a near copy of others with them.
+    """
+    out = np.zeros((n, CONTEXTS), U64)
+    windows = np.lib.stride_tricks.sliding_window_view
+    if len(hashes) >= SHINGLE:
+        shingles, owners = mix((windows(hashes, SHINGLE) * _SHINGLE_FACTORS).sum(axis=1, dtype=U64)), windows(owner, SHINGLE)
+    else:
+        shingles, owners = np.zeros(0, U64), np.zeros((0, SHINGLE), owner.dtype)
+    left: dict[int, np.ndarray] = {}
+
+    def outside(template: int) -> np.ndarray:
+        if template not in left:
+            left[template] = shingles[(owners != template).all(axis=1)]
+            if not len(left[template]):
+                rest = hashes[owner != template]
+                places = np.arange(1, 2 * len(rest), 2).astype(U64)
+                left[template] = mix(np.array([(rest * places).sum(dtype=U64)], U64)) if len(rest) else rest
+        return left[template]
+
+    for k in range(CONTEXTS):
+        own = range(n)
+        if len(shingles):
+            # The least of all counts for every template but those whose lines it touches.
+            values = shingles * _CONTEXT_FACTORS[k]
+            least = values.argmin()
+            out[:, k] = values[least]
+            own = set(owners[least].tolist()) - {-1}
+        for template in own:
+            out[template, k] = (outside(template) * _CONTEXT_FACTORS[k]).min(initial=U64(2**64 - 1)) \
+                if len(outside(template)) else 0
+    whole = owners[(owners == owners[:, :1]).all(axis=1) & (owners[:, 0] >= 0), 0]
+    inside = np.bincount(whole, minlength=n)
+    out[(inside > 0) & (100 * inside >= THRESHOLD * (2 * len(shingles) - inside))] = 0
+    return out
+
+
+_SEEN = "template long, text_hash long, contexts array<long>"
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        batch = batch.filter(batch.column("own").is_valid())
+        if not len(batch):
+            continue
+        listed, hashes_of = batch.column("own").to_pylist(), batch.column("text_hash").to_pylist()
         for chunk in chunks(batch.column("text")):
-            hashes, firsts = shingle_hashes(chunk)
-            full = np.flatnonzero(firsts[1:] > firsts[:-1])
-            out = np.zeros((len(firsts) - 1, CONTEXTS), np.int64)
-            for k in range(CONTEXTS):
-                if len(full):
-                    out[full, k] = np.minimum.reduceat(hashes * _CONTEXT_FACTORS[k], firsts[:-1][full]).view(np.int64)
+            lines, found = parsed(chunk), words(chunk, NOT_SPACE)
+            line_of = np.searchsorted(lines.starts, found.starts, "right") - 1
+            edges = np.searchsorted(lines.text, np.arange(chunk.last - chunk.first + 1))
+            kinds = lines.kind.view(np.int64)
+            templates, texts, out = [], [], [np.zeros((0, CONTEXTS), U64)]
+            for i in range(chunk.last - chunk.first):
+                own = listed[chunk.first + i]
+                named = list(dict.fromkeys(x["template"] for x in own))
+                number = {t: j for j, t in enumerate(named)}
+                by_kind = {x["kind"]: number[x["template"]] for x in own}
+                # Lines too short to have a template have other kinds than those listed.
+                of_line = np.array([by_kind.get(kind, -1) for kind in kinds[edges[i]:edges[i + 1]].tolist()], np.int64)
+                at = slice(found.firsts[i], found.firsts[i + 1])
+                templates.extend(named)
+                texts.extend([hashes_of[chunk.first + i]] * len(named))
+                out.append(minima_without(found.hashes[at], of_line[line_of[at] - edges[i]], len(named)))
+            flat = np.concatenate(out).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(chunk.first, len(out)), pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(out) + 1, dtype=np.int32) * CONTEXTS), pa.array(out.reshape(-1)))],
-                ["doc_id", "contexts"])
+                [pa.array(templates, pa.int64()), pa.array(texts, pa.int64()), pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(flat) + 1, dtype=np.int32) * CONTEXTS), pa.array(flat.reshape(-1)))],
+                ["template", "text_hash", "contexts"])
 
 
 def _templates(lines: DataFrame) -> DataFrame:
@@ -158,13 +219,17 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     texts = placed.groupBy("template", "text_hash").agg(F.min("doc_id").alias("doc_id"))
     often = texts.groupBy("template").agg(F.count("*").alias("texts")).filter(F.col("texts") >= LEAST_TEXTS)
     often = pinned(often)
-    contexts = docs.mapInArrow(_contexts, "doc_id long, contexts array<long>")
-    seen = texts.join(often.select("template"), "template").join(contexts, "doc_id").select(
-        "template", F.posexplode("contexts").alias("place", "least"))
-    values = seen.groupBy("template", "place", "least").agg(F.lit(1).alias("one")).groupBy("template").agg(
-        (F.count("*") / CONTEXTS).alias("values"))
+    own = (placed.join(often.select("template"), "template").groupBy("text_hash", "template", "kind")
+           .agg(F.min("doc_id").alias("doc_id")).groupBy("text_hash")
+           .agg(F.min("doc_id").alias("doc_id"), F.collect_list(F.struct("kind", "template")).alias("own")))
+    seen = docs.join(own, "doc_id").select("text_hash", "text", "own").mapInArrow(_contexts, _SEEN).select(
+        "template", "text_hash", F.posexplode("contexts").alias("place", "least"))
+    # Each value counts for one of its texts; a text that all its values count for is a source of its own.
+    values = seen.groupBy("template", "place", "least").agg(F.min("text_hash").alias("text_hash")).groupBy(
+        "template", "text_hash").agg(F.count("*").alias("led")).groupBy("template").agg(
+        (F.sum("led") / CONTEXTS).alias("values"), F.count_if(F.col("led") == CONTEXTS).alias("sources"))
     recurring = often.join(values, "template").filter(
-        F.col("values") - 1 >= LEAST_APART * (F.col("texts") - 1)).select("template")
+        (F.col("values") - 1 >= LEAST_APART * (F.col("texts") - 1)) | (F.col("sources") >= LEAST_SOURCES)).select("template")
     return (placed.join(recurring, "template").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds")))
 
 

@@ -97,3 +97,18 @@ def test_index_finds_every_occurrence():
             for p, pattern in enumerate(patterns):
                 at = [i for i in range(n - k + 1) if (text[i:i + k] == pattern).all()]
                 assert found.get(p, []) == at
+
+
+@pytest.mark.parametrize("block_rows", [200_000, 1])
+def test_repeated_and_null_ids(spark, block_rows):
+    texts = ["é one two three here", "one two three", "rest of éé four five six", "nothing", None, "four five six one two three"]
+    rows = [(i, t) for i in (None, 1, 2) for t in texts] + [(None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "one two three"), (2, "four five six")], "item_id long, text string")
+    want = {texts[0]: "é here", texts[1]: "", texts[2]: "rest of éé", texts[5]: ""}
+    got = decontaminate(docs, bench, block_rows=block_rows).collect()
+    assert sorted(map(repr, got)) == sorted(repr(type(got[0])(doc_id=i, text=want.get(t, t))) for i, t in rows)
+    found = contamination(docs, bench, block_rows=block_rows).collect()
+    items = {0: ["1"], 1: ["1"], 2: ["2"], 5: ["1", "2"]}
+    assert sorted((str(r["doc_id"]), list(r["items"])) for r in found) == sorted(
+        (str(i), items.get(texts.index(t), [])) for i, t in rows)

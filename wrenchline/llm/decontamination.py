@@ -2,7 +2,8 @@
 
 A shard is a bounded run of whole documents within a task. Its alphabet is the words of the benchmark; any other word and
 any end of a text is a separator, and stretches between separators too short for any window are left out, as no
-window fits into them. Windows are broadcast in blocks of a bounded number of rows of fixed size.
+window fits into them. Windows are broadcast in blocks of a bounded number of rows of fixed size, one at a time; with several
+blocks the documents are numbered and written once, so that hits find their row whatever its id.
 
 Words are compared by 64-bit hashes of their bytes.
 """
@@ -236,14 +237,33 @@ def cut_out(texts: pa.Array, spans: list[list]) -> pa.Array:
     return pa.array(out, texts.type)
 
 
-def _blocks(benchmark: DataFrame, window: int, block_rows: int) -> list:
-    """Broadcast blocks of windows. Rows are dealt by hash, so a block has about ``block_rows`` at most."""
-    spark = benchmark.sparkSession
+def _dealt(benchmark: DataFrame, window: int, block_rows: int) -> tuple[DataFrame, int]:
+    """Windows, and the number of blocks for which they have about ``block_rows`` each at most."""
     rows = pinned(benchmark_windows(benchmark, window))
-    n_blocks = max(1, -(-rows.count() // block_rows))
-    return [spark.sparkContext.broadcast(Block.of(
-        rows.filter(F.pmod(F.xxhash64("item_id", "window"), F.lit(n_blocks)) == k).toPandas(), window))
-        for k in range(n_blocks)]
+    return rows, max(1, -(-rows.count() // block_rows))
+
+
+def _block(rows: DataFrame, k: int, n_blocks: int, window: int):
+    """Broadcast block ``k`` of the windows, which are dealt by hash."""
+    own = rows.filter(F.pmod(F.xxhash64("item_id", "window"), F.lit(n_blocks)) == k).toPandas()
+    return rows.sparkSession.sparkContext.broadcast(Block.of(own, window))
+
+
+def _hits_of_blocks(docs: DataFrame, key: str, rows: DataFrame, n_blocks: int, window: int, shard_words: int) -> DataFrame:
+    """``key``, ``n_words``, ``spans`` and ``items`` over several blocks, of which one is broadcast at a time.
+
+    ``key`` is a different number in every row of ``docs``, which must not change between evaluations.
+    """
+    docs, found = docs.select(key, "text"), None
+    for k in range(n_blocks):
+        block = _block(rows, k, n_blocks, window)
+        own = docs.mapInArrow(_hits(block, shard_words, [key], cut=False), f"`{key}` long, {_HITS}")
+        own = pinned(own if found is None else own.filter(F.size("spans") > 0))
+        block.unpersist(blocking=True)
+        found = own if found is None else found.unionByName(own)
+    return found.groupBy(key).agg(
+        F.max("n_words").alias("n_words"), F.udf(_merged, SPANS)(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
 def _merged(spans):
@@ -269,16 +289,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """
     docs = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = [docs.mapInArrow(_hits(block, shard_words, ["doc_id"], cut=False), f"doc_id {id_type}, {_HITS}")
-             for block in _blocks(benchmark, window, block_rows)]
-    if len(found) == 1:
-        return found[0]
-    both = found[0]
-    for more in found[1:]:
-        both = both.unionByName(more)
-    return both.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.udf(_merged, SPANS)(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    rows, n_blocks = _dealt(benchmark, window, block_rows)
+    if n_blocks == 1:
+        return docs.mapInArrow(_hits(_block(rows, 0, 1, window), shard_words, ["doc_id"], cut=False), f"doc_id {id_type}, {_HITS}")
+    keyed = pinned(docs.withColumn("row", F.monotonically_increasing_id()))
+    hits = _hits_of_blocks(keyed, "row", rows, n_blocks, window, shard_words)
+    return keyed.select("row", "doc_id").join(hits, "row").drop("row")
 
 
 def _cut(names: list[str], spans: str):
@@ -297,10 +313,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     A text that consists of hits only becomes empty. See ``contamination`` for the other cases.
     """
-    blocks = _blocks(benchmark, window, block_rows)
-    if len(blocks) == 1:
-        return docs.mapInArrow(_hits(blocks[0], shard_words, docs.columns, cut=True), docs.schema)
-    hits = contamination(docs, benchmark, window, shard_words, block_rows).filter(F.size("spans") > 0)
-    spans = fresh_name("spans", docs.columns)
-    joined = docs.join(hits.select("doc_id", F.col("spans").alias(spans)), "doc_id", "left")
+    rows, n_blocks = _dealt(benchmark, window, block_rows)
+    if n_blocks == 1:
+        return docs.mapInArrow(_hits(_block(rows, 0, 1, window), shard_words, docs.columns, cut=True), docs.schema)
+    row, spans = fresh_name("row", docs.columns), fresh_name("spans", docs.columns)
+    keyed = pinned(docs.withColumn(row, F.monotonically_increasing_id()))
+    hits = _hits_of_blocks(keyed, row, rows, n_blocks, window, shard_words).filter(F.size("spans") > 0)
+    joined = keyed.join(hits.select(row, F.col("spans").alias(spans)), row, "left")
     return joined.select(*docs.columns, spans).mapInArrow(_cut(docs.columns, spans), T.StructType(docs.schema.fields))

@@ -152,3 +152,12 @@ def test_passages_longer_than_the_rest_and_many_copies_of_one_source(spark):
     copied = prose(50)
     alike = [f"{copied}\n{prose(1)}" for _ in range(30)]
     assert dropped_of(spark, [*long, *few, *near, *alike]) == [1] * 74 + [0] * 30
+
+
+def test_short_lines_with_different_words_stay(spark):
+    random.seed(13)
+    four = [f"{prose(20)}\nthor the haan {prose(1)}." for _ in range(6)]
+    five = [f"{prose(20)}\nposted by the {prose(2)}" for _ in range(6)]
+    seven = [f"{prose(20)}\nsee all posts by {prose(1)} right here" for _ in range(6)]
+    same = [f"{prose(20)}\nback to the top" for _ in range(6)]
+    assert dropped_of(spark, [*four, *five, *seven, *same]) == [0] * 12 + [1] * 12

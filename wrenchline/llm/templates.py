@@ -3,7 +3,7 @@
 A line is parsed at fixed depth: its token count, then its first ``LEAD`` tokens, lead to a leaf. The other tokens make
 ``FIELDS`` fields in order (a token each in short lines, a run of tokens in long ones). Tokens with digits are variable
 from the start. Within a leaf, a field value that is found in too few documents is variable too; a line's template is its
-leaf with the constant fields, if most fields are constant, else the line itself. So a template is a matter of counts of
+leaf with the constant fields, if most of the fields that it has are constant, else the line itself. So a template is a matter of counts of
 field values, and no task ever holds a leaf.
 
 A template recurs if it is found in several different texts that are not copies of each other: copies are the business
@@ -33,7 +33,8 @@ LEAD = 3
 FIELDS = 8
 #: Shorter lines (in tokens) have no template and always stay.
 LEAST_TOKENS = 3
-#: A field value is constant from so many documents on, and a template needs so many constant fields.
+#: A field value is constant from so many documents on, and a template needs so many constant fields, or that share of
+#: them where lines have fewer than ``FIELDS``.
 LEAST_SUPPORT = 3
 LEAST_CONSTANT = 6
 #: A template recurs from so many different texts on ...
@@ -115,8 +116,11 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head[1:] = (lines.text[order[1:]] != lines.text[order[:-1]]) | (lines.kind[order[1:]] != lines.kind[order[:-1]])
             own = order[head]
             text = lines.text[own]
-            fields = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * FIELDS),
-                                              pa.array(lines.fields[own].reshape(-1)))
+            # A short line has the first fields only.
+            n_fields = np.minimum(lines.tokens[own] - LEAD, FIELDS)
+            fields = pa.ListArray.from_arrays(
+                pa.array(np.append(0, np.cumsum(n_fields)).astype(np.int32)),
+                pa.array(lines.fields[own][np.arange(FIELDS) < n_fields[:, None]]))
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(text + chunk.first)), pa.array(whole[text]), pa.array(lines.leaf[own].view(np.int64)),
                  pa.array(lines.kind[own].view(np.int64)), fields], ["doc_id", "text_hash", "leaf", "kind", "fields"])
@@ -200,13 +204,15 @@ def _templates(lines: DataFrame) -> DataFrame:
     kinds = lines.groupBy("leaf", "kind").agg(F.count("*").alias("n"), F.min("fields").alias("fields"))
     leaves = kinds.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("n").alias("docs"))
     open_kinds = kinds.join(leaves.filter((F.col("kinds") > 1) & (F.col("docs") >= LEAST_SUPPORT)).select("leaf"), "leaf")
-    values = pinned(open_kinds.select("leaf", "kind", "n", F.posexplode("fields").alias("place", "value")))
+    values = pinned(open_kinds.select("leaf", "kind", "n", F.size("fields").alias("n_fields"),
+                                      F.posexplode("fields").alias("place", "value")))
     key = ["leaf", "place", "value"]
     constant = values.groupBy(*key).agg(F.sum("n").alias("support")).filter(F.col("support") >= LEAST_SUPPORT)
     held = values.join(constant.select(*key), key)
     return (held.groupBy("leaf", "kind")
-            .agg(F.count("*").alias("fixed"), F.sum(F.xxhash64("place", "value") % (1 << 40)).alias("code"))
-            .filter(F.col("fixed") >= LEAST_CONSTANT)
+            .agg(F.count("*").alias("fixed"), F.first("n_fields").alias("n_fields"),
+                 F.sum(F.xxhash64("place", "value") % (1 << 40)).alias("code"))
+            .filter(F.col("fixed") * FIELDS >= F.col("n_fields") * LEAST_CONSTANT)
             .select("kind", F.xxhash64("leaf", "fixed", "code").alias("template")))
 
 

@@ -15,6 +15,7 @@ from wrenchline.llm.offsets import section_tokens
 from wrenchline.llm.packing import pack
 from wrenchline.llm.pivots import near_vectors
 from wrenchline.llm.quality import quality_scores, train_quality
+from wrenchline.llm.resampling import resample
 from wrenchline.llm.shared import fold
 from wrenchline.llm.templates import without_recurring_lines
 from wrenchline.llm.toxicity import predicted, toxicity_scores, train_toxicity
@@ -80,6 +81,11 @@ def op10_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_radix_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ftrl_toxicity": op1_ftrl_toxicity,
     "op2_fm_index": op2_fm_index,
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bbit_minhash": op8_bbit_minhash,
     "op9_offset_attribution": op9_offset_attribution,
     "op10_grouping_genetic": op10_grouping_genetic,
+    "op13_radix_resampling": op13_radix_resampling,
 }
 
 #: Words of a text in which A-Z are lower-cased.

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wrenchline.llm.collocations import collocations
 from wrenchline.llm.decontamination import contamination
 from wrenchline.llm.language import languages, train_languages
 from wrenchline.llm.minhash import near_duplicates
@@ -81,6 +82,10 @@ def op10_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_radix_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_features", "weight", "score", "rank", "n_words")
@@ -97,12 +102,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bbit_minhash": op8_bbit_minhash,
     "op9_offset_attribution": op9_offset_attribution,
     "op10_grouping_genetic": op10_grouping_genetic,
+    "op12_rabin_karp": op12_rabin_karp,
     "op13_radix_resampling": op13_radix_resampling,
 }
 
-#: Words of a text in which A-Z are lower-cased.
-_ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
-    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: Text in which A-Z are lower-cased, and its words.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE: dict[str, str] = {
     "op2_fm_index": f"""
@@ -124,4 +130,27 @@ ORACLE: dict[str, str] = {
                coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id""",
+    "op12_rabin_karp": rf"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                          unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS ph FROM (
+            SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w, range(1, 6) t(k) WHERE len(w) >= k)),
+        f AS (SELECT lang, k, ph, count(*) AS f FROM g GROUP BY lang, k, ph HAVING count(*) >= 100),
+        cut AS (SELECT lang, ph, f AS a, c, array_to_string(string_split(ph, ' ')[1:c], ' ') AS le,
+                       array_to_string(string_split(ph, ' ')[c + 1:], ' ') AS ri FROM f, range(1, 5) t(c) WHERE c < k),
+        scored AS (SELECT cut.lang, cut.ph, a, c, x.f AS l, y.f AS r, n,
+                          CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+                   FROM cut JOIN f x ON x.lang = cut.lang AND x.ph = le JOIN f y ON y.lang = cut.lang AND y.ph = ri
+                   JOIN total ON total.lang = cut.lang),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, c) = 1),
+        inner_part AS (SELECT lang, array_to_string(string_split(ph, ' ')[i:i + m - 1], ' ') AS ph, f
+                       FROM f, range(2, 5) t(m), range(1, 6) u(i) WHERE m < k AND i + m - 1 <= k),
+        cover AS (SELECT lang, ph, max(f) AS cover FROM inner_part GROUP BY lang, ph)
+        SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.ph) AS rank,
+               best.ph AS phrase, a, l, r, n, score
+        FROM best LEFT JOIN cover ON cover.lang = best.lang AND cover.ph = best.ph
+        WHERE cover IS NULL OR 100 * cover < 100 * a
+        QUALIFY row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.ph) <= 2000""",
 }

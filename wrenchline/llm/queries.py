@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wrenchline.llm.collocations import collocations
 from wrenchline.llm.decontamination import contamination
 from wrenchline.llm.language import languages, train_languages
+from wrenchline.llm.licences import licence_digest, scan_licences
 from wrenchline.llm.minhash import near_duplicates
 from wrenchline.llm.offsets import section_tokens
 from wrenchline.llm.packing import pack
@@ -82,6 +83,10 @@ def op10_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_rare_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_digest(scan_licences(table(spark, sf_dir, "documents")))
+
+
 def op12_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bbit_minhash": op8_bbit_minhash,
     "op9_offset_attribution": op9_offset_attribution,
     "op10_grouping_genetic": op10_grouping_genetic,
+    "op11_rare_token_index": op11_rare_token_index,
     "op12_rabin_karp": op12_rabin_karp,
     "op13_radix_resampling": op13_radix_resampling,
 }

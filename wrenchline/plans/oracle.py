@@ -351,6 +351,18 @@ ORACLE: dict[str, str] = {
         WHERE event_type = 'signup'""",
     "stream_purge": _with("lines shelf partly", "SELECT * FROM partly WHERE quantity <> 0"),
 }
+# Tables and state of other kinds, the same rows.
+ORACLE |= {
+    "stream_receipts_in_state": ORACLE["stream_receipts"],
+    "stream_decisions_bucketed": ORACLE["stream_decisions"],
+    "stream_purge_bucketed": ORACLE["stream_purge"],
+    "stream_quote_compacted": ORACLE["stream_quote"],
+    "stream_default_decision_bounded": """
+        WITH accepted AS (SELECT o_orderkey AS order_id FROM orders WHERE o_orderstatus <> 'P')
+        SELECT order_id, 'Positivo' AS outcome FROM accepted UNION ALL
+        SELECT DISTINCT user_id * 3, 'Negativo' FROM events
+        WHERE event_type = 'signup' AND user_id * 3 NOT IN (SELECT order_id FROM accepted)""",
+}
 # The routines as SQL functions answer what the operators do.
 ORACLE |= {
     "sql_ricevuti": ORACLE["receipt_remaining"],

@@ -19,7 +19,7 @@ from wrenchline.schemas import ACCEPTED, CLERK, MECHANIC, REFUSED, Rule
 from wrenchline.session import scratch_path
 from wrenchline.sources import tables
 from wrenchline.sources.versions import read_version
-from wrenchline.streaming import streams
+from wrenchline.streaming import bucketed, receipt_state, streams
 
 TODAY = datetime.date(2024, 1, 31)
 BRAND = ("brand",)
@@ -497,6 +497,26 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return streams.event_source(spark, sf, RAW_SCHEMAS["events"], glob="events.parquet")
 
 
+def _purchases(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchase events as arrivals of the part numbered like their user."""
+    return _events(spark, sf).filter(F.col("event_type") == "purchase").select(
+        F.col("user_id").alias("part_code"), F.col("event_id").alias("seq"),
+        F.ceil("value").cast("bigint").alias("arrived"))
+
+
+def _approvals(spark: SparkSession, sf: str) -> DataFrame:
+    """Signup events accept and all others refuse the order numbered like their user."""
+    outcome = F.when(F.col("event_type") == "signup", ACCEPTED).otherwise(REFUSED)
+    return _events(spark, sf).select(
+        F.col("user_id").alias("order_id"), outcome.alias("outcome"), F.col("event_id").alias("seq"))
+
+
+def _line_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as order lines of one piece."""
+    return _events(spark, sf).select(
+        F.col("user_id").alias("order_id"), F.col("value").alias("price"), F.lit(1).alias("needed"))
+
+
 def _paths(spark: SparkSession, label: str) -> tuple[str, str]:
     base = scratch_path(spark, label)
     return f"{base}/out", f"{base}/checkpoint"
@@ -516,30 +536,22 @@ def stream_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_quote(spark: SparkSession, sf: str) -> DataFrame:
-    lines = _events(spark, sf).select(
-        F.col("user_id").alias("order_id"), F.col("value").alias("price"), F.lit(1).alias("needed"))
     out, checkpoint = _paths(spark, "quote")
-    streams.stream_quote(lines, out, checkpoint).awaitTermination()
+    streams.stream_quote(_line_events(spark, sf), out, checkpoint).awaitTermination()
     return streams.current_quotes(spark, out).select("order_id", _money("quote"))
 
 
 def stream_decisions(spark: SparkSession, sf: str) -> DataFrame:
     shop = Shop(spark, sf)
-    outcome = F.when(F.col("event_type") == "signup", ACCEPTED).otherwise(REFUSED)
-    events = _events(spark, sf).select(
-        F.col("user_id").alias("order_id"), outcome.alias("outcome"), F.col("event_id").alias("seq"))
     out, checkpoint = _paths(spark, "decisions")
-    streams.stream_decisions(events, shop.lines, shop.catalog, _on_order(shop), out, checkpoint).awaitTermination()
+    streams.stream_decisions(_approvals(spark, sf), shop.lines, shop.catalog, _on_order(shop), out, checkpoint).awaitTermination()
     return read_version(spark, out)
 
 
 def stream_receipts(spark: SparkSession, sf: str) -> DataFrame:
     shop = Shop(spark, sf)
-    events = _events(spark, sf).filter(F.col("event_type") == "purchase").select(
-        F.col("user_id").alias("part_code"), F.col("event_id").alias("seq"),
-        F.ceil("value").cast("bigint").alias("arrived"))
     out, checkpoint = _paths(spark, "receipts")
-    streams.stream_receipts(events, shop.lines, shop.pending, out, checkpoint).awaitTermination()
+    streams.stream_receipts(_purchases(spark, sf), shop.lines, shop.pending, out, checkpoint).awaitTermination()
     return spark.read.parquet(f"{out}/decisions").select(
         "part_code", "seq", "arrived", "outcome", "from_total", "to_total", "quantity")
 
@@ -566,6 +578,45 @@ def stream_purge(spark: SparkSession, sf: str) -> DataFrame:
     return read_version(spark, out)
 
 
+def stream_receipts_in_state(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``stream_receipts``, with the waiting lines in state that the engine keeps."""
+    shop = Shop(spark, sf)
+    decided = receipt_state.receipts_in_state(_purchases(spark, sf), shop.lines, shop.pending)
+    return _written(spark, decided, "receipts-in-state")
+
+
+def stream_decisions_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    shop = Shop(spark, sf)
+    out, checkpoint = _paths(spark, "decisions-bucketed")
+    bucketed.stream_decisions_bucketed(
+        _approvals(spark, sf), shop.lines, shop.catalog, _on_order(shop), out, checkpoint).awaitTermination()
+    return bucketed.stock_table(spark, f"{out}/stock").read()
+
+
+def stream_purge_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    out, checkpoint = _paths(spark, "purge-bucketed")
+    arriving = _events(spark, sf).filter(F.col("event_type") == "view")
+    bucketed.stream_purge_bucketed(arriving, _partly_finished(Shop(spark, sf)), out, checkpoint).awaitTermination()
+    return bucketed.stock_table(spark, out).read()
+
+
+def stream_quote_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    out, checkpoint = _paths(spark, "quote-compacted")
+    bucketed.stream_quote_compacted(_line_events(spark, sf), out, checkpoint).awaitTermination()
+    return bucketed.compacted_quotes(spark, out).select("order_id", _money("quote"))
+
+
+def stream_default_decision_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """All decisions, after refusals for the signups' orders that no accepted order had before."""
+    shop = Shop(spark, sf)
+    out, checkpoint = _paths(spark, "default-bounded")
+    opened = _events(spark, sf).filter(F.col("event_type") == "signup").select(
+        (F.col("user_id") * 3).alias("order_id"), F.col("ts").cast("timestamp").alias("ts"))
+    bucketed.stream_default_decision_bounded(
+        opened, shop.decisions.filter(F.col("outcome") == ACCEPTED), out, checkpoint, "ts", "1 hour").awaitTermination()
+    return bucketed.decisions_table(spark, out).read()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         load_tables, ingest_rows, apply_defaults, scan_table, replace_table, stage_temp, update_by_key,
@@ -580,7 +631,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mechanic_hours, min_mechanic_hours, supplier_revenue, parts_one_per_name, names_by_category,
         sql_ricevuti, sql_stato_ordine, sql_limite, sql_shop, sql_assegnazioni,
         stream_gate, stream_quote, stream_decisions, stream_receipts, stream_final_cost, stream_default_decision,
-        stream_purge)
+        stream_purge, stream_receipts_in_state, stream_decisions_bucketed, stream_purge_bucketed,
+        stream_quote_compacted, stream_default_decision_bounded)
 }
 QUERIES |= {
     "unused_parts_by_category": _usage(reports.unused_parts),

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _filesystem(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
@@ -18,12 +18,12 @@ def version_path(path: str, version: int) -> str:
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Completed versions, ascending. Spark writes ``_SUCCESS`` last, so it marks a whole version."""
-    fs, root = _filesystem(spark, path)
+    fs, root = filesystem(spark, path)
     if not fs.exists(root):
         return []
     names = [status.getPath().getName() for status in fs.listStatus(root) if status.isDirectory()]
     numbers = [int(name[2:]) for name in names if name.startswith("v=")]
-    done = [n for n in numbers if fs.exists(_filesystem(spark, f"{version_path(path, n)}/_SUCCESS")[1])]
+    done = [n for n in numbers if fs.exists(filesystem(spark, f"{version_path(path, n)}/_SUCCESS")[1])]
     return sorted(done)
 
 
@@ -60,7 +60,7 @@ def write_version(df: DataFrame, path: str, version: int, keep: int = 3) -> None
     df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true") \
         .parquet(version_path(path, version))
     for old in versions(spark, path)[:-keep]:
-        fs, folder = _filesystem(spark, version_path(path, old))
+        fs, folder = filesystem(spark, version_path(path, old))
         fs.delete(folder, True)
 
 
@@ -70,14 +70,14 @@ def claim(spark: SparkSession, path: str, checkpoint: str) -> None:
     The mark is the query's own id, which Spark keeps in the checkpoint, and is created exclusively. Call it before
     anything is written: versions and batch numbers alone do not tell a repeated micro-batch from a foreign one.
     """
-    fs, metadata = _filesystem(spark, f"{checkpoint}/metadata")
+    fs, metadata = filesystem(spark, f"{checkpoint}/metadata")
     with_text = spark._jvm.org.apache.commons.io.IOUtils
     stream = fs.open(metadata)
     try:
         query = json.loads(with_text.toString(stream, "UTF-8"))["id"]
     finally:
         stream.close()
-    fs, mark = _filesystem(spark, f"{path}/_owner")
+    fs, mark = filesystem(spark, f"{path}/_owner")
     if not fs.exists(mark):
         made = fs.create(mark, False)
         try:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.cases import SF, union_of
-from wrenchline.llm.pivots import near_vectors
+from wrenchline.llm.pivots import near_vectors, pivots_for
 from wrenchline.llm.queries import QUERIES
 
 
@@ -58,3 +58,30 @@ def test_group_of_near_copies_that_is_a_large_part(spark, share):
     rows = [(i, (base + random.normal(size=16) * 0.11 if i % share == 0 else random.normal(size=16)).tolist(), 1)
             for i in range(660)]
     check(near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")), rows)
+
+
+def test_repeated_rows_and_null_ids(spark):
+    """Rows are vectors of their own; brute force by row number, ids only name the components."""
+    random = np.random.default_rng(6)
+    near = random.normal(size=16)
+    rows = [(7, [1.0, 2.0], 1)] * 3 + [(7, [5.0, 1.0], 1), (8, [1.0, 2.0], 1), (None, [1.0, 2.0], 1), (9, None, 1),
+                                       (9, None, 1), (None, [0.0, 0.0], 1), (None, [3.0, -1.0], 2), (None, [3.0, -1.0], 2)]
+    for k in range(40):
+        v = (near + random.normal(size=16) * 0.08).tolist()
+        rows += [(100 + k // 2 if k % 7 else None, v, 3)] * (1 + k % 3)
+    sound = [k for k, (_, v, _) in enumerate(rows) if v and any(v)]
+    links = {(j, k) for k in sound for j in sound if j < k and rows[j][2] == rows[k][2] and len(rows[j][1]) == len(rows[k][1])
+             and np.dot(rows[j][1], rows[k][1]) / np.linalg.norm(rows[j][1]) / np.linalg.norm(rows[k][1]) >= 0.98}
+    comps = union_of(links, range(len(rows)))
+    want = []
+    for k, (i, _, _) in enumerate(rows):
+        least = min((rows[j][0] for j in range(len(rows)) if comps[j] == comps[k] and rows[j][0] is not None), default=None)
+        want.append((i, sum(k in link for link in links), least, i == least))
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_pivots_grow_with_the_table():
+    """Entries of a list, on average, stay within the same bound at any size up to that of the most pivots."""
+    assert pivots_for(0) == pivots_for(200_000) == 128 and pivots_for(1 << 40) == 2048
+    assert all(8 * n / pivots_for(n) <= 8 * 4096 for n in (200_000, 800_000, 2_000_000, 8_000_000))

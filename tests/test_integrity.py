@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from wrenchline.operators import gates, integrity
@@ -84,3 +86,39 @@ def test_gates(spark):
     assert [(r.order_id, r.part_code) for r in ok.collect()] == [(1, "1")]
     assert sorted((r.order_id, r.part_code, r.reason) for r in bad.collect()) == [
         (1, "3", "PEZZO INCOMPATIBILE"), (2, "1", "PEZZO INCOMPATIBILE"), (5, "1", "PEZZO INCOMPATIBILE")]
+
+
+def _pairs(spark, rows, schema="old int, new int"):
+    return spark.createDataFrame(rows, schema)
+
+
+def test_renames_at_once_swap_and_shift(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "k int, v string")
+    for rows, want in (([(1, 2), (2, 1)], {"a": 2, "b": 1, "c": 3, "d": None}),
+                       ([(1, 2), (2, 3), (3, 9), (77, 1)], {"a": 2, "b": 3, "c": 9, "d": None})):
+        got = integrity.cascade_tables({"t": table}, "t", "k", _pairs(spark, rows), [])["t"]
+        assert {r.v: r.k for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("rows, message", [
+    ([(1, 7), (1, 8)], "renamed twice: 1"), ([(1, 9), (2, 9)], "two keys become 9"), ([(1, 3)], "two keys become 3")])
+def test_renames_that_clash_are_refused(spark, rows, message):
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (3, "second version")], "k int, v string")
+    with pytest.raises(Exception, match=message):
+        integrity.cascade_tables({"t": table}, "t", "k", _pairs(spark, rows), [])["t"].collect()
+
+
+def test_renames_in_turn_against_one_after_the_other(spark):
+    rng = random.Random(12)
+    for _ in range(4):
+        steps = [(s, rng.randrange(12), rng.randrange(12)) for s in rng.sample(range(500), 40)]
+        want = {}
+        for key in range(12):
+            name = key
+            for _, old, new in sorted(steps):
+                name = new if name == old else name
+            want[key] = name
+        got = integrity.renames_in_turn(_pairs(spark, steps, "seq int, old int, new int"))
+        mapping = {r.old: r.new for r in got.collect()}
+        assert {key: mapping.get(key, key) for key in range(12)} == want
+    assert integrity.renames_in_turn(_pairs(spark, [], "seq int, old int, new int")).count() == 0

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -73,3 +74,19 @@ def test_branches_are_separate(hot_spark):
            staff.assign_mechanics(new, people, old, partition_by="branch").collect()}
     assert got[10] == 2 and {got[n] for n in range(11, 40)} == {1}
     assert got[40] == got[41] == 5 and got[42] is None
+
+
+def _scans(df, column):
+    """Different scans of the files that have the column, in the plan as executed (subqueries are printed repeatedly)."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return len({found for line in plan.splitlines() if "FileScan" in line for found in re.findall(rf"{column}#\d+", line)})
+
+
+def test_orders_are_scanned_few_times(spark):
+    from wrenchline.plans.queries import QUERIES
+    folder = "/root/testdata/sf0.001"
+    assert _scans(QUERIES["free_mechanics"](spark, folder), "o_custkey") <= 2
+    assert _scans(QUERIES["pick_mechanic"](spark, folder), "o_custkey") == 1
+    assert _scans(QUERIES["assign_mechanics"](spark, folder), "o_custkey") == 2
+    assert _scans(QUERIES["order_status"](spark, folder), "l_orderkey") == 1

@@ -6,12 +6,13 @@ from collections.abc import Mapping, Sequence
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wrenchline.operators.skew import lookup_join
 from wrenchline.schemas import Rule
+from wrenchline.session import pinned
 
 # Bits of the integer types without the sign.
 INTEGER_BITS = {"smallint": 15, "int": 31}
@@ -36,23 +37,77 @@ def audit_fk(child: DataFrame, parent: DataFrame, on: Mapping[str, str]) -> Data
     return lookup_join(child.dropna(subset=keys), known, keys, "left_anti")
 
 
+def renames_in_turn(renames: DataFrame, seq: str = "seq") -> DataFrame:
+    """(old, new) that do at once what the renames (old, new and ``seq``, unique) do one after the other.
+
+    A key takes its first rename; what this makes of it takes the next later rename of that name, and so on.
+    Numbers only grow along such a chain, so there are no cycles; each round of the loop doubles the steps taken.
+    Names in between are in the result too and rename nothing where no key has them at first.
+    """
+    renames = pinned(renames.select(F.col(seq).alias("_seq"), "old", "new").filter(F.col("old") != F.col("new")))
+    # Per name: where a rename leads to it and where one starts from it; the next start after an arrival goes on.
+    events = renames.select(F.col("new").alias("_name"), "_seq", F.col("_seq").alias("_from"), F.lit(None).alias("_to")) \
+        .unionByName(renames.select(F.col("old").alias("_name"), "_seq", F.lit(None).alias("_from"), F.col("_seq").alias("_to")))
+    later = Window.partitionBy("_name").orderBy("_seq").rowsBetween(1, Window.unboundedFollowing)
+    following = events.withColumn("_next", F.first("_to", ignorenulls=True).over(later)).filter(
+        F.col("_from").isNotNull()).select(F.col("_from").alias("_seq"), "_next")
+    steps = pinned(renames.join(following, "_seq").select("_seq", "old", "new", "_next"))
+    while not steps.filter(F.col("_next").isNotNull()).isEmpty():
+        ahead = steps.select(F.col("_seq").alias("_next"), F.col("new").alias("_new"), F.col("_next").alias("_after"))
+        steps = pinned(steps.join(ahead, "_next", "left").select(
+            "_seq", "old", F.when(F.col("_next").isNull(), F.col("new")).otherwise(F.col("_new")).alias("new"),
+            F.col("_after").alias("_next")))
+    return steps.groupBy("old").agg(F.min_by("new", "_seq").alias("new"))
+
+
+def checked_renames(renames: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """The renames (old, new), which fail when they are used if an ``old`` comes twice.
+
+    With ``keys`` (the parent's, one column) only renames of these are kept, and they also fail if two keys become
+    the same or if one becomes a key that stays. A key may move to the name of one that moves away.
+    """
+    def fail(text: str, value: Column) -> Column:
+        return F.raise_error(F.concat(F.lit(text), value.cast("string")))
+
+    given = renames.select("old", "new").filter(F.col("old").isNotNull())
+    single = given.groupBy("old").agg(F.count("*").alias("_n"), F.max("new").alias("new"))
+    kind = renames.schema["new"].dataType
+    new = F.when(F.col("_n") > 1, fail("renamed twice: ", F.col("old")).cast(kind))
+    if keys is not None:
+        held = keys.toDF("old").distinct()
+        single = single.join(held, "old", "left_semi")
+        # Keys as they will be: those that stay and the new ones, each of which must come once.
+        staying = held.join(single.select("old"), "old", "left_anti").select(F.col("old").alias("new"))
+        after = single.select("new").unionByName(staying).groupBy("new").agg(F.count("*").alias("_m"))
+        single = single.join(after, "new", "left")
+        new = new.when(F.col("_m") > 1, fail("two keys become ", F.col("new")).cast(kind))
+    return single.select("old", new.otherwise(F.col("new")).alias("new"))
+
+
 def cascade_rename(children: Mapping[str, tuple[DataFrame, str]], renames: DataFrame) -> dict[str, DataFrame]:
     """Rewrite changed parent keys in every child table.
 
-    ``children`` maps a table name to (table, key column); ``renames`` has unique ``old`` and their ``new``.
+    ``children`` maps a table name to (table, key column); ``renames`` has unique ``old`` and their ``new``, applied
+    at once, so that a -> b and b -> a swap (see ``renames_in_turn`` for the other reading). Repeated ones are
+    refused with an error.
     """
+    renames = checked_renames(renames)
     return {name: _renamed(table, column, renames) for name, (table, column) in children.items()}
 
 
 def _renamed(table: DataFrame, column: str, renames: DataFrame) -> DataFrame:
-    mapping = renames.select(F.col("old").alias(column), F.col("new").alias("_new"))
+    mapping = renames.select(F.col("old").alias(column), F.col("new").alias("_new"), F.lit(True).alias("_hit"))
     joined = lookup_join(table, mapping, [column], "left")
-    return joined.withColumn(column, F.coalesce("_new", column)).select(*table.columns)
+    return joined.withColumn(column, F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(column))).select(*table.columns)
 
 
 def cascade_tables(tables: Mapping[str, DataFrame], parent: str, column: str, renames: DataFrame,
                    foreign_keys: Sequence[Rule]) -> dict[str, DataFrame]:
-    """Rename keys of ``parent.column`` and follow every cascading foreign key below it."""
+    """Rename keys of ``parent.column`` and follow every cascading foreign key below it.
+
+    A new name that a key which stays has already is refused with an error, as are repeated ones.
+    """
+    renames = checked_renames(renames, tables[parent].select(column))
     result = dict(tables)
     todo = [(parent, column)]
     while todo:

@@ -93,18 +93,37 @@ def order_status(orders: DataFrame, lines: DataFrame, decisions: DataFrame) -> D
 
     Sums are compared per order. An unknown comparison counts as not met, as in the ``when`` chain.
     """
-    sums = lines.groupBy("order_id").agg(
-        F.count("*").alias("_lines"), F.sum("needed").alias("_needed"), F.sum("available").alias("_available"))
-    status = (
+    sums = lines.groupBy("order_id").agg(*_line_counts())
+    return (orders.select("order_id", "final_cost")
+            .join(sums, "order_id", "left")
+            .join(decisions.select("order_id", "outcome"), "order_id", "left")
+            .select("order_id", _status(F.col("final_cost")).alias("status")))
+
+
+def _line_counts() -> list[Column]:
+    return [F.count("*").alias("_lines"), F.sum("needed").alias("_needed"), F.sum("available").alias("_available")]
+
+
+def _status(final_cost: Column) -> Column:
+    return (
         F.when(F.coalesce(F.col("_lines"), F.lit(0)) == 0, STATUS_INTAKE)
         .when(F.col("outcome") == REFUSED, STATUS_REFUSED)
         .when(F.col("_needed") != F.col("_available"), STATUS_WAITING)
-        .when(F.col("final_cost") == 0, STATUS_WORKING)
+        .when(final_cost == 0, STATUS_WORKING)
         .otherwise(STATUS_DONE))
-    return (orders.select("order_id", "final_cost")
-            .join(sums, "order_id", "left")
+
+
+def priced_order_status(orders: DataFrame, lines: DataFrame, decisions: DataFrame, rate: int = HOURLY_RATE,
+                        markup: str = PARTS_MARKUP) -> DataFrame:
+    """``order_status`` of orders that are priced on the way (order_id, labor): quote, cost and the sums that the
+    status compares come from one grouping of the lines."""
+    sums = lines.groupBy("order_id").agg(F.sum(line_amount()).alias("_quote"), *_line_counts())
+    quote = F.coalesce("_quote", F.lit(0)).cast("decimal(28,2)")
+    cost = F.when(F.col("labor") != 0, cost_value(quote="_quote", rate=rate, markup=markup)).otherwise(F.lit(0))
+    return (orders.select("order_id", "labor")
+            .join(sums, "order_id", "left").withColumn("_quote", quote)
             .join(decisions.select("order_id", "outcome"), "order_id", "left")
-            .select("order_id", status.alias("status")))
+            .select("order_id", _status(cost).alias("status")))
 
 
 def balance(orders: DataFrame, rate: int = HOURLY_RATE) -> DataFrame:

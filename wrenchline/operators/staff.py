@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrenchline.operators.skew import Ordinary, by_route, not_in
+from wrenchline.operators.skew import Ordinary, by_route
 from wrenchline.schemas import MECHANIC
 
 
-def open_mechanics(orders: DataFrame) -> DataFrame:
-    """Mechanics (or NULL) of orders without labor, once each."""
-    return orders.filter(F.col("labor") == 0).select("mechanic").distinct()
-
-
 def free_mechanics(staff: DataFrame, orders: DataFrame, null_safe: bool = False,
                    role: str = MECHANIC) -> DataFrame:
     """Mechanics without an open order. An open order without mechanic empties the list (as NOT IN does),
-    unless ``null_safe``."""
+    unless ``null_safe``. Orders are read twice: for two counts, and for the open orders' mechanics."""
     mechanics = staff.filter(F.col("role") == role)
-    busy = open_mechanics(orders)
+    opened = orders.filter(F.col("labor") == 0).select("mechanic")
+    busy = opened.dropna().distinct()
     if null_safe:
-        busy = busy.dropna()
-    return not_in(mechanics, "staff_id", busy, "mechanic")
+        unnamed, named = F.lit(0), busy.agg(F.count("*").alias("n"))
+    else:
+        counts = opened.agg(F.count_if(F.col("mechanic").isNull()).alias("unnamed"), F.count("*").alias("n"))
+        unnamed, named = counts.select("unnamed").scalar(), counts.select("n")
+    # NULL NOT IN (...) is true of an empty list only.
+    kept = mechanics.filter(unnamed == 0).filter(F.col("staff_id").isNotNull() | (named.scalar() == 0))
+    return kept.join(busy.withColumnRenamed("mechanic", "staff_id"), "staff_id", "left_anti")
 
 
 def hours_by_mechanic(orders: DataFrame) -> DataFrame:
@@ -36,11 +37,39 @@ def least_loaded(orders: DataFrame) -> DataFrame:
     return hours.filter(F.col("hours") == least.scalar())
 
 
+def crews(staff: DataFrame, orders: DataFrame, branch: str) -> DataFrame:
+    """One row per branch: ``_free``, the ids of its free mechanics in order, and ``_fallback``, who takes further orders.
+
+    One aggregate of the orders by branch and mechanic tells who is busy, who has worked how long, and whether an open
+    order has no mechanic, which leaves nobody free. The fallback is only asked for once every free mechanic has got an
+    order, so these count with at least zero hours. A branch has far fewer mechanics than orders.
+    """
+    loads = orders.groupBy(branch, F.col("mechanic").alias("_id")).agg(
+        F.max(F.coalesce(F.col("labor") == 0, F.lit(False))).alias("_open"), F.sum(F.col("labor").cast("bigint")).alias("_hours"))
+    mechanics = staff.filter((F.col("role") == MECHANIC) & F.col("staff_id").isNotNull() & F.col(branch).isNotNull()) \
+        .select(branch, F.col("staff_id").alias("_id"), F.lit(True).alias("_member"))
+    everyone = loads.join(mechanics, [branch, "_id"], "full")
+    idle = F.col("_member") & ~F.coalesce("_open", F.lit(False))
+    crew = everyone.groupBy(branch).agg(
+        F.max(F.col("_open") & F.col("_id").isNull()).alias("_blocked"),
+        F.sort_array(F.collect_set(F.when(idle, F.col("_id")))).alias("_idle"),
+        F.min(F.when(F.col("_hours").isNotNull(), _load("_hours"))).alias("_worked"),
+        F.min(F.when(idle, _load(F.coalesce("_hours", F.lit(0).cast("bigint"))))).alias("_rested"))
+    blocked = F.coalesce("_blocked", F.lit(False))
+    best = F.when(blocked, F.col("_worked")).otherwise(F.least("_worked", "_rested"))
+    return crew.select(branch, F.when(~blocked, F.col("_idle")).alias("_free"), best["_id"].alias("_fallback"))
+
+
+def _load(hours):
+    """Fewest hours first, then a known before an unknown mechanic, then the smallest id."""
+    hours = F.col(hours) if isinstance(hours, str) else hours
+    return F.struct(hours.alias("_hours"), F.col("_id").isNull().alias("_unknown"), F.col("_id").alias("_id"))
+
+
 def pick_mechanic(staff: DataFrame, orders: DataFrame) -> DataFrame:
     """One row (mechanic): the free mechanic with the smallest id, else the least loaded one."""
-    free = free_mechanics(staff, orders).select(F.col("staff_id").alias("mechanic"), F.lit(0).alias("turn"))
-    loaded = least_loaded(orders).select("mechanic", F.lit(1).alias("turn"))
-    return free.unionByName(loaded).orderBy("turn", F.col("mechanic").asc_nulls_last()).limit(1).select("mechanic")
+    lone = [df.withColumn("_branch", F.lit(0)) for df in (staff, orders)]
+    return crews(*lone, "_branch").select(F.coalesce(F.get("_free", F.lit(0)), "_fallback").alias("mechanic"))
 
 
 def assign_mechanics(new_orders: DataFrame, staff: DataFrame, orders: DataFrame,
@@ -56,34 +85,12 @@ def assign_mechanics(new_orders: DataFrame, staff: DataFrame, orders: DataFrame,
         lone = [df.withColumn("_branch", F.lit(0)) for df in (new_orders, staff, orders)]
         return assign_mechanics(*lone, partition_by="_branch").drop("_branch")
     branch = partition_by
-    mechanics = staff.filter(F.col("role") == MECHANIC).select(branch, "staff_id").dropna()
-    opened = orders.filter(F.col("labor") == 0).select(branch, "mechanic").distinct()
-    blocked = opened.filter(F.col("mechanic").isNull()).select(branch).distinct()
-    busy = opened.dropna().withColumnRenamed("mechanic", "staff_id")
-    free = mechanics.join(busy, [branch, "staff_id"], "left_anti").join(blocked, branch, "left_anti")
-    # A branch has far fewer mechanics than orders, so their numbering is a plain window.
-    free = Ordinary([branch]).running_totals(free, [F.col("staff_id")], {"_nr": F.lit(1)})
-    counts = free.groupBy(branch).agg(F.count("*").alias("_free"))
-
-    taken = new_orders.groupBy(branch).agg(F.count("*").alias("_new"))
-    # Fallback per branch: hours so far, plus zero hours for the free mechanics that get an order here.
-    starting = free.join(taken, branch).filter(F.col("_nr") <= F.col("_new")) \
-        .select(branch, F.col("staff_id").alias("mechanic"), F.lit(0).cast("bigint").alias("labor"))
-    worked = orders.select(branch, "mechanic", F.col("labor").cast("bigint").alias("labor")).unionByName(starting)
-    hours = worked.groupBy(branch, "mechanic").agg(F.sum("labor").alias("hours"))
-    rank = F.struct(F.col("hours"), F.col("mechanic").isNull(), F.col("mechanic"))
-    fallback = hours.filter(F.col("hours").isNotNull()).groupBy(branch).agg(
-        F.min(rank)["mechanic"].alias("_fallback"))
-    per_branch = taken.select(branch).join(counts, branch, "left").join(fallback, branch, "left")
-
-    def number(rows: DataFrame, route: Ordinary) -> DataFrame:
-        return route.join(route.running_totals(rows, [F.col("order_id")], {"_nr": F.lit(1)}), per_branch, "left")
-
-    placed = by_route(new_orders, [branch], number)
-    takes_free = F.col("_nr") <= F.coalesce(F.col("_free"), F.lit(0))
-    own = free.select(branch, "_nr", F.col("staff_id").alias("_own"))
-    # (branch, rank) is unique on both sides; orders beyond the free mechanics skip the shuffle.
-    served = placed.filter(takes_free).join(own, [branch, "_nr"]).withColumn("mechanic", F.col("_own"))
-    rest = placed.filter(~takes_free).withColumn("mechanic", F.col("_fallback"))
+    per_branch = crews(staff, orders, branch)
+
+    def place(rows: DataFrame, route: Ordinary) -> DataFrame:
+        numbered = route.running_totals(rows.drop("mechanic"), [F.col("order_id")], {"_nr": F.lit(1)})
+        mechanic = F.coalesce(F.get("_free", F.col("_nr").cast("int") - 1), "_fallback")
+        return route.join(numbered, per_branch, "left").withColumn("mechanic", mechanic)
+
     columns = [*[c for c in new_orders.columns if c != "mechanic"], "mechanic"]
-    return served.select(*columns).unionByName(rest.select(*columns))
+    return by_route(new_orders, [branch], place).select(*columns)

@@ -363,6 +363,22 @@ ORACLE |= {
         SELECT DISTINCT user_id * 3, 'Negativo' FROM events
         WHERE event_type = 'signup' AND user_id * 3 NOT IN (SELECT order_id FROM accepted)""",
 }
+_TARGET = """CASE seq WHEN 1 THEN part_code + 1000000 WHEN 2 THEN part_code + 2000000
+            WHEN 3 THEN CASE WHEN part_code % 2 = 0 THEN part_code ELSE part_code + 3000000 END END"""
+ORACLE["cascade_rename_in_turn"] = _with("catalog lines decisions waiting pending", f"""
+        SELECT part_code, count(*) AS n, table_name FROM (
+            SELECT coalesce(name, part_code) AS part_code, table_name FROM (
+                SELECT part_code, 'catalog' AS table_name FROM catalog UNION ALL
+                SELECT part_code, 'lines' FROM lines UNION ALL SELECT part_code, 'pending' FROM pending)
+            LEFT JOIN last ON part_code = first) GROUP BY part_code, table_name""",
+    f"""renames AS (
+            SELECT 10 * seq + part_code % 7 AS seq, CASE seq WHEN 1 THEN part_code WHEN 2 THEN part_code + 1000000
+                ELSE part_code + 2000000 END AS old, {_TARGET} AS new
+            FROM catalog, range(1, 4) t(seq) WHERE brand IN ('Brand#1', 'Brand#2')),
+        steps AS (
+            SELECT old AS first, new AS name, seq FROM renames WHERE seq < 20 UNION ALL
+            SELECT s.first, r.new, r.seq FROM steps s JOIN renames r ON r.old = s.name AND r.seq > s.seq),
+        last AS (SELECT first, arg_max(name, seq) AS name FROM steps GROUP BY first)""", recursive=True)
 # The routines as SQL functions answer what the operators do.
 ORACLE |= {
     "sql_ricevuti": ORACLE["receipt_remaining"],
@@ -371,9 +387,5 @@ ORACLE |= {
     "sql_shop": f"""SELECT (SELECT balance FROM ({ORACLE["balance"]})) AS balance,
         (SELECT max(o_orderkey) + 1 FROM orders) AS next_order,
         (SELECT mechanic FROM ({ORACLE["pick_mechanic"]})) AS mechanic""",
-    "sql_assegnazioni": _with("lines newest recent sizes", """
-        SELECT n.order_id, n.available AS quantity, n.nr AS rank FROM newest n JOIN (
-            SELECT part_code, max(k) AS k FROM sizes WHERE k > 0
-            AND part_code = (SELECT min(part_code) FROM sizes WHERE k > 0) GROUP BY part_code) s
-        ON n.part_code = s.part_code AND n.nr <= s.k"""),
+    "sql_assegnazioni": ORACLE["recent_assignments"],
 }

@@ -170,6 +170,24 @@ def cascade_rename(spark: SparkSession, sf: str) -> DataFrame:
     shop = Shop(spark, sf)
     renames = shop.catalog.filter(F.col("brand").isin("Brand#1", "Brand#2")).select(
         F.col("part_code").alias("old"), (F.col("part_code") + 1_000_000).alias("new"))
+    return _renamed_keys(shop, renames)
+
+
+def cascade_rename_in_turn(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of two brands are renamed three times, one after the other; even ones get their first name back."""
+    shop = Shop(spark, sf)
+    code, turn = F.col("part_code"), F.explode(F.sequence(F.lit(1), F.lit(3)))
+    back = F.when(code % 2 == 0, code).otherwise(code + 3_000_000)
+    renames = shop.catalog.filter(F.col("brand").isin("Brand#1", "Brand#2")).select("part_code", turn.alias("turn")).select(
+        (F.col("turn") * 10 + code % 7).alias("turn"),
+        F.when(F.col("turn") == 1, code).otherwise(code + (F.col("turn") - 1) * 1_000_000).alias("old"),
+        F.when(F.col("turn") == 3, back).otherwise(code + F.col("turn") * 1_000_000).alias("new"))
+    # Renames have a number each; those of different parts do not meet.
+    return _renamed_keys(shop, integrity.renames_in_turn(
+        renames.select((F.col("turn") * (1 << 40) + F.col("old")).alias("seq"), "old", "new")))
+
+
+def _renamed_keys(shop: Shop, renames: DataFrame) -> DataFrame:
     renamed = integrity.cascade_tables(
         {"catalog": shop.catalog, "lines": shop.lines, "pending": shop.pending}, "catalog", "part_code", renames,
         integrity_rules())
@@ -286,7 +304,7 @@ def decide(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_status(spark: SparkSession, sf: str) -> DataFrame:
     shop = Shop(spark, sf)
-    return orders.order_status(_priced(shop), shop.lines, shop.decisions)
+    return orders.priced_order_status(shop.orders, shop.lines, shop.decisions)
 
 
 def balance(spark: SparkSession, sf: str) -> DataFrame:
@@ -484,11 +502,10 @@ def sql_shop(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sql_assegnazioni(spark: SparkSession, sf: str) -> DataFrame:
-    """The call for the first part, by its largest arrival that some lines sum to."""
-    shop = _registered(spark, sf)
-    asked = stock.recent_prefix_size(shop.lines, _recent_arrivals(shop)).filter("k > 0")
-    call = asked.agg(F.min(F.struct("part_code", -F.col("arrived"))).alias("c")).select("c.*").first()
-    return spark.sql(f"SELECT order_id, quantity, rank FROM Assegnazioni({-(call[1] or 0)}, {call[0] or 0})")
+    """One call for every recent arrival."""
+    _recent_arrivals(_registered(spark, sf)).createOrReplaceTempView("arrivals")
+    return spark.sql("SELECT a.part_code, a.arrived, s.order_id, s.quantity, s.rank "
+                     "FROM arrivals a, LATERAL Assegnazioni(a.arrived, a.part_code) s")
 
 
 # --- streams: run over all events, then read what they wrote -------------------------------------------------
@@ -631,7 +648,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mechanic_hours, min_mechanic_hours, supplier_revenue, parts_one_per_name, names_by_category,
         sql_ricevuti, sql_stato_ordine, sql_limite, sql_shop, sql_assegnazioni,
         stream_gate, stream_quote, stream_decisions, stream_receipts, stream_final_cost, stream_default_decision,
-        stream_purge, stream_receipts_in_state, stream_decisions_bucketed, stream_purge_bucketed,
+        stream_purge, cascade_rename_in_turn, stream_receipts_in_state, stream_decisions_bucketed, stream_purge_bucketed,
         stream_quote_compacted, stream_default_decision_bounded)
 }
 QUERIES |= {

@@ -193,3 +193,55 @@ def test_url_query(spark):
         host, path, best = plain_rule(pages[r["page_id"]])
         assert (r["host"], r["path"], r["rule"]) == (host, path, best and best[1])
         assert not best or r["verdict"] == best[0]
+
+
+def plain_scores(rows):
+    """Score of each (url, html) by counting in plain Python."""
+    counts = {}
+    for _, html in rows:
+        text = re.sub(r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ", re.sub("[A-Z]", lambda m: m[0].lower(), html or ""))
+        for w in re.findall("[a-z]+", text):
+            if len(w) <= 24:
+                counts[w] = counts.get(w, 0) + 1
+    total = math.log(max(sum(counts.values()), 1))
+    words = {w: math.log(n) - total for w, n in counts.items()}
+    words |= {w: max(words.get(w, -math.inf), math.log(urls.UNWANTED_SHARE)) for w in urls.UNWANTED}
+    unknown = -math.log(max(len(counts), 1)) - 2
+    tokens, ruled = [], []
+    for url, _ in rows:
+        host, path, best = plain_rule(url)
+        own = []
+        for place, text in (("h:", host), ("p:", re.sub("[A-Z]", lambda m: m[0].lower(), path))):
+            for run in re.findall(r"[a-z]+|[0-9]+|[^\x00-\x7f]+", text):
+                own += [f"{place}0"] if run[0] in "0123456789" else [
+                    place + w for w in urls.segmented(run, words, unknown)]
+        tokens.append(own)
+        ruled.append(best and best[0])
+    table = {f"{p}{w}": [urls.UNWANTED_URLS, 0] for p in ("h:", "p:") for w in urls.UNWANTED}
+    for own, verdict in zip(tokens, ruled, strict=True):
+        for t in own if verdict else ():
+            table.setdefault(t, [0, 0])[verdict == "allow"] += 1
+    sums = [sum(c[k] for c in table.values()) + len(table) for k in (0, 1)]
+    prior = math.log((ruled.count("block") + 1) / (ruled.count("allow") + 1))
+    out = []
+    for own in tokens:
+        odds = prior + sum(math.log((table[t][0] + 1) / sums[0]) - math.log((table[t][1] + 1) / sums[1])
+                           for t in own if t in table)
+        out.append(1 / (1 + math.exp(-max(-35.0, min(35.0, odds)))))
+    return out
+
+
+def test_url_model_against_counting(spark):
+    random.seed(7)
+    hosts = ["forest.net", "riverforest.example.com", "tallriver.net", "casino.org", "lakeside.org", "a.b.com", "río.org"]
+    paths = ["/es/tall/2", "/fr/river", "/en/lake", "/fr/casinolake?x", "", "/es/lakeriver/9", "/Tall/Unwritten"]
+    rows = [(f"http://{random.choice(hosts)}{random.choice(paths)}", random.choice(
+        [None, "<p>tall river forest lake</p>", "river side <b>lake</b> the es fr"])) for _ in range(150)]
+    rows += [(u, None) for u in URLS] + [("http://shop.org/fr/lakeriver", None)] * 2
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in urls.judge_urls(pages.repartition(3)).collect()}
+    want = plain_scores(rows)
+    assert all(math.isclose(got[i]["score"], w, rel_tol=1e-9) for i, w in enumerate(want))
+    # What the rules block teaches more than the listed words.
+    learned = [r for r in got.values() if r["rule"] is None and r["verdict"] == "block"]
+    assert any(not any(w in r["host"] + r["path"].lower() for w in urls.UNWANTED) for r in learned)

@@ -1,26 +1,27 @@
 """URL filter: rules first; for the rest a multinomial naive Bayes model over the words of host and path.
 
-Names in hosts are often words written together. A unigram model, counted over the text of all pages, splits them by
-Viterbi. There are no labelled urls; the model learns from all pages by a short list of unwanted words: a url that has
-one is an example to block, any other one to allow. So it also learns what goes along with those words.
+Names in hosts are often words written together. A unigram model, counted over the text of all pages, splits each
+different letter run by Viterbi. The classifier learns from the urls that the rules decide; a short list of unwanted words
+counts as some more examples to block. Words, tokens and their counts stay in tables that are joined: nothing is cut
+off by its rank, and only a few totals pass the driver.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Mapping, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of the splitting model and tokens of the classifier: the most frequent ones, of at most ``LONGEST`` letters.
-LEXICON = 50_000
-TOKENS = 50_000
+from wrenchline.session import pinned
+
+#: Letters of the longest word of the splitting model.
 LONGEST = 24
+#: Parts of letter runs handed on at once.
+PARTS = 100_000
 
 #: (verdict, rule): the rule's host before its first slash, the path from there.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
@@ -30,8 +31,10 @@ RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 UNWANTED = """ads advert adverts banner popup track tracker tracking bet bets betting casino casinos jackpot poker roulette
 slots lottery pills pharmacy viagra cialis adult porn porno sex xxx escort nude spam scam phishing malware warez crack
 cracked keygen torrent""".split()
-#: Each of them counts in the splitting model like a word of this share of all words, at least.
+#: Each of them counts in the splitting model like a word of this share of all words, at least, and in the classifier
+#: like so many blocked urls that have it in the host, and as many in the path.
 UNWANTED_SHARE = 1e-5
+UNWANTED_URLS = 5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,19 +56,22 @@ def decided(urls: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     return urls.withColumn("rule", rule).withColumn("ruled", ruled)
 
 
-def lexicon(pages: DataFrame, size: int = LEXICON) -> dict[str, float]:
-    """Log probability of the ``size`` most frequent words in the text of all pages."""
+def lexicon(pages: DataFrame, unwanted: Sequence[str] = UNWANTED) -> tuple[DataFrame, int]:
+    """(word, weight) with the log probability of each word in the text of all pages, and the number of words."""
     text = F.regexp_replace(F.translate(F.coalesce(F.col("html"), F.lit("")), _UPPER, _LOWER),
                             r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
     words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"([a-z]+)"), 1)).alias("word"))
-    counts = words.filter(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).toPandas()
-    total = math.log(max(int(top["n"].sum()), 1))
-    out = {w: math.log(n) - total for w, n in zip(top["word"], top["n"], strict=True)}
-    return out | {w: max(out.get(w, -math.inf), math.log(UNWANTED_SHARE)) for w in UNWANTED}
+    counts = pinned(words.filter(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("words")).first()
+    weight = F.log("n") - math.log(max(total["n"] or 0, 1))
+    listed = F.col("word").isin(list(unwanted))
+    least = F.lit(math.log(UNWANTED_SHARE))
+    known = counts.select("word", F.when(listed, F.greatest(weight, least)).otherwise(weight).alias("weight"))
+    extra = pages.sparkSession.createDataFrame([(w,) for w in unwanted], "word string").join(counts, "word", "left_anti")
+    return known.unionByName(extra.select("word", least.alias("weight"))), total["words"]
 
 
-def segmented(name: str, words: dict[str, float], unknown: float) -> list[str]:
+def segmented(name: str, words: Mapping[str, float], unknown: float) -> list[str]:
     """The most probable split of a run of letters. A part of k letters that is no known word has the log probability
     ``unknown`` less k times log 10; of equally good splits the one with the longest last parts is taken."""
     best, back = [0.0], [0]
@@ -85,86 +91,81 @@ def segmented(name: str, words: dict[str, float], unknown: float) -> list[str]:
     return out[::-1]
 
 
-class Tokens:
-    """Tokens of a url: words of the host (with the place host or path), words of the path, and a sign for numbers."""
-
-    def __init__(self, words: dict[str, float]):
-        self.words, self.unknown = words, -math.log(max(len(words), 1)) - 2
-        self.known: dict[str, list[str]] = {}
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different parts of each letter run that may be words."""
+    runs, words = [], []
 
-    def _split(self, name: str) -> list[str]:
-        got = self.known.get(name)
-        if got is None:
-            if len(self.known) > 100_000:
-                self.known = {}
-            got = self.known[name] = segmented(name, self.words, self.unknown)
-        return got
+    def packed() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(runs, pa.int64()), pa.array(words, pa.string())], ["id", "word"])
+        runs.clear()
+        words.clear()
+        return made
 
-    def __call__(self, host: str, path: str) -> list[str]:
-        out = []
-        for place, text in (("h", host), ("p", path.lower())):
-            for run in re.findall(r"[a-z]+|[0-9]+|[^\x00-\x7f]+", text):
-                if run[0].isdigit():
-                    out.append(f"{place}:0")
-                else:
-                    out.extend(f"{place}:{word}" for word in self._split(run))
-        return out
+    for batch in batches:
+        for number, run in zip(batch.column("id").to_pylist(), batch.column("run").to_pylist(), strict=True):
+            for size in range(1, min(LONGEST, len(run)) + 1):
+                found = {run[i:i + size] for i in range(len(run) - size + 1)}
+                runs.extend([number] * len(found))
+                words.extend(found)
+                if len(runs) >= PARTS:
+                    yield packed()
+    yield packed()
 
 
-def _token_counts(broadcast, unwanted: frozenset[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(broadcast.value)
-        for batch in batches:
-            counts: dict[tuple[bool, str], int] = {}
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                found = tokens(host, path)
-                block = any(t[2:] in unwanted for t in found)
-                for token in ("", *found):
-                    counts[block, token] = counts.get((block, token), 0) + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in counts], pa.bool_()), pa.array([k[1] for k in counts], pa.string()),
-                 pa.array(list(counts.values()), pa.int64())], ["block", "token", "n"])
-
-    return run
-
-
-@dataclass
-class Model:
-    """The splitting words, the log odds of block for each token, and those of the shares of the verdicts."""
-
-    words: dict[str, float]
-    odds: dict[str, float]
-    prior: float
-
-
-def train_urls(urls: DataFrame, words: dict[str, float], unwanted: Sequence[str] = UNWANTED, size: int = TOKENS) -> Model:
-    """Multinomial naive Bayes (one added to each count) from all ``urls`` (``host``, ``path``)."""
-    broadcast = urls.sparkSession.sparkContext.broadcast(words)
-    n = [F.coalesce(F.sum(F.when(F.col("block") == v, F.col("n"))), F.lit(0)).alias(name)
-         for name, v in (("block", True), ("allow", False))]
-    counts = (urls.select("host", "path").mapInArrow(_token_counts(broadcast, frozenset(unwanted)),
-                                                     "block boolean, token string, n long").groupBy("token").agg(*n))
-    shares = counts.filter("token = ''").toPandas()
-    top = counts.filter("token <> ''").orderBy(F.desc(F.col("allow") + F.col("block")), "token").limit(size).toPandas()
-    prior = math.log((shares["block"].sum() + 1) / (shares["allow"].sum() + 1))
-    odds = np.log((top["block"] + 1) / (top["block"].sum() + len(top))) - np.log(
-        (top["allow"] + 1) / (top["allow"].sum() + len(top)))
-    return Model(words, dict(zip(top["token"], odds, strict=True)), prior)
-
-
-def _scored(broadcast, passed: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = broadcast.value
-        tokens = Tokens(model.words)
+def _splits(unknown: float):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = []
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                odds = model.prior + sum(model.odds.get(t, 0.0) for t in tokens(host, path))
-                score.append(1 / (1 + math.exp(-max(-35.0, min(35.0, odds)))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), pa.array(score, pa.float64())],
-                                             [*passed, "score"])
+            out = [segmented(run, {w["word"]: w["weight"] for w in known or ()}, unknown) for run, known in zip(
+                batch.column("run").to_pylist(), batch.column("known").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.string()))], ["id", "words"])
+
+    return split
+
+
+def split_runs(runs: DataFrame, words: DataFrame, n_words: int) -> DataFrame:
+    """(id, words): the split of each letter run (id, run; different ones) by the lexicon ``words``.
 
-    return run
+    Each run is sent its own parts that are words, so no task holds the lexicon.
+    """
+    known = runs.mapInArrow(_parts, "id long, word string").join(words, "word").groupBy("id").agg(
+        F.collect_list(F.struct("word", "weight")).alias("known"))
+    unknown = -math.log(max(n_words, 1)) - 2
+    return runs.join(known, "id", "left").mapInArrow(_splits(unknown), "id long, words array<string>")
+
+
+def url_tokens(urls: DataFrame, words: DataFrame, n_words: int) -> DataFrame:
+    """(row, ruled, token) for every token of ``urls`` (``row``, ``host``, ``path``, ``ruled``).
+
+    Tokens are the words of the letter runs of host and path with the place, ``h:`` or ``p:``, and ``0`` for a number.
+    """
+    pattern = F.lit(r"([a-z]+|[0-9]+|[^\x00-\x7f]+)")
+
+    def runs(place: str, text: Column) -> Column:
+        return F.transform(F.regexp_extract_all(text, pattern, 1),
+                           lambda run: F.struct(F.lit(place).alias("place"), run.alias("run")))
+
+    both = F.concat(runs("h:", F.col("host")), runs("p:", F.translate("path", _UPPER, _LOWER)))
+    found = urls.select("row", "ruled", F.explode(both).alias("r")).select("row", "ruled", "r.*")
+    number = F.col("run").rlike("^[0-9]")
+    letters = found.filter(~number).withColumn("id", F.xxhash64("run"))
+    splits = split_runs(pinned(letters.groupBy("id").agg(F.min("run").alias("run"))), words, n_words)
+    worded = letters.drop("run").join(splits, "id").select("row", "ruled", "place", F.explode("words").alias("word"))
+    return worded.unionByName(found.filter(number).select("row", "ruled", "place", F.lit("0").alias("word"))).select(
+        "row", "ruled", F.concat("place", "word").alias("token"))
+
+
+def token_odds(tokens: DataFrame, unwanted: Sequence[str] = UNWANTED) -> DataFrame:
+    """(token, odds): log odds of block, by multinomial naive Bayes with one added to each count, from all tokens of
+    urls that a rule decided and the unwanted words."""
+    listed = [(f"{place}{word}",) for place in ("h:", "p:") for word in unwanted]
+    extra = tokens.sparkSession.createDataFrame(listed, "token string").select(
+        "token", F.lit(UNWANTED_URLS).cast("long").alias("block"), F.lit(0).cast("long").alias("allow"))
+    counts = tokens.filter(F.col("ruled").isNotNull()).groupBy("token").agg(
+        F.count_if(F.col("ruled") == "block").alias("block"), F.count_if(F.col("ruled") == "allow").alias("allow"))
+    counts = pinned(counts.unionByName(extra).groupBy("token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")))
+    total = counts.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count("*").alias("n")).first()
+    share = [F.log((F.col(side) + 1) / F.lit(float((total[side] or 0) + total["n"]))) for side in ("block", "allow")]
+    return counts.select("token", (share[0] - share[1]).alias("odds"))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
@@ -172,15 +173,19 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> Da
     block, also where a rule decides).
 
     The verdict is the rule's, else block for a score above one half. A null url, or one without ``://``, has an empty
-    host and path, fits no rule and has the score of the verdicts' shares. Rows are judged one by one, so repeated rows
-    stay; an empty table gives no rows; other columns are ignored; a null ``html`` has no words.
+    host and path, fits no rule and has the score of the verdicts' shares, as has a url of unseen words. Rows are judged
+    one by one, so repeated rows stay; an empty table gives no rows; other columns are ignored; a null ``html`` has no
+    words.
     """
     host, path = host_and_path(F.col("url"))
-    urls = decided(pages.select("page_id", host.alias("host"), path.alias("path")), rules)
-    model = train_urls(urls, lexicon(pages))
-    broadcast = pages.sparkSession.sparkContext.broadcast(model)
-    passed = ["page_id", "host", "path", "rule", "ruled"]
-    types = ", ".join(f"{n} {urls.schema[n].dataType.simpleString()}" for n in passed)
-    scored = urls.select(*passed).mapInArrow(_scored(broadcast, passed), f"{types}, score double")
+    urls = pinned(decided(pages.select("page_id", host.alias("host"), path.alias("path")), rules)
+                  .withColumn("row", F.monotonically_increasing_id()))
+    words, n_words = lexicon(pages)
+    tokens = pinned(url_tokens(urls, words, n_words))
+    shares = urls.agg(*[F.count_if(F.col("ruled") == v).alias(v) for v in ("block", "allow")]).first()
+    prior = math.log((shares["block"] + 1) / (shares["allow"] + 1))
+    sums = tokens.join(token_odds(tokens), "token").groupBy("row").agg(F.sum("odds").alias("odds"))
+    odds = F.greatest(F.lit(-35.0), F.least(F.lit(35.0), F.lit(prior) + F.coalesce("odds", F.lit(0.0))))
+    scored = urls.join(sums, "row", "left").withColumn("score", 1 / (1 + F.exp(-odds)))
     verdict = F.coalesce("ruled", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

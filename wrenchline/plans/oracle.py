@@ -379,6 +379,21 @@ ORACLE["cascade_rename_in_turn"] = _with("catalog lines decisions waiting pendin
             SELECT old AS first, new AS name, seq FROM renames WHERE seq < 20 UNION ALL
             SELECT s.first, r.new, r.seq FROM steps s JOIN renames r ON r.old = s.name AND r.seq > s.seq),
         last AS (SELECT first, arg_max(name, seq) AS name FROM steps GROUP BY first)""", recursive=True)
+# The reports after the changes that the streams bring.
+_AFTER = f"""stayed AS (SELECT * FROM lines WHERE available <> 0 OR needed <= 25),
+        entries AS (SELECT part_code, category, name, brand, price + CASE WHEN brand = 'Brand#3' THEN 10 ELSE 0 END AS price,
+            CASE WHEN brand = 'Brand#3' THEN (supplier + 1) % 10 ELSE supplier END AS supplier
+            FROM catalog WHERE brand <> 'Brand#4'),
+        used AS ({MODEL["used_names"].replace("FROM lines", "FROM stayed")}),
+        first_names AS ({MODEL["names"].replace("FROM catalog", "FROM entries")})"""
+ORACLE |= {
+    "stream_supplier_revenue": _with("lines catalog", """
+        SELECT c.supplier, arg_min(c.brand, c.part_code) AS brand, CAST(sum(c.price) AS DOUBLE) AS revenue,
+            count(*) AS lines_sold FROM stayed l JOIN entries c ON l.part_code = c.part_code GROUP BY c.supplier""", _AFTER),
+    "stream_category_usage": _with("lines catalog", """
+        SELECT n.category, nullif(count(u.name), 0) AS used, nullif(count(*) - count(u.name), 0) AS unused,
+            count(*) AS total FROM first_names n LEFT JOIN used u ON n.name = u.name GROUP BY n.category""", _AFTER),
+}
 # The routines as SQL functions answer what the operators do.
 ORACLE |= {
     "sql_ricevuti": ORACLE["receipt_remaining"],

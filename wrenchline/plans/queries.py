@@ -14,12 +14,12 @@ from pyspark.sql import types as T
 
 from wrenchline.functions import sql_functions
 from wrenchline.operators import gates, integrity, maintenance, orders, reports, staff, stock
-from wrenchline.plans.shop_model import RAW_SCHEMAS, Shop
+from wrenchline.plans.shop_model import RAW_SCHEMAS, Shop, catalog_of
 from wrenchline.schemas import ACCEPTED, CLERK, MECHANIC, REFUSED, Rule
 from wrenchline.session import scratch_path
 from wrenchline.sources import tables
 from wrenchline.sources.versions import read_version
-from wrenchline.streaming import bucketed, receipt_state, streams
+from wrenchline.streaming import bucketed, receipt_state, report_views, streams
 
 TODAY = datetime.date(2024, 1, 31)
 BRAND = ("brand",)
@@ -634,6 +634,40 @@ def stream_default_decision_bounded(spark: SparkSession, sf: str) -> DataFrame:
     return bucketed.decisions_table(spark, out).read()
 
 
+def _report_views(spark: SparkSession, sf: str) -> str:
+    """Reports that start from the waiting lines. The supplied ones come, large waiting ones go; parts of one brand get
+    another price and supplier, and those of another one leave the catalogue."""
+    shop = Shop(spark, sf)
+    out, checkpoint = _paths(spark, "report-views")
+    names = shop.with_names
+
+    def changed(rows: DataFrame, kind: str) -> DataFrame:
+        missing = [F.lit(None).cast(shop.catalog.schema[c].dataType).alias(c)
+                   for c in report_views.CATALOG if c not in rows.columns]
+        return rows.select(F.lit(kind).alias("changed"), "*", *missing).select("changed", "weight", *report_views.CATALOG)
+
+    line = streams.event_source(spark, sf, RAW_SCHEMAS["lineitem"], glob="lineitem.parquet").select(
+        F.col("l_partkey").alias("part_code"), (F.col("l_linestatus") == "F").alias("supplied"), "l_quantity")
+    weight = F.when(F.col("supplied"), 1).when(F.col("l_quantity") > 25, -1).otherwise(0)
+    lines = names(line.withColumn("weight", weight).filter("weight <> 0")).select("part_code", "name", "weight")
+    entry = catalog_of(streams.event_source(spark, sf, RAW_SCHEMAS["part"], glob="part.parquet"))
+    gone = entry.filter(F.col("brand").isin("Brand#3", "Brand#4")).withColumn("weight", F.lit(-1))
+    come = entry.filter(F.col("brand") == "Brand#3").withColumns({
+        "price": (F.col("price") + 10).cast("decimal(18,2)"), "supplier": (F.col("supplier") + 1) % 10, "weight": F.lit(1)})
+    changes = changed(lines, report_views.LINES).unionByName(changed(gone.unionByName(come), report_views.ENTRIES))
+    report_views.stream_report_views(
+        changes, names(shop.waiting).select("part_code", "name"), shop.catalog, out, checkpoint, buckets=8).awaitTermination()
+    return out
+
+
+def stream_supplier_revenue(spark: SparkSession, sf: str) -> DataFrame:
+    return report_views.revenue_report(spark, _report_views(spark, sf), 8).withColumn("revenue", _money("revenue"))
+
+
+def stream_category_usage(spark: SparkSession, sf: str) -> DataFrame:
+    return report_views.usage_report(spark, _report_views(spark, sf), 8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         load_tables, ingest_rows, apply_defaults, scan_table, replace_table, stage_temp, update_by_key,
@@ -649,7 +683,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sql_ricevuti, sql_stato_ordine, sql_limite, sql_shop, sql_assegnazioni,
         stream_gate, stream_quote, stream_decisions, stream_receipts, stream_final_cost, stream_default_decision,
         stream_purge, cascade_rename_in_turn, stream_receipts_in_state, stream_decisions_bucketed, stream_purge_bucketed,
-        stream_quote_compacted, stream_default_decision_bounded)
+        stream_quote_compacted, stream_default_decision_bounded,
+        stream_supplier_revenue, stream_category_usage)
 }
 QUERIES |= {
     "unused_parts_by_category": _usage(reports.unused_parts),

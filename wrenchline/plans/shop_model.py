@@ -33,6 +33,14 @@ RAW_SCHEMAS = {name: _schema(columns) for name, columns in {
 }.items()}
 
 
+def catalog_of(part: DataFrame) -> DataFrame:
+    return part.select(
+        F.col("p_partkey").alias("part_code"), F.lit(1).alias("version"), F.col("p_type").alias("category"),
+        F.concat_ws(" ", "p_name", "p_brand", F.col("p_size").cast("string")).alias("name"),
+        F.col("p_brand").alias("brand"), F.col("p_retailprice").cast("decimal(18,2)").alias("price"),
+        (F.col("p_partkey") % 10).alias("supplier"))
+
+
 class Shop:
     """Model tables of one data folder. Every property is a plain projection or join, read lazily."""
 
@@ -67,11 +75,7 @@ class Shop:
 
     @property
     def catalog(self) -> DataFrame:
-        return self.raw["part"].select(
-            F.col("p_partkey").alias("part_code"), F.lit(1).alias("version"), F.col("p_type").alias("category"),
-            F.concat_ws(" ", "p_name", "p_brand", F.col("p_size").cast("string")).alias("name"),
-            F.col("p_brand").alias("brand"), F.col("p_retailprice").cast("decimal(18,2)").alias("price"),
-            (F.col("p_partkey") % 10).alias("supplier"))
+        return catalog_of(self.raw["part"])
 
     @property
     def lines(self) -> DataFrame:
@@ -110,8 +114,11 @@ class Shop:
 
     @property
     def named_lines(self) -> DataFrame:
-        """All lines with a part name of their own: every third part is written down under a name that the
+        return self.with_names(self.lines)
+
+    def with_names(self, lines: DataFrame) -> DataFrame:
+        """Lines with a part name of their own: every third part is written down under a name that the
         catalogue does not have, so the part counts as unused."""
         own = F.when(F.col("part_code") % 3 == 0, F.concat(F.lit("pezzo "), F.col("part_code").cast("string")))
-        return self.lines.join(self.catalog.select("part_code", "name"), "part_code").withColumn(
+        return lines.join(self.catalog.select("part_code", "name"), "part_code").withColumn(
             "name", F.coalesce(own, "name"))

@@ -4,30 +4,53 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.cases import ODD_TEXTS, SF_LARGER, ascii_lower, documents, texts_of
 from wrenchline.llm import templates
-from wrenchline.llm.minhash import shingle_hashes
+from wrenchline.llm.minhash import _SHINGLE_FACTORS
 from wrenchline.llm.queries import QUERIES
 from wrenchline.llm.templates import without_recurring_lines
-from wrenchline.llm.textbytes import chunks
+from wrenchline.llm.textbytes import NOT_SPACE, chunks, mix, span_hashes, words
 
 
 def parse(line):
-    tokens = ["<*>" if re.search("[0-9]", t) else t for t in re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(line))]
-    fields = [()] * 8
+    """(leaf, the values of the fields that the line has, whether it can have a template)."""
+    tokens = ["<*>" if re.search("[0-9]", t) else t for t in tokens_of(line)]
+    fields = [()] * min(max(len(tokens) - 3, 0), 8)
     for place, token in enumerate(tokens[3:]):
-        k = place * 8 // max(len(tokens) - 3, 8)
-        fields[k] += (token,)
+        fields[place * 8 // max(len(tokens) - 3, 8)] += (token,)
     return (len(tokens), tuple(tokens[:3])), tuple(fields), len(tokens) >= 3
 
 
-def minima(text):
-    (chunk,) = chunks(pa.array([text]))
-    hashes = shingle_hashes(chunk)[0].tolist()
-    return [min((h * int(f)) % 2**64 for h in hashes) if hashes else 0 for f in templates._CONTEXT_FACTORS]
+def tokens_of(line):
+    return re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(line))
+
+
+class Text:
+    """Words, the line of each, hashes of all shingles (the operator's, as minima depend on their order)."""
+
+    def __init__(self, text):
+        (chunk,) = chunks(pa.array([text]))
+        self.lines = text.split("\n")
+        self.words = [(word, k) for k, line in enumerate(self.lines) for word in tokens_of(line)]
+        self.shingles = [self.words[i:i + 5] for i in range(len(self.words) - 4)]
+        found = words(chunk, NOT_SPACE).hashes
+        self.hashes = [int(mix((found[i:i + 5] * _SHINGLE_FACTORS).sum(keepdims=True))[0]) for i in range(len(found) - 4)]
+        self.order = int(span_hashes(chunk.data, chunk.offsets[:-1], chunk.offsets[1:]).view(np.int64)[0])
+
+    def minima(self, own):
+        """The 8 minima outside the lines ``own``; all 0 if nothing is outside or the lines make the text a near copy."""
+        inside = sum(all(k in own for _, k in shingle) for shingle in self.shingles)
+        if inside and 100 * inside >= 75 * (2 * len(self.shingles) - inside):
+            return [0] * 8
+        outside = [h for h, shingle in zip(self.hashes, self.shingles, strict=True) if not any(k in own for _, k in shingle)]
+        if outside:
+            return [min((h * int(f)) % 2**64 for h in outside) for f in templates._CONTEXT_FACTORS]
+        rest = tuple(word for word, k in self.words if k not in own)
+        return [rest or 0] * 8
 
 
 def brute(texts: dict) -> dict:
@@ -49,17 +72,25 @@ def brute(texts: dict) -> dict:
             template_of[leaf, fields] = (leaf, fields)
             if len(own) > 1 and sum(len(docs_of[leaf, f]) for f in own) >= 3:
                 kept = {(k, v) for k, v in enumerate(fields) if support[leaf, k, v] >= 3}
-                if len(kept) >= 6:
+                if kept and len(kept) >= 0.75 * len(fields):
                     template_of[leaf, fields] = (leaf, frozenset(kept))
     texts_with = defaultdict(set)
     for kind, docs in docs_of.items():
-        texts_with[template_of[kind]] |= {texts[d] for d in docs}
-    recurring = set()
+        texts_with[template_of[kind]] |= {ascii_lower(texts[d]) for d in docs}
+    known, recurring = {}, set()
     for template, own in texts_with.items():
-        if len(own) >= 3:
-            values = sum(len(set(column)) for column in zip(*map(minima, own))) / 8
-            if values - 1 >= 0.4 * (len(own) - 1):
-                recurring.add(template)
+        if len(own) < 3:
+            continue
+        # Each value is the first text's that has it; a text of which all values are its own is a source.
+        values, sources = set(), 0
+        for text in sorted((known.setdefault(t, Text(t)) for t in own), key=lambda t: t.order):
+            gone = {k for k, line in enumerate(text.lines)
+                    if parse(line)[2] and template_of[parse(line)[:2]] == template}
+            found = set(enumerate(text.minima(gone)))
+            sources += not found & values
+            values |= found
+        if sources >= 3 or len(values) / 8 - 1 >= 0.4 * (len(own) - 1):
+            recurring.add(template)
     return {doc: [line for line in (text or "").split("\n") if parse(line)[2] and template_of[parse(line)[:2]] in recurring]
             for doc, text in texts.items()}
 
@@ -135,7 +166,9 @@ def test_documents_keep_columns_and_emptied_ones_go(spark):
 
 
 def dropped_of(spark, texts):
-    rows = without_recurring_lines(documents(spark, texts), counts=True).collect()
+    docs = documents(spark, texts)
+    rows = without_recurring_lines(docs, counts=True).collect()
+    check(rows, texts_of(docs))
     return [r["n_dropped"] for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 

@@ -129,3 +129,20 @@ def test_sections_of_odd_texts(spark, tokenizer):
     docs = documents(spark, texts)
     check_sections(section_tokens(docs.withColumn("section", F.lit(1)), PATH).collect(), texts_of(docs), tokenizer)
     assert section_tokens(docs.limit(0), PATH).count() == 0
+
+
+def test_generations_save_bins_where_best_fit_does_not():
+    random = np.random.default_rng(8)
+    for low, high in ((300, 600), (250, 500)):
+        lengths = random.integers(low, high, 1500)
+        order = np.argsort(-lengths, kind="stable")
+        fitted = packing.best_fit(lengths, order, np.full(1500, -1), np.zeros(0, np.int64), 1024)
+        start = packing.evolve(lengths, [], 1024, seed=3, generations=0)
+        best = packing.evolve(lengths, [], 1024, seed=3)
+        assert len(best.fills) < len(start.fills) <= len(fitted.fills)
+        assert best.fills.max() <= 1024 and best.fills.sum() == lengths.sum()
+    for lengths in (np.full(7, 512), np.array([1, 1023, 1023, 1]), np.array([340, 341, 342, 1])):
+        own = packing.completed(lengths, np.arange(len(lengths)), 1024)
+        assert sorted(np.concatenate(own).tolist()) == list(range(len(lengths)))
+        assert len(own) == -(-lengths.sum() // 1024)
+    assert packing.completed(np.array([5]), np.arange(0), 1024) == []

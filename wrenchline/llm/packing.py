@@ -111,6 +111,44 @@ def best_fit(lengths: np.ndarray, order: np.ndarray, bins: np.ndarray, fills: np
     return Packing(out, lengths)
 
 
+def completed(lengths: np.ndarray, free: np.ndarray, size: int) -> list[np.ndarray]:
+    """Pack the pieces ``free`` bin by bin: the longest one left, then again and again the one or two that fill it best."""
+    own = lengths[free]
+    by_length = np.argsort(own, kind="stable")
+    left = np.bincount(own, minlength=size + 1)
+    ends = np.cumsum(left).tolist()  # the pieces of a length are taken from the end of its run
+    alive = len(free)
+    longest, bins = size, []
+    while alive:
+        while not left[longest]:
+            longest -= 1
+        taken, room = [longest], size - longest
+        left[longest] -= 1
+        while room:
+            fits = np.flatnonzero(left[1:room + 1]) + 1
+            if not len(fits):
+                break
+            best = [int(fits[-1])]
+            firsts = fits[fits <= room - fits[0]]
+            at = np.searchsorted(fits, room - firsts, "right") - 1
+            at -= (fits[at] == firsts) & (left[firsts] < 2)
+            sums = np.where(at >= 0, firsts + fits[at], 0)
+            if len(sums) and sums.max() > best[0]:
+                k = len(sums) - 1 - int(sums[::-1].argmax())
+                best = [int(firsts[k]), int(fits[at[k]])]
+            for length in best:
+                left[length] -= 1
+            taken += best
+            room -= sum(best)
+        members = []
+        for length in taken:
+            ends[length] -= 1
+            members.append(by_length[ends[length]])
+        bins.append(free[members])
+        alive -= len(members)
+    return bins
+
+
 def crossover(lengths: np.ndarray, base: Packing, donor: Packing, size: int, random: np.random.Generator) -> Packing:
     """Inject about half of the donor's fullest bins into the base."""
     fullest = np.flatnonzero(donor.fills >= np.quantile(donor.fills, 0.5))
@@ -128,41 +166,50 @@ def crossover(lengths: np.ndarray, base: Packing, donor: Packing, size: int, ran
     return refit(lengths, bins, size)
 
 
-def refit(lengths: np.ndarray, bins: np.ndarray, size: int) -> Packing:
-    """Best-fit the pieces without a bin (-1), longest first."""
+def refit(lengths: np.ndarray, bins: np.ndarray, size: int, complete: bool = False) -> Packing:
+    """Best-fit the pieces without a bin (-1), longest first, or complete bins of their own with them."""
     free = np.flatnonzero(bins < 0)
+    if complete:
+        out, first = bins.copy(), int(bins.max(initial=-1)) + 1
+        for k, members in enumerate(completed(lengths, free, size)):
+            out[members] = first + k
+        return Packing(out, lengths)
     placed = bins >= 0
     fills = np.bincount(bins[placed], lengths[placed]).astype(np.int64) if placed.any() else np.zeros(0, np.int64)
     return best_fit(lengths, free[np.argsort(-lengths[free], kind="stable")], bins, fills, size)
 
 
-def mutated(lengths: np.ndarray, packing: Packing, size: int, random: np.random.Generator) -> Packing:
+def mutated(lengths: np.ndarray, packing: Packing, size: int, random: np.random.Generator, complete: bool = False) -> Packing:
     """Empty the poorest bins and some others, and fit their pieces anew."""
     n = len(packing.fills)
-    emptied = random.random(n) < 0.03
-    emptied[np.argsort(packing.fills)[:max(1, n // 50)]] = True
+    emptied = random.random(n) < (0.1 if complete else 0.03)
+    emptied[np.argsort(packing.fills)[:max(1, n // (10 if complete else 50))]] = True
     bins = np.where(emptied[packing.bins], -1, packing.bins)
     _, bins[bins >= 0] = np.unique(bins[bins >= 0], return_inverse=True)
-    return refit(lengths, bins, size)
+    return refit(lengths, bins, size, complete)
 
 
 def evolve(lengths: np.ndarray, given: list[np.ndarray], size: int, seed: int, population: int = POPULATION,
            generations: int = GENERATIONS) -> Packing:
     """The best packing after some generations that start from the given ones and from noisy best-fit ones.
 
-    Stops early when the number of bins is the least possible.
+    One of the latter completes bins instead. Stops as soon as the number of bins is the least possible.
     """
     random = np.random.default_rng(seed)
     least = -(-int(lengths.sum()) // size)
-    alive = [Packing(bins, lengths) for bins in given]
-    while len(alive) < population:
-        noise = 1 + (0.0 if not alive else 0.1) * random.random(len(lengths))
-        order = np.argsort(-(lengths * noise), kind="stable")
-        alive.append(best_fit(lengths, order, np.full(len(lengths), -1), np.zeros(0, np.int64), size))
+    nowhere = np.full(len(lengths), -1)
 
     def worth(p: Packing) -> tuple[int, float]:
         return p.worth(size)
 
+    alive = [Packing(bins, lengths) for bins in given]
+    while len(alive) < population and not (alive and len(max(alive, key=worth).fills) <= least):
+        if len(alive) == 1:
+            alive.append(refit(lengths, nowhere, size, complete=True))
+            continue
+        noise = 1 + (0.0 if not alive else 0.1) * random.random(len(lengths))
+        order = np.argsort(-(lengths * noise), kind="stable")
+        alive.append(best_fit(lengths, order, nowhere, np.zeros(0, np.int64), size))
     best = max(alive, key=worth)
     for _ in range(generations):
         if len(best.fills) <= least:
@@ -173,6 +220,7 @@ def evolve(lengths: np.ndarray, given: list[np.ndarray], size: int, seed: int, p
             base, donor = sorted((alive[a], alive[b]), key=worth, reverse=bool(k % 2))
             child = crossover(lengths, base, donor, size, random)
             children.append(mutated(lengths, child, size, random))
+            children.append(mutated(lengths, alive[k], size, random, complete=True))
         alive = sorted([*alive, *children], key=worth, reverse=True)[:population]
         best = alive[0]
     return best

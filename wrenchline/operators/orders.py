@@ -97,14 +97,15 @@ def order_status(orders: DataFrame, lines: DataFrame, decisions: DataFrame) -> D
     return (orders.select("order_id", "final_cost")
             .join(sums, "order_id", "left")
             .join(decisions.select("order_id", "outcome"), "order_id", "left")
-            .select("order_id", _status(F.col("final_cost")).alias("status")))
+            .select("order_id", status_of(F.col("final_cost")).alias("status")))
 
 
 def _line_counts() -> list[Column]:
     return [F.count("*").alias("_lines"), F.sum("needed").alias("_needed"), F.sum("available").alias("_available")]
 
 
-def _status(final_cost: Column) -> Column:
+def status_of(final_cost: Column) -> Column:
+    """Status from the sums of ``_line_counts``, ``outcome`` and a cost."""
     return (
         F.when(F.coalesce(F.col("_lines"), F.lit(0)) == 0, STATUS_INTAKE)
         .when(F.col("outcome") == REFUSED, STATUS_REFUSED)
@@ -123,7 +124,7 @@ def priced_order_status(orders: DataFrame, lines: DataFrame, decisions: DataFram
     return (orders.select("order_id", "labor")
             .join(sums, "order_id", "left").withColumn("_quote", quote)
             .join(decisions.select("order_id", "outcome"), "order_id", "left")
-            .select("order_id", _status(cost).alias("status")))
+            .select("order_id", status_of(cost).alias("status")))
 
 
 def balance(orders: DataFrame, rate: int = HOURLY_RATE) -> DataFrame:

@@ -398,6 +398,7 @@ ORACLE |= {
 ORACLE |= {
     "sql_ricevuti": ORACLE["receipt_remaining"],
     "sql_stato_ordine": ORACLE["order_status"],
+    "stream_order_status": ORACLE["order_status"],
     "sql_limite": ORACLE["recent_prefix_size"],
     "sql_shop": f"""SELECT (SELECT balance FROM ({ORACLE["balance"]})) AS balance,
         (SELECT max(o_orderkey) + 1 FROM orders) AS next_order,

@@ -19,7 +19,7 @@ from wrenchline.schemas import ACCEPTED, CLERK, MECHANIC, REFUSED, Rule
 from wrenchline.session import scratch_path
 from wrenchline.sources import tables
 from wrenchline.sources.versions import read_version
-from wrenchline.streaming import bucketed, receipt_state, report_views, streams
+from wrenchline.streaming import bucketed, receipt_state, report_views, status_changes, streams
 
 TODAY = datetime.date(2024, 1, 31)
 BRAND = ("brand",)
@@ -668,6 +668,22 @@ def stream_category_usage(spark: SparkSession, sf: str) -> DataFrame:
     return report_views.usage_report(spark, _report_views(spark, sf), 8)
 
 
+def stream_order_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Statuses after all orders, lines, decisions and hours have come as streams. Every delivered line comes as a waiting
+    one, which a later change replaces."""
+    shop = Shop(spark, sf)
+    shop.raw = {name: streams.event_source(spark, sf, schema, glob=f"{name}.parquet") for name, schema in RAW_SCHEMAS.items()}
+    out, checkpoint = _paths(spark, "order-status")
+    delivered = shop.lines.filter("available <> 0")
+    came = shop.lines.withColumns({"available": F.lit(0).cast("bigint"), "weight": F.lit(1)})
+    went = delivered.withColumns({"available": F.lit(0).cast("bigint"), "weight": F.lit(-1)})
+    lines = came.unionByName(went).unionByName(delivered.withColumn("weight", F.lit(1)))
+    status_changes.stream_order_status(
+        shop.orders.select("order_id"), lines, shop.decisions.withColumn("seq", F.lit(1)),
+        shop.orders.select("order_id", "labor", F.lit(1).alias("seq")), out, checkpoint, buckets=8).awaitTermination()
+    return status_changes.status_table(spark, out, 8).read()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         load_tables, ingest_rows, apply_defaults, scan_table, replace_table, stage_temp, update_by_key,
@@ -684,7 +700,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stream_gate, stream_quote, stream_decisions, stream_receipts, stream_final_cost, stream_default_decision,
         stream_purge, cascade_rename_in_turn, stream_receipts_in_state, stream_decisions_bucketed, stream_purge_bucketed,
         stream_quote_compacted, stream_default_decision_bounded,
-        stream_supplier_revenue, stream_category_usage)
+        stream_supplier_revenue, stream_category_usage, stream_order_status)
 }
 QUERIES |= {
     "unused_parts_by_category": _usage(reports.unused_parts),

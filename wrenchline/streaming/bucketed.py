@@ -19,9 +19,10 @@ from wrenchline.operators.stock import pending_stock, supplier_of_part
 from wrenchline.schemas import REFUSED
 from wrenchline.session import pinned
 from wrenchline.sources.buckets import Buckets
+from wrenchline.sources.manifests import is_committed
 from wrenchline.sources.runs import append_run, read_runs
 from wrenchline.sources.versions import claim
-from wrenchline.streaming.streams import each_batch, running_quotes
+from wrenchline.streaming.streams import each_batch, evaluate, running_quotes
 
 BUCKETS = 64
 
@@ -102,7 +103,7 @@ def stream_default_decision_bounded(stream: DataFrame, decisions: DataFrame, pat
     def refuse(orders: DataFrame, batch_id: int) -> None:
         claim(spark, path, checkpoint)
         if table.is_written(batch_id + 1):
-            return
+            return evaluate(orders)
         seen = pinned(orders.select("order_id").filter(F.col("order_id").isNotNull()).distinct())
         known = table.read(table.touched(seen)).select("order_id")
         missing = pinned(seen.join(known, "order_id", "left_anti").withColumn("outcome", F.lit(REFUSED)))
@@ -118,7 +119,10 @@ def stream_quote_compacted(lines_stream: DataFrame, path: str, checkpoint: str)
 
 def quote_log(path: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
     def log(changed: DataFrame, batch_id: int) -> None:
-        claim(changed.sparkSession, path, checkpoint)
+        spark = changed.sparkSession
+        claim(spark, path, checkpoint)
+        if is_committed(spark, path, batch_id + 1):
+            return evaluate(changed)
         append_run(changed, path, batch_id, ["order_id"])
 
     return log

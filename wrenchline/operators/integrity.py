@@ -147,7 +147,7 @@ def audit_range(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
 def _out_of_range(df: DataFrame, column: str, type_name: str) -> Column:
     """Plain comparisons with the bounds half a unit further out, so numbers need no conversion."""
     above = 2 ** INTEGER_BITS[type_name]
-    kind = df.schema[column].dataType
+    kind = df.select(column).schema[0].dataType
     if isinstance(kind, T.IntegralType):
         outside = (F.col(column) >= above) | (F.col(column) < -above)
     else:
@@ -165,7 +165,7 @@ def constraint_report(tables: Mapping[str, DataFrame], rules: Sequence[Rule]) ->
     parts: list[DataFrame] = []
     row_kinds = ("not_null", "enum", "length", "range")
     for table in dict.fromkeys(r.table for r in rules):
-        checks = [(r, _row_test(tables[table], r)) for r in rules if r.table == table and r.kind in row_kinds]
+        checks = [(r, row_test(tables[table], r)) for r in rules if r.table == table and r.kind in row_kinds]
         if checks:
             counted = tables[table].agg(*[F.count_if(test).alias(rule.name) for rule, test in checks])
             names = [rule.name for rule, _ in checks]
@@ -183,7 +183,8 @@ def constraint_report(tables: Mapping[str, DataFrame], rules: Sequence[Rule]) ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def _row_test(df: DataFrame, rule: Rule) -> Column:
+def row_test(df: DataFrame, rule: Rule) -> Column:
+    """Whether a row breaks a row rule (not null, enum, length, range); its columns may be fields of structs."""
     if rule.kind == "not_null":
         return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in rule.columns])
     column = rule.columns[0]

@@ -394,11 +394,24 @@ ORACLE |= {
         SELECT n.category, nullif(count(u.name), 0) AS used, nullif(count(*) - count(u.name), 0) AS unused,
             count(*) AS total FROM first_names n LEFT JOIN used u ON n.name = u.name GROUP BY n.category""", _AFTER),
 }
+_LOADED = """WITH kept AS (SELECT *, CASE WHEN event_type <> 'error' THEN CAST(round(CAST(value AS DECIMAL(18,6)), 0) AS BIGINT) END
+        AS amount FROM events WHERE event_id % 5 <> 0)
+    SELECT 'rows' AS rule, (SELECT count(*) FROM events) AS violations
+    UNION ALL SELECT 'rejected', (SELECT count(*) FROM events WHERE event_id % 5 = 0)
+    UNION ALL SELECT 'enum(kind)', (SELECT count(*) FROM kept WHERE event_type NOT IN ('purchase', 'view'))
+    UNION ALL SELECT 'length(kind)', (SELECT count(*) FROM kept WHERE length(event_type) > 5)
+    UNION ALL SELECT 'not_null(kind,amount)', (SELECT count(*) FROM kept WHERE event_type IS NULL OR amount IS NULL)
+    UNION ALL SELECT 'range(event_id)', (SELECT count(*) FROM kept WHERE event_id > 32767)
+    UNION ALL SELECT 'stored', (SELECT count(*) FROM kept)
+    UNION ALL SELECT 'stored amounts', (SELECT CAST(sum(amount) AS BIGINT) FROM kept)
+    UNION ALL SELECT 'stored rejects', (SELECT count(*) FROM events WHERE event_id % 5 = 0)"""
 # The routines as SQL functions answer what the operators do.
 ORACLE |= {
     "sql_ricevuti": ORACLE["receipt_remaining"],
     "sql_stato_ordine": ORACLE["order_status"],
     "stream_order_status": ORACLE["order_status"],
+    "load_audited": _LOADED,
+    "stream_audited": _LOADED,
     "sql_limite": ORACLE["recent_prefix_size"],
     "sql_shop": f"""SELECT (SELECT balance FROM ({ORACLE["balance"]})) AS balance,
         (SELECT max(o_orderkey) + 1 FROM orders) AS next_order,

@@ -17,7 +17,7 @@ from wrenchline.operators import gates, integrity, maintenance, orders, reports,
 from wrenchline.plans.shop_model import RAW_SCHEMAS, Shop, catalog_of
 from wrenchline.schemas import ACCEPTED, CLERK, MECHANIC, REFUSED, Rule
 from wrenchline.session import scratch_path
-from wrenchline.sources import tables
+from wrenchline.sources import audited, tables
 from wrenchline.sources.versions import read_version
 from wrenchline.streaming import bucketed, receipt_state, report_views, status_changes, streams
 
@@ -508,6 +508,41 @@ def sql_assegnazioni(spark: SparkSession, sf: str) -> DataFrame:
                      "FROM arrivals a, LATERAL Assegnazioni(a.arrived, a.part_code) s")
 
 
+#: Every fifth event's value has a text before it, so that it is no number.
+AUDITED = T.StructType([T.StructField("event_id", T.IntegerType(), False), T.StructField("kind", T.StringType()),
+                        T.StructField("amount", T.ShortType())])
+AUDIT_RULES = [Rule("enum", "events", ("kind",), values=("purchase", "view")), Rule("length", "events", ("kind",), limit=5),
+               Rule("not_null", "events", ("kind", "amount")), Rule("range", "events", ("event_id",), type_name="smallint")]
+
+
+def _untyped(events: DataFrame) -> DataFrame:
+    """Events as text; errors have no amount."""
+    value = F.col("value").cast("string")
+    amount = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("about "), value)).when(F.col("event_type") != "error", value)
+    return events.select(F.col("event_id").cast("string").alias("event_id"), F.col("event_type").alias("kind"), amount.alias("amount"))
+
+
+def load_audited(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of a load, then the rows and amounts that it stored."""
+    path = scratch_path(spark, "audited")
+    counted = audited.load_audited(_untyped(Shop(spark, sf).raw["events"]), AUDITED, path, AUDIT_RULES)
+    return counted.unionByName(_stored_loads(spark, path))
+
+
+def stream_audited(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``load_audited``, from a stream."""
+    out, checkpoint = _paths(spark, "audited")
+    audited.stream_audited(_untyped(_events(spark, sf)), AUDITED, out, checkpoint, AUDIT_RULES).awaitTermination()
+    return audited.stream_counts(spark, out).unionByName(_stored_loads(spark, f"{out}/rows"))
+
+
+def _stored_loads(spark: SparkSession, path: str) -> DataFrame:
+    kept = audited.accepted(spark, path, AUDITED).agg(F.count("*").alias("stored"), F.sum("amount").alias("stored amounts"))
+    gone = audited.rejects(spark, path, AUDITED).agg(F.count("*").alias("stored rejects"))
+    return kept.unpivot([], ["stored", "stored amounts"], "rule", "violations").unionByName(
+        gone.unpivot([], ["stored rejects"], "rule", "violations"))
+
+
 # --- streams: run over all events, then read what they wrote -------------------------------------------------
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -700,7 +735,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stream_gate, stream_quote, stream_decisions, stream_receipts, stream_final_cost, stream_default_decision,
         stream_purge, cascade_rename_in_turn, stream_receipts_in_state, stream_decisions_bucketed, stream_purge_bucketed,
         stream_quote_compacted, stream_default_decision_bounded,
-        stream_supplier_revenue, stream_category_usage, stream_order_status)
+        stream_supplier_revenue, stream_category_usage, stream_order_status, load_audited, stream_audited)
 }
 QUERIES |= {
     "unused_parts_by_category": _usage(reports.unused_parts),

@@ -55,6 +55,22 @@ def ingest_rows(df: DataFrame, schema: T.StructType, positional: bool = False,
     NULL. A row is rejected when a value cannot be converted or a required column is NULL.
     With ``on_error='null'`` values that cannot be converted become NULL instead.
     """
+    raw, typed, problem = _typed(df, schema, positional, defaults, on_error)
+    good = raw.filter(problem == "").select(*typed)
+    rejects = raw.withColumn("problem", problem).filter(F.col("problem") != "")
+    return good, rejects
+
+
+def marked_rows(df: DataFrame, schema: T.StructType, positional: bool = False,
+                defaults: Mapping[str, object] | None = None, on_error: str = "reject") -> DataFrame:
+    """All rows as (``raw``, ``typed``, ``problem``), in one pass: ``ingest_rows`` accepts those whose problem is empty."""
+    raw, typed, problem = _typed(df, schema, positional, defaults, on_error)
+    return raw.select(F.struct(*raw.columns).alias("raw"), F.struct(*typed).alias("typed"), problem.alias("problem"))
+
+
+def _typed(df: DataFrame, schema: T.StructType, positional: bool, defaults: Mapping[str, object] | None,
+           on_error: str) -> tuple[DataFrame, list[Column], Column]:
+    """The raw rows by name, their typed columns, and what is wrong with a row (empty: nothing)."""
     raw = df.toDF(*schema.names[:len(df.columns)]) if positional else df
     defaults = defaults or {}
     given = set(raw.columns)
@@ -72,10 +88,7 @@ def ingest_rows(df: DataFrame, schema: T.StructType, positional: bool = False,
             problems.append(F.when(bad, F.lit(f"{field.name} not {field.dataType.simpleString()}")))
         if not field.nullable:
             problems.append(F.when(F.col(field.name).isNull(), F.lit(f"{field.name} is null")))
-    problem = F.concat_ws("; ", *problems) if problems else F.lit("")
-    good = raw.filter(problem == "").select(*typed)
-    rejects = raw.withColumn("problem", problem).filter(F.col("problem") != "")
-    return good, rejects
+    return raw, typed, F.concat_ws("; ", *problems) if problems else F.lit("")
 
 
 def apply_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wrenchline.llm.shared import release_memory
 from wrenchline.llm.textbytes import chunks
 from wrenchline.llm.tokens import PieceEncoder
 from wrenchline.session import pinned
@@ -37,6 +38,7 @@ _PIECE_COLUMNS = "piece int, start long, length long, ids_crc32 long, item long"
 
 def _pieces(path: str, size: int, passed: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         encode = PieceEncoder(path)
         item = TaskContext.get().partitionId() << 40
         for batch in batches:

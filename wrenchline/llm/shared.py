@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,14 @@ def fresh_name(name: str, taken: Sequence[str]) -> str:
     return name
 
 
+def release_memory() -> None:
+    """Give back what earlier tasks of this Python worker have freed; a worker serves many stages and keeps it else."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def fold(ids: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id is in fold 0."""
     return F.coalesce(F.crc32(ids.cast("string").cast("binary")) % n, F.lit(0))

@@ -136,6 +136,35 @@ def test_recent_assignments(spark, seed):
                          for p, a in asked for i, x in enumerate(sim.recent(p, a)))
 
 
+def ranked_lines(spark, n):
+    """``n`` supplied lines of part 1, the newest being order 1, each supplied 1."""
+    columns = ["id AS order_id", "1L AS part_code", "1 AS line_no", "1L AS needed", "1L AS available", "0L AS price",
+               "date_sub(DATE'2024-03-01', cast(id AS int)) AS requested"]
+    return spark.range(1, n + 1).selectExpr(*columns)
+
+
+@pytest.mark.parametrize("width, block", [(1, 1), (4, 3), (16, 1000), (4096, 1024)])
+def test_recent_assignments_in_bins(spark, width, block):
+    """Many arrivals of one part, at and beside the edges of the bins; ranks beyond the lines and 0 have no lines."""
+    arrivals = spark.createDataFrame([(1, a) for a in [*range(-1, 40), 63, 64, 65, 100, 101]],
+                                     "part_code bigint, arrived bigint")
+    got = stock.recent_assignments(ranked_lines(spark, 100), arrivals, width, block).collect()
+    want = [(a, n) for a in [*range(1, 40), 63, 64, 65, 100] for n in range(1, a + 1)]
+    assert sorted((r.arrived, r.order_id) for r in got) == want
+    assert all(r["rank"] == r.order_id and r.quantity == 1 for r in got)
+
+
+@pytest.mark.parametrize("width, block", [(8, 5), (4096, 1024)])
+def test_arrivals_meet_few_lines_in_vain(spark, width, block):
+    newest = spark.range(1, 301).selectExpr("1L AS part_code", "id AS rank")
+    sizes = spark.range(1, 301).selectExpr("1L AS part_code", "id AS arrived", "id AS k")
+    met = stock._within_reach(newest, sizes, width, block)
+    assert 300 * 301 // 2 <= met.count() < 300 * 301
+    per_task = met.groupBy("_bin", "_block").agg({"rank": "max", "arrived": "count"})
+    assert met.select("_bin", "rank").distinct().groupBy("_bin").count().agg({"count": "max"}).first()[0] <= width
+    assert per_task.count() > 8
+
+
 def test_reordering_in_sequence(spark):
     sim, _ = random_case(3)
     lines, pending = frames(spark, sim)

@@ -18,6 +18,9 @@ PART = ["part_code"]
 LINE_ORDER = ("requested", "order_id", "line_no")
 # Receipts of one part handled by one task in one round; further ones go to further rounds.
 PAGE = 1_000_000
+# Newest lines of a part in one bin, and arrivals that meet a bin in one task.
+BIN_RANKS = 4096
+BLOCK_ARRIVALS = 1024
 
 
 def by_number(column: str) -> Column:
@@ -241,9 +244,37 @@ def recent_prefix_size(lines: DataFrame, arrivals: DataFrame) -> DataFrame:
         "k", F.coalesce("k", F.lit(0).cast("bigint")))
 
 
-def recent_assignments(lines: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """The lines each distinct recent arrival went to, newest first: part_code, arrived, order_id, quantity, rank."""
-    newest = _newest_supplied(lines, arrivals)
-    sizes = _prefix_sizes(newest, arrivals)
-    return newest.join(sizes, "part_code").filter(F.col("rank") <= F.col("k")).select(
+def _rank_bin(rank: Column, width: int) -> Column:
+    """Bins of ranks 1, 2-3, 4-7, ... up to ``width`` ranks a bin (a power of two), then all of that width."""
+    bits = width.bit_length() - 1
+    return F.when(rank < width, F.length(F.bin(rank)) - 1).otherwise(
+        F.shiftright(rank, bits) + (bits - 1)).cast("bigint")
+
+
+def _within_reach(newest: DataFrame, sizes: DataFrame, width: int, block: int) -> DataFrame:
+    """Pairs of an arrival of ``sizes`` and a line of a bin in which the arrival has lines.
+
+    These are fewer than twice the lines the arrivals have, because an arrival's last bin is no wider than the bins
+    before it. A task's key holds at most ``width`` lines and about ``block`` arrivals: a bin in which more arrivals
+    have lines is copied once per block of them.
+    """
+    at = ["part_code", "_bin"]
+    reach = sizes.withColumn("_bin", F.explode(F.sequence(F.lit(0).cast("bigint"), _rank_bin(F.col("k"), width))))
+    blocks = reach.groupBy(*at).agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    binned = newest.withColumn("_bin", _rank_bin(F.col("rank"), width)).join(blocks, at)
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))
+    dealt = reach.join(blocks, at).withColumn("_block", F.pmod(F.xxhash64("arrived"), F.col("_blocks")))
+    return binned.withColumn("_block", copies).drop("_blocks").join(dealt.drop("_blocks"), [*at, "_block"])
+
+
+def recent_assignments(lines: DataFrame, arrivals: DataFrame, width: int = BIN_RANKS,
+                       block: int = BLOCK_ARRIVALS) -> DataFrame:
+    """The lines each distinct recent arrival went to, newest first: part_code, arrived, order_id, quantity, rank.
+
+    Any number of arrivals per part: lines meet arrivals by bins of ranks, see ``_within_reach``.
+    """
+    asked = pinned(arrivals.select("part_code", "arrived").distinct())
+    newest = _newest_supplied(lines, asked).select("part_code", "order_id", "available", "upto", "rank")
+    found = _within_reach(newest, pinned(_prefix_sizes(newest, asked)), width, block)
+    return found.filter(F.col("rank") <= F.col("k")).select(
         "part_code", "arrived", "order_id", F.col("available").alias("quantity"), "rank")

@@ -2,9 +2,14 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import pytest
 
+from tests.compare import connect, mismatch
 from wrenchline.operators import gates, integrity
+from wrenchline.plans.oracle import ORACLE
+from wrenchline.plans.queries import QUERIES
+from wrenchline.plans.shop_model import RAW_SCHEMAS
 from wrenchline.schemas import FOREIGN_KEYS, Rule, declared_rules
 
 
@@ -122,3 +127,34 @@ def test_renames_in_turn_against_one_after_the_other(spark):
         mapping = {r.old: r.new for r in got.collect()}
         assert {key: mapping.get(key, key) for key in range(12)} == want
     assert integrity.renames_in_turn(_pairs(spark, [], "seq int, old int, new int")).count() == 0
+
+
+def test_keys_merge_where_they_need_not_be_unique(spark):
+    tables = {"t": spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (3, "second version")], "k int, v string"),
+              "u": spark.createDataFrame([(1,), (3,), (None,)], "k int")}
+    rules = [Rule("foreign_key", "u", ("k",), "t", parent_columns=("k",), on_update="cascade")]
+    got = integrity.cascade_tables(tables, "t", "k", _pairs(spark, [(1, 3), (2, 3), (8, 9)]), rules, merge=True)
+    assert sorted(r.v for r in got["t"].filter("k = 3").collect()) == ["a", "b", "c", "second version"]
+    assert sorted(r.k or 0 for r in got["u"].collect()) == [0, 3, 3]
+    with pytest.raises(Exception, match="renamed twice: 1"):
+        integrity.cascade_tables(tables, "t", "k", _pairs(spark, [(1, 3), (1, 4)]), rules, merge=True)["t"].collect()
+
+
+@pytest.mark.parametrize("name", ["cascade_rename"])
+def test_renames_of_parts_whose_new_codes_are_taken(spark, tmp_path, name):
+    """Codes 0, 1, 2 and 3 million apart, as in tables of more than a million parts."""
+    duck = duckdb.connect()
+    rows = {
+        "part": "SELECT c + 1000000 * k AS p_partkey, 'x' AS p_name, 'Brand#' || (c * (k + 3) % 4 + 1) AS p_brand, "
+                "'T' AS p_type, 1::INT AS p_size, 5.0::DOUBLE AS p_retailprice FROM range(40) a(c), range(4) b(k)",
+        "orders": "SELECT o AS o_orderkey, 1::BIGINT AS o_custkey, CASE WHEN o % 3 = 0 THEN 'P' ELSE 'O' END AS o_orderstatus, "
+                  "1.0::DOUBLE AS o_totalprice, TIMESTAMP '2024-01-01' AS o_orderdate, 'x' AS o_orderpriority FROM range(50) a(o)",
+        "lineitem": "SELECT o AS l_orderkey, (o * 7 + n) % 40 + 1000000 * (n % 4) AS l_partkey, 1::BIGINT AS l_suppkey, "
+                    "n::INT AS l_linenumber, 3.0::DOUBLE AS l_quantity, 2.0::DOUBLE AS l_extendedprice, 0.0::DOUBLE AS l_discount, "
+                    "0.0::DOUBLE AS l_tax, 'N' AS l_returnflag, CASE WHEN n % 2 = 0 THEN 'O' ELSE 'F' END AS l_linestatus, "
+                    "TIMESTAMP '2024-01-01' AS l_shipdate FROM range(50) a(o), range(9) b(n)"}
+    kinds = {"timestamp_ntz": "TIMESTAMP"}
+    for table, schema in RAW_SCHEMAS.items():
+        nothing = ", ".join(f"NULL::{kinds.get(f.dataType.simpleString(), f.dataType.simpleString())} AS {f.name}" for f in schema)
+        duck.execute(f"COPY ({rows.get(table, f'SELECT {nothing} WHERE false')}) TO '{tmp_path}/{table}.parquet'")
+    assert mismatch(QUERIES[name](spark, str(tmp_path)), connect(str(tmp_path)), ORACLE[name]) == ""

@@ -60,11 +60,12 @@ def renames_in_turn(renames: DataFrame, seq: str = "seq") -> DataFrame:
     return steps.groupBy("old").agg(F.min_by("new", "_seq").alias("new"))
 
 
-def checked_renames(renames: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+def checked_renames(renames: DataFrame, keys: DataFrame | None = None, merge: bool = False) -> DataFrame:
     """The renames (old, new), which fail when they are used if an ``old`` comes twice.
 
     With ``keys`` (the parent's, one column) only renames of these are kept, and they also fail if two keys become
-    the same or if one becomes a key that stays. A key may move to the name of one that moves away.
+    the same or if one becomes a key that stays, unless ``merge`` allows that. A key may move to the name of one that
+    moves away.
     """
     def fail(text: str, value: Column) -> Column:
         return F.raise_error(F.concat(F.lit(text), value.cast("string")))
@@ -76,6 +77,7 @@ def checked_renames(renames: DataFrame, keys: DataFrame | None = None) -> DataFr
     if keys is not None:
         held = keys.toDF("old").distinct()
         single = single.join(held, "old", "left_semi")
+    if keys is not None and not merge:
         # Keys as they will be: those that stay and the new ones, each of which must come once.
         staying = held.join(single.select("old"), "old", "left_anti").select(F.col("old").alias("new"))
         after = single.select("new").unionByName(staying).groupBy("new").agg(F.count("*").alias("_m"))
@@ -102,12 +104,13 @@ def _renamed(table: DataFrame, column: str, renames: DataFrame) -> DataFrame:
 
 
 def cascade_tables(tables: Mapping[str, DataFrame], parent: str, column: str, renames: DataFrame,
-                   foreign_keys: Sequence[Rule]) -> dict[str, DataFrame]:
+                   foreign_keys: Sequence[Rule], merge: bool = False) -> dict[str, DataFrame]:
     """Rename keys of ``parent.column`` and follow every cascading foreign key below it.
 
-    A new name that a key which stays has already is refused with an error, as are repeated ones.
+    A new name that a key which stays has already is refused with an error, as are repeated ones. With ``merge``, for a
+    column that need not be unique in the parent, keys may become the same: their rows stay and have one key from then on.
     """
-    renames = checked_renames(renames, tables[parent].select(column))
+    renames = checked_renames(renames, tables[parent].select(column), merge)
     result = dict(tables)
     todo = [(parent, column)]
     while todo:

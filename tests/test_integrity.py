@@ -140,7 +140,25 @@ def test_keys_merge_where_they_need_not_be_unique(spark):
         integrity.cascade_tables(tables, "t", "k", _pairs(spark, [(1, 3), (1, 4)]), rules, merge=True)["t"].collect()
 
 
-@pytest.mark.parametrize("name", ["cascade_rename"])
+def test_renames_in_turn_by_all_names_a_key_had(spark):
+    rng = random.Random(5)
+    for _ in range(4):
+        steps = [(s, rng.randrange(12), rng.randrange(12)) for s in rng.sample(range(500), 40)]
+        want = {}
+        for key in {old for _, old, new in steps if old != new}:
+            names, ahead = {}, sorted(steps)
+            first = next(s for s in ahead if s[1] == key and s[1] != s[2])
+            names[first[2]], last = first[0], first[2]
+            for seq, old, new in ahead:
+                if old != new and names.get(old, seq) < seq:
+                    names[new], last = min(names.get(new, seq), seq), new
+            want[key] = last
+        got = integrity.renames_in_turn(_pairs(spark, steps, "seq int, old int, new int"), aliases=True)
+        assert {r.old: r.new for r in got.collect()} == want
+    assert integrity.renames_in_turn(_pairs(spark, [], "seq int, old int, new int"), aliases=True).count() == 0
+
+
+@pytest.mark.parametrize("name", ["cascade_rename", "cascade_rename_in_turn"])
 def test_renames_of_parts_whose_new_codes_are_taken(spark, tmp_path, name):
     """Codes 0, 1, 2 and 3 million apart, as in tables of more than a million parts."""
     duck = duckdb.connect()

@@ -37,14 +37,20 @@ def audit_fk(child: DataFrame, parent: DataFrame, on: Mapping[str, str]) -> Data
     return lookup_join(child.dropna(subset=keys), known, keys, "left_anti")
 
 
-def renames_in_turn(renames: DataFrame, seq: str = "seq") -> DataFrame:
+def renames_in_turn(renames: DataFrame, seq: str = "seq", aliases: bool = False) -> DataFrame:
     """(old, new) that do at once what the renames (old, new and ``seq``, unique) do one after the other.
 
     A key takes its first rename; what this makes of it takes the next later rename of that name, and so on.
     Numbers only grow along such a chain, so there are no cycles; each round of the loop doubles the steps taken.
     Names in between are in the result too and rename nothing where no key has them at first.
+
+    With ``aliases`` a key goes on answering to each name that a rename gave it: every later rename of one of them
+    concerns it, and the last of all those names it. The two readings differ only where a name is given more than
+    once; this one takes a round of the loop per step of the longest chain.
     """
     renames = pinned(renames.select(F.col(seq).alias("_seq"), "old", "new").filter(F.col("old") != F.col("new")))
+    if aliases:
+        return _last_of_aliases(renames)
     # Per name: where a rename leads to it and where one starts from it; the next start after an arrival goes on.
     events = renames.select(F.col("new").alias("_name"), "_seq", F.col("_seq").alias("_from"), F.lit(None).alias("_to")) \
         .unionByName(renames.select(F.col("old").alias("_name"), "_seq", F.lit(None).alias("_from"), F.col("_seq").alias("_to")))
@@ -60,6 +66,24 @@ def renames_in_turn(renames: DataFrame, seq: str = "seq") -> DataFrame:
     return steps.groupBy("old").agg(F.min_by("new", "_seq").alias("new"))
 
 
+def _last_of_aliases(renames: DataFrame) -> DataFrame:
+    """(old, new): the last of the renames that follow the first one of ``old``, see ``renames_in_turn``."""
+    steps = renames.withColumn("_last", F.struct("_seq", "new"))
+    nothing = F.lit(None).cast(steps.schema["_last"].dataType)
+    # From the latest rename of a name back to its arrivals, so that the frame only grows.
+    later = Window.partitionBy("_name").orderBy(F.desc("_seq")).rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        # Per name: where a rename leads to it, and those that start from it with the last one that follows them.
+        events = steps.select(F.col("new").alias("_name"), "_seq", "old", "new", "_last", nothing.alias("_ahead")) \
+            .unionByName(steps.select(F.col("old").alias("_name"), "_seq", *[F.lit(None).alias(c) for c in ("old", "new")],
+                                      nothing.alias("_last"), F.col("_last").alias("_ahead")))
+        steps = pinned(events.withColumn("_then", F.max("_ahead").over(later)).filter(F.col("_last").isNotNull()).select(
+            "_seq", "old", "new", F.greatest("_last", "_then").alias("_last"), (F.col("_then") > F.col("_last")).alias("_grew")))
+        if steps.filter("_grew").isEmpty():
+            return steps.groupBy("old").agg(F.min_by("_last.new", "_seq").alias("new"))
+        steps = steps.drop("_grew")
+
+
 def checked_renames(renames: DataFrame, keys: DataFrame | None = None, merge: bool = False) -> DataFrame:
     """The renames (old, new), which fail when they are used if an ``old`` comes twice.
 

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import connect, mismatch
 from wrenchline.operators import gates, integrity
@@ -176,3 +177,18 @@ def test_renames_of_parts_whose_new_codes_are_taken(spark, tmp_path, name):
         nothing = ", ".join(f"NULL::{kinds.get(f.dataType.simpleString(), f.dataType.simpleString())} AS {f.name}" for f in schema)
         duck.execute(f"COPY ({rows.get(table, f'SELECT {nothing} WHERE false')}) TO '{tmp_path}/{table}.parquet'")
     assert mismatch(QUERIES[name](spark, str(tmp_path)), connect(str(tmp_path)), ORACLE[name]) == ""
+
+
+def test_refused_renames_of_many_keys_stay_spread_over_tasks(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        renames = spark.range(4000).select(F.col("id").alias("old"), (F.col("id") + 9000).alias("new")).unionByName(
+            spark.sql("SELECT CAST(NULL AS BIGINT) AS old, 1L AS new"))
+        child = spark.range(9000).select(F.when(F.col("id") < 8000, F.col("id") % 2000).alias("k"))
+        allowed, refused = integrity.restrict_rename(renames, child, "k")
+        assert allowed.columns == refused.columns == ["old", "new"]
+        assert {r.old for r in refused.collect()} == set(range(2000)) and refused.count() == 2000
+        assert {r.old for r in allowed.collect()} == {None, *range(2000, 4000)} and allowed.count() == 2001
+        assert [df.rdd.getNumPartitions() for df in (allowed, refused)] == [4, 4]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

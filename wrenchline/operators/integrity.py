@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wrenchline.operators.skew import lookup_join
+from wrenchline.operators.skew import is_small, lookup_join
 from wrenchline.schemas import Rule
 from wrenchline.session import pinned
 
@@ -149,7 +149,13 @@ def cascade_tables(tables: Mapping[str, DataFrame], parent: str, column: str, re
 def restrict_rename(renames: DataFrame, child: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """(allowed, refused) renames: a parent key still used by ``child.column`` may not change."""
     used = child.select(F.col(column).alias("old")).dropna().distinct()
-    return renames.join(used, "old", "left_anti"), renames.join(used, "old", "left_semi")
+    if is_small(used):
+        return renames.join(used, "old", "left_anti"), renames.join(used, "old", "left_semi")
+    # Keys shrink so well in a shuffle that AQE would merge many millions of them into one task, which sorts and hashes
+    # them all. A given number of partitions stays, on both sides of a join; Spark would push a semi join below it.
+    spread = renames.repartition(int(renames.sparkSession.conf.get("spark.sql.shuffle.partitions")), "old")
+    marked = spread.join(used.withColumn("_hit", F.lit(True)), "old", "left")
+    return marked.filter(F.col("_hit").isNull()).drop("_hit"), marked.filter("_hit").drop("_hit")
 
 
 def audit_enum(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from tests.test_bucketed import lose_commit
 from tests.test_streams import folder  # noqa: F401
 from wrenchline.operators import reports
 from wrenchline.sources.manifests import numbers, read_manifest
-from wrenchline.streaming.report_views import CATALOG, revenue_report, stream_report_views, usage_report
+from wrenchline.streaming.report_views import CATALOG, ReportViews, revenue_report, stream_report_views, usage_report
 
 SCHEMA = "part_code string, version int, name string, category string, brand string, price int, supplier string"
 
@@ -118,3 +118,21 @@ def test_a_small_change_opens_few_buckets_and_a_row_may_go_before_it_comes(spark
     usage = {r.category: (r.used, r.unused, r.total) for r in usage_report(spark, views, 32).collect()}
     assert usage == {"a": (39, 1, 40), "c": (1, None, 1)}
     assert CATALOG == frame(spark, rows).columns
+
+
+def test_changes_that_cancel_out_open_no_bucket_and_equal_ones_count_once(spark, folder):
+    rows = [(str(k), 1, f"p{k}", "a", "b", 10, "s1") for k in range(4)]
+    lines = [(str(k), None, f"p{k}", None, None, None, None) for k in range(4)]
+    first = (frame(spark, [*lines, lines[0], lines[0]]).select("part_code", "name"), frame(spark, rows))
+    views = f"{folder}/views"
+
+    def run(number, changes):
+        write_changes(spark, folder, number, changes)
+        stream = spark.readStream.schema(f"changed string, weight int, {SCHEMA}").parquet(f"{folder}/changes/n=*")
+        stream_report_views(stream, *first, views, f"{folder}/cp", buckets=2).awaitTermination()
+        return [(int(r.revenue), r.lines_sold) for r in revenue_report(spark, views, 2).collect()]
+
+    assert run(0, [("lines", 1, lines[1]), ("lines", -1, lines[1]), ("catalog", 2, rows[2]), ("catalog", -2, rows[2])]) == [(60, 6)]
+    assert max(numbers(spark, f"{views}/sold")) == max(numbers(spark, f"{views}/entries")) == 0
+    assert run(1, [("lines", 1, lines[1])] * 3 + [("lines", -1, lines[1]), ("lines", -2, lines[0])]) == [(60, 6)]
+    assert {r.part_code: r.n for r in ReportViews(spark, views, 2).sold.read().collect()} == {"0": 1, "1": 3, "2": 1, "3": 1}

@@ -23,6 +23,7 @@ from wrenchline.operators.reports import first_version
 from wrenchline.operators.stock import by_number
 from wrenchline.session import pinned
 from wrenchline.sources.buckets import Buckets
+from wrenchline.sources.manifests import numbers
 from wrenchline.sources.versions import claim
 from wrenchline.streaming.streams import each_batch
 
@@ -70,8 +71,11 @@ class ReportViews:
 
     def create(self, lines: DataFrame, catalog: DataFrame) -> None:
         """Write the first versions, each once, from the tables as they are."""
-        self.sold.create(_counted(lines.withColumn("weight", F.lit(1)), ["part_code"]))
-        self.written.create(_counted(lines.withColumn("weight", F.lit(1)), ["name"]))
+        if numbers(self.spark, self.usage.path):  # the last one is there, so all are
+            return
+        counted = pinned(_counted(lines.withColumn("weight", F.lit(1)), LINE)).withColumnRenamed("n", "weight")
+        self.sold.create(_counted(counted, ["part_code"]))
+        self.written.create(_counted(counted, ["name"]))
         rows = catalog.select(*CATALOG).withColumn("price", F.col("price").cast("decimal(18,2)")).withColumn("weight", F.lit(1))
         self.entries.create(_counted(rows, ["part_code", "version", "brand", "price", "supplier"]))
         self.named.create(_counted(rows, ["name", "part_code", "version", "category"]))
@@ -122,7 +126,9 @@ def stream_report_views(changes: DataFrame, lines: DataFrame, catalog: DataFrame
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         claim(views.spark, path, checkpoint)
-        batch = pinned(batch.select("changed", "weight", *CATALOG).withColumn("price", F.col("price").cast("decimal(18,2)")))
+        rows = batch.select("changed", "weight", *CATALOG).withColumn("price", F.col("price").cast("decimal(18,2)"))
+        # Equal changes count once from here on, and those that cancel out not at all.
+        batch = pinned(_counted(rows, ["changed", *CATALOG]).withColumnRenamed("n", "weight"))
         if not batch.isEmpty():
             _revenue_changes(views, batch, batch_id + 1)
             _usage_changes(views, batch, batch_id + 1)
@@ -136,16 +142,14 @@ def _step(table: Buckets, changes: DataFrame, keys: DataFrame, version: int) ->
     touched = table.touched(keys)
     old = table.read(touched, version - 1)
 
-    def signed(rows: DataFrame) -> DataFrame:
-        return rows.withColumnRenamed("n", "weight").unionByName(changes.withColumn("weight", F.col("weight").cast("bigint")))
-
-    table.update(version, table.touched(changes), lambda rows: _counted(signed(rows), columns))
+    table.update(version, table.touched(changes), lambda rows: _counted(
+        rows.withColumnRenamed("n", "weight").unionByName(changes), columns))
 
     def of_keys(rows: DataFrame) -> DataFrame:
         other = keys.toDF("_key")
         return rows.join(other, rows[key].eqNullSafe(other["_key"]), "left_semi")
 
-    return of_keys(old), _counted(of_keys(signed(old)), columns)
+    return of_keys(old), of_keys(table.read(touched, version))
 
 
 def _moved(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -194,3 +194,18 @@ def test_short_lines_with_different_words_stay(spark):
     seven = [f"{prose(20)}\nsee all posts by {prose(1)} right here" for _ in range(6)]
     same = [f"{prose(20)}\nback to the top" for _ in range(6)]
     assert dropped_of(spark, [*four, *five, *seven, *same]) == [0] * 12 + [1] * 12
+
+
+def test_texts_are_shuffled_once_for_both_joins(spark, tmp_path):
+    line = "this very line is found in every text of the table"
+    rows = [(k, f"{line}\n" + " ".join(f"w{k}x{i}" for i in range(30))) for k in range(40)] + [(None, line), (None, None), (50, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = without_recurring_lines(spark.read.parquet(f"{tmp_path}/documents"), counts=True)
+        got = {(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(k, text.split("\n")[1], 2, 1) for k, text in rows[:40]} | {(None, line, 1, 0), (None, None, 0, 0), (50, None, 0, 0)} == got
+    assert "ReusedExchange [doc_id" in plan

@@ -289,7 +289,10 @@ def without_recurring_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
     names = ["doc_id", "text"] if counts else docs.columns
     kinds = fresh_name("kinds", docs.columns)
     found = recurring_lines(docs).select(F.col("doc_id").alias("doc_id"), F.col("kinds").alias(kinds))
-    joined = docs.join(found, "doc_id", "left").select(*names, kinds)
+    # Rows with an id are shuffled just as ``recurring_lines`` shuffles them, so that Spark does it once for both joins.
+    named = docs.filter(F.col("doc_id").isNotNull()).join(found, "doc_id", "left").select(*names, kinds)
+    joined = named.unionByName(docs.filter(F.col("doc_id").isNull()).select(
+        *names, F.lit(None).cast(found.schema[kinds].dataType).alias(kinds)))
     fields = [docs.schema[n] for n in names]
     if counts:
         fields += [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]

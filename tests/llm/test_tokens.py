@@ -146,3 +146,28 @@ def test_generations_save_bins_where_best_fit_does_not():
         assert sorted(np.concatenate(own).tolist()) == list(range(len(lengths)))
         assert len(own) == -(-lengths.sum() // 1024)
     assert packing.completed(np.array([5]), np.arange(0), 1024) == []
+
+
+def test_bins_are_completed_by_the_fullest_one_or_two_pieces():
+    """Against plain search: the longest piece left, then the one or two that fill most, the longer first piece on ties."""
+    random = np.random.default_rng(11)
+    for size in (7, 40, 300):
+        lengths = random.integers(1, size + 1, 90)
+        left, want = sorted(lengths.tolist()), []
+        while left:
+            own = [left.pop()]
+            while True:
+                room = size - sum(own)
+                single = max((a for a in left if a <= room), default=0)
+                pairs = [(a + b, a, b) for i, a in enumerate(left) for j, b in enumerate(left) if i != j and a + b <= room]
+                best = max(pairs, default=(0,))
+                more = list(best[1:]) if best[0] > single else [single] if single else []
+                if not more:
+                    break
+                for a in more:
+                    left.remove(a)
+                own += more
+            want.append(own)
+        got = packing.completed(lengths, np.arange(90), size)
+        assert [lengths[members].tolist() for members in got] == want
+        assert sorted(np.concatenate(got).tolist()) == list(range(90))

@@ -117,31 +117,38 @@ def completed(lengths: np.ndarray, free: np.ndarray, size: int) -> list[np.ndarr
     """Pack the pieces ``free`` bin by bin: the longest one left, then again and again the one or two that fill it best."""
     own = lengths[free]
     by_length = np.argsort(own, kind="stable")
-    left = np.bincount(own, minlength=size + 1)
-    ends = np.cumsum(left).tolist()  # the pieces of a length are taken from the end of its run
+    counts = np.bincount(own, minlength=size + 1)
+    left, ends = counts.tolist(), np.cumsum(counts).tolist()  # the pieces of a length are taken from the end of its run
+    there = counts > 0
+    there[0] = False
+    # Bit r of ``have``: a piece of length r is left; ``back`` has its bits the other way round.
+    have, back = (int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little") for bits in (there, there[::-1]))
     alive = len(free)
     longest, bins = size, []
     while alive:
         while not left[longest]:
             longest -= 1
-        taken, room = [longest], size - longest
-        left[longest] -= 1
-        while room:
-            fits = np.flatnonzero(left[1:room + 1]) + 1
-            if not len(fits):
-                break
-            best = [int(fits[-1])]
-            firsts = fits[fits <= room - fits[0]]
-            at = np.searchsorted(fits, room - firsts, "right") - 1
-            at -= (fits[at] == firsts) & (left[firsts] < 2)
-            sums = np.where(at >= 0, firsts + fits[at], 0)
-            if len(sums) and sums.max() > best[0]:
-                k = len(sums) - 1 - int(sums[::-1].argmax())
-                best = [int(firsts[k]), int(fits[at[k]])]
+        taken, room, best = [], size, [longest]
+        while best:
             for length in best:
                 left[length] -= 1
+                if length and not left[length]:
+                    have ^= 1 << length
+                    back ^= 1 << (size - length)
             taken += best
             room -= sum(best)
+            fits = have & ((2 << room) - 1)
+            one = fits.bit_length() - 1
+            best = [one] if fits else []
+            for both in range(room, one if fits else room, -1):
+                pairs = fits & (back >> (size - both))  # bit r: pieces of r and of ``both`` - r are left
+                half = both >> 1
+                if 2 * half == both and left[half] < 2:
+                    pairs &= ~(1 << half)
+                if pairs:
+                    first = pairs.bit_length() - 1
+                    best = [first, both - first]
+                    break
         members = []
         for length in taken:
             ends[length] -= 1

@@ -117,7 +117,8 @@ class PieceEncoder:
         return out
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        (one,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)  # without places in the text
+        return np.array(one.ids, "<u4")
 
     def _learn(self, keys: list[int], raw: bytes, starts: np.ndarray, ends: np.ndarray, word: np.ndarray) -> None:
         """Remember the ids of new pieces. Words with a blank in front (``word``) are encoded in one text, which is cut at
@@ -127,10 +128,9 @@ class PieceEncoder:
         if joined:
             ids = self.whole(joined.decode())
             stops = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum((ends - starts)[word])) + 1
-            packed, at = ids.tobytes(), 0
-            for (key, *_), stop in zip((x for x in spans if x[3]), (4 * stops).tolist(), strict=True):
-                self.known[key] = packed[at:stop]
-                at = stop
+            packed, stops = ids.tobytes(), (4 * stops).tolist()
+            self.known.update(zip([key for key, _, _, w in spans if w],
+                                  [packed[s:e] for s, e in zip([0, *stops], stops)], strict=True))
         others = [(key, raw[s:e].decode()) for key, s, e, w in spans if not w]
         got = self.tokenizer.encode_batch_fast([p for _, p in others], add_special_tokens=False)
         for (key, _), one in zip(others, got, strict=True):
@@ -157,7 +157,8 @@ class PieceEncoder:
         if len(self.known) > CACHED_PIECES:
             self.known, self.older = {}, self.known
         keys = keys.tolist()
-        missing = [k for k in range(len(keys)) if keys[k] not in self.known]
+        ids = list(map(self.known.get, keys))
+        missing = [k for k, found in enumerate(ids) if found is None]
         new = []
         for k in missing:
             if keys[k] in self.older:
@@ -167,7 +168,8 @@ class PieceEncoder:
         if new:
             at, stop = starts[one[new]], ends[one[new]]
             self._learn([keys[k] for k in new], raw, at, stop, (data[at] == 32) & (kinds[stop - 1] == LETTER))
-        ids = [self.known[k] for k in keys]
+        for k in missing:
+            ids[k] = self.known[keys[k]]
         pool = np.frombuffer(b"".join(ids), "<u4")
         counts = np.array([len(i) for i in ids], np.int64) // 4
         begin = (np.cumsum(counts) - counts)[number]

@@ -190,3 +190,59 @@ def test_pages_hold_every_total_once(spark):
     assert len(totals) == len(set(totals)) and all(t // receipt_state.PAGE_SPAN == r["page"] for r in pages for t in r["totals"])
     heads = {r["part_code"]: r for r in state if r["page"] < 0}
     assert heads[0]["total"] == sum(i % 3 for i in range(0, 20_000, 2)) and not heads[1]["on_order"]
+
+
+@pytest.fixture()
+def few_shelves(spark, monkeypatch):
+    """Parts share buckets and shelves, most have pages, and a bucket's state and receipts come in several tables."""
+    for name, value in {"BUCKETS": 2, "SHELVES": 3, "NEAR_LINES": 2, "PAGE_SPAN": 8}.items():
+        monkeypatch.setattr(receipt_state, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("seed, kind", [(2, "bigint"), (3, "string")])
+def test_parts_share_shelves(spark, folder, few_shelves, seed, kind):
+    sim, receipts = random_case(seed)
+    part = F.col("part_code").cast(kind)
+    lines, pending = (df.withColumn("part_code", part) for df in frames(spark, sim))
+    far = 2 ** 60
+    receipts = [*[(p, far + s, a) for p, s, a in receipts], (999, far + 1000, 1), (998, None, 1)]
+    arrivals = spark.createDataFrame(receipts, "part_code bigint, seq bigint, arrived bigint").withColumn("part_code", part)
+    stream = write_event_files(arrivals, f"{folder}/in", "seq")
+    want = stock.receipt_decisions(lines, pending, arrivals).collect()
+    for again in (False, True):
+        if again:
+            lose_commit(folder, 2)
+        decided = receipt_state.receipts_in_state(stream, lines, pending)
+        streams.write_files(decided, f"{folder}/out", f"{folder}/cp").awaitTermination()
+        got = spark.read.parquet(f"{folder}/out")
+        assert got.schema["part_code"].dataType == arrivals.schema["part_code"].dataType
+        assert sorted(map(str, got.drop("arrived").collect())) == sorted(str(r) for r in spark.createDataFrame(
+            want, got.schema).drop("arrived").collect())
+    assert got.filter("outcome = 'applied'").count() > 0
+
+
+def test_state_has_a_row_per_shelf_not_per_part(spark, folder, few_shelves):
+    lines = spark.range(400).selectExpr("id % 200 AS part_code", "id AS order_id", "1 AS line_no",
+                                        "date'2024-01-01' AS requested", "3 AS needed", "0 AS available")
+    pending = spark.range(200).selectExpr("id AS part_code", "6 AS quantity")
+    arrivals = spark.range(200).selectExpr("id AS part_code", "id AS seq", "3 + id % 2 AS arrived")
+    decided = receipt_state.receipts_in_state(write_event_files(arrivals, f"{folder}/in", "seq"), lines, pending)
+    query = streams.write_files(decided, f"{folder}/out", f"{folder}/cp")
+    query.awaitTermination()
+    assert {p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]} == {6}
+    assert {tuple(r) for r in spark.read.parquet(f"{folder}/out").selectExpr("seq % 2", "outcome").collect()} == {
+        (0, "applied"), (1, "refused: no exact match")}
+
+
+@pytest.mark.parametrize("codes", ["id % 3", "CAST(id % 3 AS STRING)"])
+def test_first_state_of_hot_parts(hot_spark, codes):
+    lines = hot_spark.range(600).selectExpr(
+        f"IF(id % 7 = 0, {codes}, CAST(100 + id AS {'STRING' if 'STRING' in codes else 'BIGINT'})) AS part_code", "id AS order_id",
+        "1 AS line_no", "date'2024-01-01' AS requested", "id % 5 * 900 AS needed", "0 AS available")
+    pending = lines.groupBy("part_code").agg(F.lit(9).alias("quantity"))
+    hot = stock.hot_parts(lines)
+    states = [receipt_state.initial_pages(lines, pending, h).collect() for h in (hot, [])]
+    assert len(hot) == 3 and sorted(map(str, states[0])) == sorted(map(str, states[1]))
